@@ -19,6 +19,7 @@ tables. Columns other than the id and the text are not part of the format.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -32,22 +33,37 @@ from pyspark.sql import functions as F
 
 from .common import new_path, small_batches, store
 
-#: Between a character that is no white space and one space that such a character follows, the pre-tokenizer always cuts.
-CUT = re.compile(r"(?<=\S)(?= \S)")
-ODD_SPACE = re.compile(r"\s\s|[^\S ]\S* | [^\S ]|[^\S ] ")
+#: Fixed values of byte-level BPE: how it cuts a text (here for Latin letters only, on which all Unicode
+#: versions agree), and the printable character that stands for each byte.
+LATIN = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+NUMERIC = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[{NUMERIC}]+| ?[^\s{LATIN}{NUMERIC}]+|\s+(?!\S)|\s+")
+PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u201f\u2026]*")
+PRINTABLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 #: Most pieces whose ids a worker remembers, and the longest piece it does so for.
 REMEMBERED, REMEMBERED_CHARS = 300_000, 64
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Encodes texts by the tokenizers library, once for each distinct piece between spaces."""
+    """Encodes whole texts by the tokenizers library.
+
+    A text of Latin letters is cut into the pieces that byte-level BPE encodes one by
+    one, and the library's model is asked once for each distinct piece; every other
+    text, and every other kind of tokenizer, goes to the library as it is.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        config = json.loads(self.tokenizer.to_str())
+        cutter = config["pre_tokenizer"] or {}
+        self.by_piece = config["model"]["type"] == "BPE" and config["normalizer"] is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex") and not cutter.get("add_prefix_space")
+        self.special = [t["content"] for t in config["added_tokens"]]
+        spare = iter(range(256, 512))
+        self.letters = {b: chr(b if b in PRINTABLE else next(spare)) for b in range(256)}
         self.known: dict[str, bytes] = {}
 
     @classmethod
@@ -56,28 +72,21 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """The text cut before single spaces; concatenating the pieces gives the text."""
-        parts = text.split(" ")
-        if len(parts) == 1:
-            return parts
-        if "" in parts or any(p[0].isspace() or p[-1].isspace() for p in parts):
-            return CUT.split(text)
-        return [parts[0], *[" " + p for p in parts[1:]]]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.pieces(t) if t else [] for t in texts]
-        fresh: dict[str, bytes] = {}
-        missing = list({p for parts in cut for p in parts if p not in self.known})
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for piece, got in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                ids = np.array(got.ids, self.width).tobytes()
-                short = len(piece) <= REMEMBERED_CHARS and len(self.known) < REMEMBERED
-                (self.known if short else fresh)[piece] = ids
-        known = self.known
-        return [b"".join([known[p] if p in known else fresh[p] for p in parts]) for parts in cut]
+    def piece(self, piece: str) -> bytes:
+        found = self.known.get(piece)
+        if found is None:
+            spelled = piece.encode().decode("latin-1").translate(self.letters)
+            found = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.width).tobytes()
+            if len(piece) <= REMEMBERED_CHARS and len(self.known) < REMEMBERED:
+                self.known[piece] = found
+        return found
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        if self.by_piece and PLAIN.fullmatch(text) and not any(s in text for s in self.special):
+            return b"".join(map(self.piece, PIECE.findall(text)))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
 
 def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:
@@ -176,15 +185,13 @@ def tokenize(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: s
             return pd.DataFrame([row], columns=["shard", "block", "begin", "doc_ids", "doc_tokens", "ids"])
 
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.iloc[at : at + 200]
-                for key, ids in zip(part["doc_id"].tolist(), encoder.encode(part["text"].tolist())):
-                    ids += end
-                    held.append((key, len(ids) // encoder.width.itemsize, ids))
-                    tokens += held[-1][1]
-                    if tokens >= block_tokens:
-                        yield cut()
-                        held, block, begin, tokens = [], block + 1, begin + tokens, 0
+            for key, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
+                ids = encoder.encode(text) + end
+                held.append((key, len(ids) // encoder.width.itemsize, ids))
+                tokens += held[-1][1]
+                if tokens >= block_tokens:
+                    yield cut()
+                    held, block, begin, tokens = [], block + 1, begin + tokens, 0
         if held:
             yield cut()
 
