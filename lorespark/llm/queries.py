@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup_text, tokenbin
+from . import decontam, mixing, neardup_text, tokenbin
 from .common import small_batches
 
 
@@ -29,12 +29,16 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_report(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_text.classes(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_token_binary, op8_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_binary, op6_decontamination, op8_minhash_near_dedup)}
 
 
 OP1_SQL = r"""
