@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, small_batches
 from .words import GOLDEN, KNOWN, mix
 
-PASSAGE, SAMPLE, HIDDEN, STEPS, RATE = 48, 4000, 24, 300, 0.03
+PASSAGE, SAMPLE, HIDDEN, STEPS, RATE = 48, 3000, 24, 150, 0.03
 SYMBOLS = "|!%&$#*.,;:?\"'()-_=/\\<>@+[]{}"
 
 
@@ -96,15 +96,15 @@ class Model:
         h = np.tanh(x @ p["encode"] + p["encode_bias"])
         t, g = np.tanh(h @ p["attend"]), _sigmoid(h @ p["gate"])
         e = (t * g) @ p["attention"]
-        top = np.full(n, -np.inf)
-        np.maximum.at(top, bag, e)
-        e = np.exp(e - top[bag])
+        starts = np.searchsorted(bag, np.arange(n))  # passages come in order of their documents
+        e = np.exp(e - np.maximum.reduceat(e, starts)[bag])
         a = e / np.bincount(bag, e, n)[bag]
-        z = np.zeros((n, h.shape[1]))
-        np.add.at(z, bag, a[:, None] * h)
+        z = np.add.reduceat(a[:, None] * h, starts)
         return {"h": h, "t": t, "g": g, "a": a, "z": z, "p": _sigmoid(z @ p["out"] + p["out_bias"])}
 
     def score(self, texts: list[str | None]) -> np.ndarray:
+        if not texts:
+            return np.zeros(0)
         x, bag = passages(texts)
         return self.forward(np.clip((x - self.mean) / self.scale, -8, 8), bag, len(texts))["p"]
 
