@@ -220,11 +220,15 @@ def scan(docs: DataFrame, *, text: str = "text", rules: tuple[Rule, ...] = BASE
     return docs.withColumn(name, found(F.col(text)))
 
 
+def _is_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
 def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Counts of the base kinds, a digest of their spans, and all spans, as text."""
     base = [r.kind for r in BASE]
     spans = scan(docs.select(doc_id, text), text=text).drop(text)
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    counts = [F.size(F.filter("secrets", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    counts = [F.size(F.filter("secrets", _is_kind(k))).cast("long").alias(f"n_{k}") for k in base]
     of_base = joined(F.filter("secrets", lambda s: s["kind"].isin(base)))
     return spans.select(doc_id, *counts, F.sha2(of_base, 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
