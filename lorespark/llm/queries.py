@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlmain, langid, mixing, neardup_text, quality, secrets, tokenbin, toxicity
+from . import decontam, htmlmain, langid, mixing, neardup_text, neardup_vec, quality, secrets, tokenbin, toxicity
 from .common import remainder, small_batches
 
 
@@ -30,6 +30,10 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_report(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vec.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -73,7 +77,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_token_binary, op4_secret_scan, op5_toxicity, op6_decontamination, op7_language_id, op8_minhash_near_dedup, op9_html_extraction, op10_quality)}
+    return {f.__name__: f for f in (op1_mixing, op2_token_binary, op3_embedding_near_dedup, op4_secret_scan, op5_toxicity, op6_decontamination, op7_language_id, op8_minhash_near_dedup, op9_html_extraction, op10_quality)}
 
 
 OP1_SQL = r"""
