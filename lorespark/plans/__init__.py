@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, with their SQL."""
 
-from . import timeline
+from . import python, rollups, scalars, timeline
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "timeline"]
+__all__ = ["ORACLES", "QUERIES", "python", "rollups", "scalars", "timeline"]
