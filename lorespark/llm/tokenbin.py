@@ -152,16 +152,16 @@ class Codec:
 
     def decode(self, payload: bytes, offsets: np.ndarray, n: int) -> np.ndarray:
         """All runs between checkpoints at once, one id of each run a step."""
-        data = np.frombuffer(payload + bytes(8), np.uint8).astype(np.int64)
+        data = np.frombuffer(payload + bytes(4), np.uint8).astype(np.int64)
+        window = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]
         place = np.array(offsets, np.int64)
-        out = np.zeros((len(place), self.every), np.int64)
-        last = len(data) - 4
+        out = np.zeros((self.every, len(place)), np.int64)
+        last, mask, shift = len(window) - 1, (1 << self.top) - 1, 32 - self.top
         for step in range(min(self.every, n)):
-            at = np.minimum(place >> 3, last)
-            window = (data[at] << 24) | (data[at + 1] << 16) | (data[at + 2] << 8) | data[at + 3]
-            key = (window >> (32 - self.top - (place & 7))) & ((1 << self.top) - 1)
-            out[:, step] = self.symbol_at[key]
+            key = (window[np.minimum(place >> 3, last)] >> (shift - (place & 7))) & mask
+            out[step] = self.symbol_at[key]
             place += self.bits_at[key]
+        out = out.T
         return out.reshape(-1)[:n]
 
 
@@ -200,7 +200,7 @@ def tokenize(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: s
     return rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInPandas(blocks, STAGED)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, max_bits: int = 16, every: int = 512, shards: int | None = None, **options) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, max_bits: int = 16, every: int = 128, shards: int | None = None, **options) -> None:
     """Write the format described above to the folder ``path``.
 
     The driver holds a count for each id of the vocabulary and one offset a shard.
@@ -263,12 +263,12 @@ def _decoded(spark: SparkSession, path: str, every: int, schema: str, row_of) ->
     return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInPandas(unpack, schema)
 
 
-def read_tokens(spark: SparkSession, path: str, every: int = 512) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, every: int = 128) -> DataFrame:
     """The documents of a folder that :func:`write_tokens` has written: doc_id, start, n_tokens, ids."""
     return _decoded(spark, path, every, "doc_id long, start long, n_tokens long, ids array<int>", lambda ids: (ids.astype(np.int32),))
 
 
-def digest(spark: SparkSession, path: str, every: int = 512) -> DataFrame:
+def digest(spark: SparkSession, path: str, every: int = 128) -> DataFrame:
     """As :func:`read_tokens`, with the crc32 of the ids as little-endian unsigned 32-bit integers in their place."""
     return _decoded(spark, path, every, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda ids: (zlib.crc32(ids.astype("<u4").tobytes()),))
 
