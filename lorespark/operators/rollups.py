@@ -84,7 +84,7 @@ def fidelity(texts: DataFrame, key: str, text: str, glossary: Sequence[tuple[str
     met = met.withColumn("canonical", F.try_element_at(lookup, F.lower("surface")))
     spelled = F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "surface"))), lambda s: s["surface"])), "、")
     out = met.groupBy(key, "canonical").agg(F.min("pos").alias("first_pos"), spelled.alias("surfaces"))
-    rank = F.row_number().over(W.partitionBy(key).orderBy("first_pos"))
+    rank = F.row_number().over(W.partitionBy(key).orderBy("first_pos")).cast("long")
     return out.withColumn("rank", rank).filter(F.col("rank") <= most).drop("first_pos")
 
 

@@ -175,6 +175,6 @@ def repaired_plan(steps: DataFrame, known: DataFrame, keys: Sequence[str], order
     named = clean.select(*keys, F.col(order).alias("_step"), F.posexplode(ids).alias("_pos", "insight_id")).join(known.select(*keys, "insight_id").distinct(), [*keys, "insight_id"])
     first = F.row_number().over(W.partitionBy(*keys, "insight_id").orderBy("_step", "_pos"))
     claimed = named.withColumn("_n", first).filter("_n = 1").groupBy(*keys, F.col("_step").alias(order)).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "insight_id"))), lambda s: s["insight_id"]).alias("_ids"))
-    number = F.row_number().over(W.partitionBy(*keys).orderBy("_start", "_end", order))
+    number = F.row_number().over(W.partitionBy(*keys).orderBy("_start", "_end", order)).cast("long")
     out = clean.join(claimed, [*keys, order], "left").withColumn("index", number).filter(F.col("index") <= most)
     return out.select(*keys, "index", F.col("_start").alias("start_sec"), F.col("_end").alias("end_sec"), F.coalesce("_ids", F.array().cast("array<string>")).alias("insight_ids"))

@@ -14,7 +14,7 @@ from .registry import query, table
 @query("""
 SELECT event_id, printf('%02d:%02d', s // 60, s % 60) AS mmss,
        CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%02d:%02d', s // 60, s % 60) END AS hms,
-       strftime(ts, '%Y-%m-%d-%H%M') || ' ' || event_type AS note, greatest(0, s - 1.75) AS clip_start
+       strftime(ts, '%Y-%m-%d-%H%M') || ' ' || event_type AS note, CAST(greatest(0, s - 1.75) AS DOUBLE) AS clip_start
 FROM (SELECT *, event_id * 7 % 9000 AS s FROM events)""")
 def time_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").withColumn("s", F.col("event_id") * 7 % 9000)
