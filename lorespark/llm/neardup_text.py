@@ -117,9 +117,11 @@ def _signed(docs: DataFrame, bands: int, rows: int, shingle: int, weighted: bool
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """Shingle sets as 32-bit hashes: two different shingles of documents of n words are taken as one with a chance of n**2 / 2**32."""
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [np.unique(windows(hashes(words(t)), shingle)).tobytes() for t in batch["text"]]
+            found = [np.unique(windows(hashes(words(t)), shingle) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": found})
 
     return docs.mapInPandas(cut, "doc_id long, shingles binary")
@@ -223,13 +225,16 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", band
     shared = spread.groupBy("band", "key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader <> last").drop("last")
     members = store(spread.join(shared, ["band", "key"]), "buckets")
     wanted = members.select("doc_id").distinct()
-    sets = store(_sets(source.join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id", "shingles"]), "sets")
+    sets = store(_sets(source.join(wanted.hint("merge"), "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id", "shingles"]), "sets")
     pairs = members.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = store(_linked(pairs, sets, threshold), "links")
     found = store(connected_components(links), "components")
     placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    heads = placed.groupBy("band", "key").agg(F.min_by("component", "doc_id").alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low <> high")
-    split = placed.drop("leader").join(heads.select("band", "key", "lead", "n"), ["band", "key"]).withColumn("outside", F.expr("component <> lead"))
+    # Every member has met the leader; buckets of the same members need one look.
+    met = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    heads = placed.groupBy("band", "key").agg(F.min_by("component", "doc_id").alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), *met)
+    heads = heads.filter("low <> high and n > 2").dropDuplicates(["n", "x1", "x2"]).select("band", "key", "lead", "n")
+    split = placed.filter("doc_id <> leader").drop("leader").join(heads, ["band", "key"]).withColumn("outside", F.expr("component <> lead"))
     split = store(split.drop("lead"), "split")
     counts = split.filter("outside").groupBy("band", "key").agg(F.count("*").alias("n_outside"))
     more = _blockwise(split.join(counts, ["band", "key"]), sets, threshold, block)

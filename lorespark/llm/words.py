@@ -71,4 +71,4 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def unpack(values: Iterable[bytes]) -> list[np.ndarray]:
-    return [np.frombuffer(v, np.uint64) for v in values]
+    return [np.frombuffer(v, np.uint32) for v in values]
