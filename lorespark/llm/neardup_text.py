@@ -103,8 +103,8 @@ def _signed(docs: DataFrame, bands: int, rows: int, shingle: int, weighted: bool
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 250):
-                part = batch.iloc[at : at + 250]
+            for at in range(0, len(batch), 100):
+                part = batch.iloc[at : at + 100]
                 found = [words(t) for t in part["text"]]
                 runs = [windows(hashes(f), shingle) for f in found]
                 pairs = [np.unique(r, return_counts=True) for r in runs]

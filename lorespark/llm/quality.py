@@ -165,7 +165,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", name: str = "sco
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            parts = [shared.value.score(texts.iloc[at : at + 200].tolist()) for at in range(0, len(texts), 200)]
+            parts = [shared.value.score(texts.iloc[at : at + 100].tolist()) for at in range(0, len(texts), 100)]
             yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return docs.withColumn(name, scored(F.col(text)))

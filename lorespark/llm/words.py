@@ -23,7 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Hashes of words; forgets all when it has grown to ``most`` words."""
 
-    most = 400_000
+    most = 100_000
 
     def __missing__(self, word: str) -> int:
         if len(self) >= self.most:
