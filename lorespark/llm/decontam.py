@@ -31,10 +31,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import small_batches, store
-from .words import GOLDEN, hashes, mix, windows, words
+from .words import GOLDEN, mix, windows, word_hashes
 
 SEED_WORDS, RARE, THRESHOLD = 3, 1e-4, 0.5
-FILTER_BITS, FILTER_HASHES = 1 << 24, 3
+FILTER_BITS, FILTER_HASHES = 1 << 24, 3  # bits: a power of two
 #: Items over this many words are aligned in pieces of at most so many.
 PIECE_WORDS = 512
 
@@ -47,7 +47,7 @@ class Bloom:
 
     @staticmethod
     def places(h: np.ndarray, k: int) -> np.ndarray:
-        return mix(h ^ np.uint64(k * int(GOLDEN) % 2**64)) % np.uint64(FILTER_BITS)
+        return mix(h ^ np.uint64(k * int(GOLDEN) % 2**64)) & np.uint64(FILTER_BITS - 1)
 
     def add(self, h: np.ndarray) -> None:
         for k in range(FILTER_HASHES):
@@ -99,7 +99,7 @@ def align(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _words32(text: str | None) -> np.ndarray:
-    return (hashes(words(text)) | np.uint64(1)) & np.uint64(0xFFFFFFFF)
+    return (word_hashes(text) | np.uint64(1)) & np.uint64(0xFFFFFFFF)
 
 
 def _seeds(h: np.ndarray, n: int) -> np.ndarray:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, store
 from .graph import connected_components
-from .words import GOLDEN, hashes, jaccard, mix, unpack, windows, words
+from .words import GOLDEN, jaccard, mix, unpack, windows, word_hashes
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 24, 6, 5, 0.8
 #: Most rows of either side of a block in which documents of a bucket are compared.
@@ -105,12 +105,12 @@ def _signed(docs: DataFrame, bands: int, rows: int, shingle: int, weighted: bool
         for batch in batches:
             for at in range(0, len(batch), 100):
                 part = batch.iloc[at : at + 100]
-                found = [words(t) for t in part["text"]]
-                runs = [windows(hashes(f), shingle) for f in found]
+                found = [word_hashes(t) for t in part["text"]]
+                runs = [windows(f, shingle) for f in found]
                 pairs = [np.unique(r, return_counts=True) for r in runs]
                 got = signatures([p[0] for p in pairs], bands * rows, [p[1].astype(float) for p in pairs] if weighted else None)
                 keys = bands_of(got, bands, rows)
-                same = [hashlib.md5("\x1f".join(f).encode("utf-8", "surrogatepass")).digest() if f else None for f in found]
+                same = [hashlib.md5(f.tobytes()).digest() if len(f) else None for f in found]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "words": same, "bands": [k if s else None for k, s in zip(keys, same)]})
 
     return docs.mapInPandas(sign, "doc_id long, words binary, bands array<long>")
@@ -121,7 +121,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [np.unique(windows(hashes(words(t)), shingle) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch["text"]]
+            found = [np.unique(windows(word_hashes(t), shingle) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": found})
 
     return docs.mapInPandas(cut, "doc_id long, shingles binary")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -47,6 +48,33 @@ def hashes(found: list[str]) -> np.ndarray:
     return np.fromiter(map(KNOWN.__getitem__, found), np.uint64, len(found))
 
 
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Which code points belong to words, as ``\\w`` has it, and which are white space."""
+    every = [chr(c) for c in range(0x110000)]
+    wordy = np.array([c.isalnum() for c in every])
+    wordy[ord("_")] = True
+    return wordy, np.array([c.isspace() for c in every])
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A hash of each word of a text, in order; the words are those of :func:`words`, but never made as strings."""
+    if not text:
+        return np.zeros(0, np.uint64)
+    wordy, space = _tables()
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    inside = wordy[codes]
+    if not inside.any():
+        inside = ~space[codes]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    if not len(edges):
+        return np.zeros(0, np.uint64)
+    lengths = edges[1::2] - edges[::2]
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(1, int(lengths.sum()) + 1, dtype=np.uint64) - np.repeat(starts.astype(np.uint64), lengths)
+    return mix(np.add.reduceat(mix(codes[inside] + place * GOLDEN), starts))
+
+
 def windows(h: np.ndarray, size: int) -> np.ndarray:
     """The hash of every run of ``size`` hashes; of all of them if there are fewer, none if there is none."""
     size = min(size, len(h))
@@ -61,7 +89,7 @@ def windows(h: np.ndarray, size: int) -> np.ndarray:
 
 def shingles(text: str | None, size: int) -> np.ndarray:
     """The distinct word shingles of a text, sorted."""
-    return np.unique(windows(hashes(words(text)), size))
+    return np.unique(windows(word_hashes(text), size))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:

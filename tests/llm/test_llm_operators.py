@@ -342,3 +342,16 @@ def test_extraction(spark):
     got = {r["page_id"]: r["main"] for r in htmlmain.extract(pages, weights, name="main").collect()}
     assert got[1] == got[6] == "Big & title\nFirst para é\nSecond para with style\nOne\nTwo\nLast <one>"
     assert got[2] == got[3] == "" and got[4] == "plain words" and got[5] == "open < text"
+
+
+# Words
+
+def test_word_hashes_stand_for_words():
+    texts = [None, "", "  ", "One one_two ONE", "!!! ??? !!!", "İx ß straße STRASSE", "a😀b 日本 ١٢ x²", "\ud800 lone", "é é " + sentence(3, 300), "\x1c a b　c "]
+    seen = {}
+    for text in texts:
+        found, got = words.words(text), words.word_hashes(text)
+        assert len(found) == len(got), text
+        for word, h in zip(found, got.tolist()):
+            assert seen.setdefault(word, h) == h
+    assert len(set(seen.values())) == len(seen)
