@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorespark.llm import decontam, graph, htmlmain, langid, mixing, neardup_text, neardup_vec, quality, secrets, tokenbin, toxicity, words
+from lorespark.llm import common, decontam, graph, htmlmain, langid, mixing, neardup_text, neardup_vec, quality, secrets, tokenbin, toxicity, words
 from lorespark.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string, source string, lang string"
@@ -355,3 +355,13 @@ def test_word_hashes_stand_for_words():
         for word, h in zip(found, got.tolist()):
             assert seen.setdefault(word, h) == h
     assert len(set(seen.values())) == len(seen)
+
+
+# Samples
+
+@pytest.mark.parametrize("limit", [1, 7, 150, 400])
+def test_bounded_sample_takes_the_smallest_hashes(spark, limit):
+    ids = [*range(200), *[5] * 60, None, None]
+    got = [r["id"] for r in common.bounded_sample(spark.createDataFrame([(i, "x") for i in ids], "id long, digits string"), F.col("id"), limit).collect()]
+    hashed = sorted((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), -1 if i is None else i) for i in ids)
+    assert [-1 if i is None else i for i in got] == [i for _, i in hashed[:limit]]
