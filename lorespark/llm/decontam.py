@@ -1,13 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word n-gram seeds, then Smith-Waterman alignment.
 
 Test items and documents are sequences of word hashes. The word ``n``-grams of the
-items are seeds; one pass over the corpus counts in how many documents each occurs,
-and an item keeps its rare ones: all that occur in at most ``rare`` of the documents,
-and always the rarer half of its own, so an item that leaked into very many documents
-keeps seeds too. A second pass cuts documents into overlapping passages, twice as
-long as the longest item, and keeps those with a seed. Seeds join passages to items,
-and local alignment over words (match 1, mismatch and gap -1) scores each pair; a
-score of at least ``threshold`` times the item's length is contamination. Items of
+items are seeds, all of them: common ones too, as those may be all that an edited
+copy still has. One pass over the corpus cuts documents into overlapping passages,
+twice as long as the longest item, and keeps those with a seed. Seeds join passages
+to items; a pair with too few words in common to reach the threshold is dropped, and
+local alignment over words (match 1, mismatch and gap -1) scores the others; a score
+of at least ``threshold`` times the item's length is contamination. Items of
 more than ``PIECE_WORDS`` words are cut into pieces, each of which is one such item.
 
 Executors get a Bloom filter of the seeds, whose size is fixed (``FILTER_BITS``
@@ -27,13 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import small_batches, store
 from .words import GOLDEN, mix, windows, word_hashes
 
-SEED_WORDS, RARE, THRESHOLD = 3, 1e-4, 0.5
+SEED_WORDS, THRESHOLD = 3, 0.5
 FILTER_BITS, FILTER_HASHES = 1 << 24, 3  # bits: a power of two
 #: Items over this many words are aligned in pieces of at most so many.
 PIECE_WORDS = 512
@@ -98,6 +96,12 @@ def align(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return best
 
 
+def shared_words(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words of each row of ``a`` are in the same row of ``b``: no alignment scores more."""
+    row = np.arange(len(a), dtype=np.uint64)[:, None] << np.uint64(32)
+    return (np.isin(row | a, row | b) & (a != 0)).sum(axis=1)
+
+
 def _words32(text: str | None) -> np.ndarray:
     return (word_hashes(text) | np.uint64(1)) & np.uint64(0xFFFFFFFF)
 
@@ -106,7 +110,7 @@ def _seeds(h: np.ndarray, n: int) -> np.ndarray:
     return windows(h, n).view(np.int64)
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SEED_WORDS, rare: float = RARE, threshold: float = THRESHOLD) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SEED_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score): contaminated pairs, ``score`` the best alignment as a share of the item's words."""
     small_batches(docs.sparkSession)
 
@@ -122,7 +126,6 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     named = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null")
     cut = store(named.mapInPandas(cut_items, "item_id long, piece long, words binary, length long, seeds array<long>"), "items")
     item_seeds = cut.select("item_id", "piece", F.explode("seeds").alias("seed")).distinct()
-    bloom = _bloom(item_seeds.select("seed").distinct())
     shortest = cut.agg(F.min("length")).first()[0] or n
 
     def grams(h: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -131,23 +134,7 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            met = []
-            for t in batch["text"]:
-                h = _words32(t)
-                for _, s in grams(h):
-                    met.append(np.unique(s[bloom.has(s.view(np.uint64))]))
-            seeds, often = np.unique(np.concatenate(met) if met else np.zeros(0, np.int64), return_counts=True)
-            yield pd.DataFrame({"seed": seeds, "n": often, "docs": 0})
-            yield pd.DataFrame({"seed": [0], "n": [0], "docs": [len(batch)]})
-
-    met = source.select("text").mapInPandas(count, "seed long, n long, docs long").groupBy("seed").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    met = store(met, "seed-counts")
-    total = met.agg(F.sum("docs")).first()[0] or 0
-    piece = W.partitionBy("item_id", "piece")
-    ranked = item_seeds.join(met.filter("n > 0").drop("docs"), "seed").withColumns({"rank": F.row_number().over(piece.orderBy("n", "seed")), "of": F.count("*").over(piece)})
-    kept = store(ranked.filter((F.col("n") <= rare * total) | (F.col("rank") * 2 <= F.col("of") + 1)).select("seed", "item_id", "piece"), "seeds")
+    kept = store(item_seeds, "seeds")
     chosen = _bloom(kept.select("seed").distinct())
     longest = cut.agg(F.max("length")).first()[0] or 1
 
@@ -178,7 +165,11 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
         for batch in batches:
             for at in range(0, len(batch), 256):
                 part = batch.iloc[at : at + 256]
-                got = align(_padded(part["words"]), _padded(part["passage_words"]))
+                a, b = _padded(part["words"]), _padded(part["passage_words"])
+                may = shared_words(a, b) >= threshold * part["length"].to_numpy()
+                if not may.any():
+                    continue
+                part, got = part[may], align(a[may], b[may])
                 out = part[["doc_id", "item_id"]].assign(score=got / part["length"].to_numpy())
                 yield out[out["score"] >= threshold]
 

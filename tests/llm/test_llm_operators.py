@@ -268,6 +268,15 @@ def test_contamination(spark):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in expected}
 
 
+def test_contamination_finds_edited_copies_beside_verbatim_ones(spark):
+    items = {i: sentence(700 + i, 42) for i in range(2)}
+    edited = {i: " ".join(f"new{k}" if k % 5 == 4 else w for k, w in enumerate(items[i].split())) for i in items}
+    docs = [(0, items[0]), (1, sentence(1, 30) + " " + edited[0] + " " + sentence(2, 30)), (2, sentence(3, 90))] + [(10 + k, items[1]) for k in range(40)] + [(60 + k, edited[1]) for k in range(3)]
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    expected = {(0, 0): 1.0, (1, 0): 26 / 42} | {(10 + k, 1): 1.0 for k in range(40)} | {(60 + k, 1): 26 / 42 for k in range(3)}
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got.collect()} == pytest.approx(expected)
+
+
 # 8: near-duplicate texts
 
 def test_dart_signatures_estimate_weighted_similarity():
