@@ -2,15 +2,16 @@
 
 Test items and documents are sequences of word hashes. The word ``n``-grams of the
 items are seeds, all of them: common ones too, as those may be all that an edited
-copy still has. One pass over the corpus cuts documents into overlapping passages,
-twice as long as the longest item, and keeps those with a seed. Seeds join passages
-to items; a pair with too few words in common to reach the threshold is dropped, and
+copy still has. Items go by length into few classes, each up to four times as long as the
+last. One pass over the corpus cuts documents, for each class, into overlapping
+passages, long enough that any alignment over the threshold lies whole in one of
+them, and keeps those with a seed. Seeds join passages to items; a pair with too few words in common to reach the threshold is dropped, and
 local alignment over words (match 1, mismatch and gap -1) scores the others; a score
-of at least ``threshold`` times the item's length is contamination. Items of
-more than ``PIECE_WORDS`` words are cut into pieces, each of which is one such item.
+of at least ``threshold`` times the item's length is contamination. Items are
+aligned whole, whatever their length; classes set only how long passages are.
 
-Executors get a Bloom filter of the seeds, whose size is fixed (``FILTER_BITS``
-bits) however many items there are; what passes by chance falls out at the join.
+Executors get a Bloom filter of each class's seeds, whose size is fixed
+(``FILTER_BITS`` bits) however many items there are; what passes by chance falls out at the join.
 
 Defined results: null, empty and wordless texts and items match nothing; items
 shorter than a seed are one seed of all their words; repeated items and documents
@@ -21,6 +22,7 @@ by :func:`decontaminate`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +35,10 @@ from .words import GOLDEN, mix, windows, word_hashes
 
 SEED_WORDS, THRESHOLD = 3, 0.5
 FILTER_BITS, FILTER_HASHES = 1 << 24, 3  # bits: a power of two
-#: Items over this many words are aligned in pieces of at most so many.
-PIECE_WORDS = 512
+#: Items of the first class have up to so many words.
+CLASS_WORDS = 64
+#: Cells in one row of the matrices that are aligned together.
+CELLS = 1 << 18
 
 
 class Bloom:
@@ -106,6 +110,11 @@ def _words32(text: str | None) -> np.ndarray:
     return (word_hashes(text) | np.uint64(1)) & np.uint64(0xFFFFFFFF)
 
 
+def _class(length: int) -> int:
+    """0 for up to ``CLASS_WORDS`` words, 1 for up to four times as many, and so on."""
+    return (((length - 1) // CLASS_WORDS).bit_length() + 1) // 2
+
+
 def _seeds(h: np.ndarray, n: int) -> np.ndarray:
     return windows(h, n).view(np.int64)
 
@@ -119,52 +128,58 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
             out = []
             for key, t in zip(batch["item_id"], batch["text"]):
                 h = _words32(t)
-                for k, part in enumerate(np.array_split(h, -(-len(h) // PIECE_WORDS)) if len(h) else []):
-                    out.append((key, k, part.astype(np.uint32).tobytes(), len(part), np.unique(_seeds(part, n))))
-            yield pd.DataFrame(out, columns=["item_id", "piece", "words", "length", "seeds"])
+                if len(h):
+                    out.append((key, _class(len(h)), h.astype(np.uint32).tobytes(), len(h), np.unique(_seeds(h, n))))
+            yield pd.DataFrame(out, columns=["item_id", "class", "words", "length", "seeds"])
 
     named = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null")
-    cut = store(named.mapInPandas(cut_items, "item_id long, piece long, words binary, length long, seeds array<long>"), "items")
-    item_seeds = cut.select("item_id", "piece", F.explode("seeds").alias("seed")).distinct()
-    shortest = cut.agg(F.min("length")).first()[0] or n
-
-    def grams(h: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """Seeds of ``n`` words and, if there are items so short, of fewer."""
-        return [(k, _seeds(h, k)) for k in range(min(shortest, n), n + 1) if len(h) >= k]
+    cut = store(named.mapInPandas(cut_items, "item_id long, class long, words binary, length long, seeds array<long>"), "items")
+    kept = store(cut.select("item_id", "class", F.explode("seeds").alias("seed")).distinct(), "seeds")
+    classes = [
+        (r["class"], min(r["shortest"], n), max(1, math.ceil((2 - threshold) * r["longest"])), _bloom(kept.filter(F.col("class") == r["class"]).select("seed").distinct()))
+        for r in cut.groupBy("class").agg(F.min("length").alias("shortest"), F.max("length").alias("longest")).collect()
+    ]
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
 
-    kept = store(item_seeds, "seeds")
-    chosen = _bloom(kept.select("seed").distinct())
-    longest = cut.agg(F.max("length")).first()[0] or 1
-
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Passages of twice ``longest`` words, each beginning ``longest`` words after the last."""
+        """Passages of twice ``span`` words, each beginning ``span`` words after the last.
+
+        An alignment over the threshold has at most ``span`` words of the document. Seeds
+        are of ``n`` words and, if there are items so short, of fewer.
+        """
         for batch in batches:
             out = []
             for key, t in zip(batch["doc_id"], batch["text"]):
                 h = _words32(t)
-                hit: dict[int, list[int]] = {}
-                for k, s in grams(h):
-                    for at in chosen.has(s.view(np.uint64)):
-                        own = int(at) // longest
-                        hit.setdefault(own, []).append(int(s[at]))
-                        if own and at + k <= (own + 1) * longest:
-                            hit.setdefault(own - 1, []).append(int(s[at]))
-                for p, found in hit.items():
-                    out.append((key, p, h[p * longest : (p + 2) * longest].astype(np.uint32).tobytes(), sorted(set(found))))
-            yield pd.DataFrame(out, columns=["doc_id", "passage", "words", "seeds"])
-
-    near = source.mapInPandas(passages, "doc_id long, passage long, words binary, seeds array<long>")
+                grams = {k: _seeds(h, k) for k in range(min((c[1] for c in classes), default=n), n + 1) if len(h) >= k}
+                for c, shortest, span, chosen in classes:
+                    hit: dict[int, list[int]] = {}
+                    for k, s in grams.items():
+                        for at in chosen.has(s.view(np.uint64)) if k >= shortest else ():
+                            own = int(at) // span
+                            hit.setdefault(own, []).append(int(s[at]))
+                            if own and at + k <= (own + 1) * span:
+                                hit.setdefault(own - 1, []).append(int(s[at]))
+                    for p, found in hit.items():
+                        out.append((key, c, p, h[p * span : (p + 2) * span].astype(np.uint32).tobytes(), sorted(set(found))))
+            yield pd.DataFrame(out, columns=["doc_id", "class", "passage", "words", "seeds"])
+
+    near = source.mapInPandas(passages, "doc_id long, class long, passage long, words binary, seeds array<long>")
     near = store(near, "passages")
-    pairs = near.select("doc_id", "passage", F.explode("seeds").alias("seed")).join(kept, "seed").select("doc_id", "passage", "item_id", "piece").distinct()
-    own = near.select("doc_id", "passage", F.col("words").alias("passage_words"))
-    tried = pairs.join(own, ["doc_id", "passage"]).join(cut.select("item_id", "piece", "words", "length"), ["item_id", "piece"])
+    pairs = near.select("doc_id", "class", "passage", F.explode("seeds").alias("seed")).join(kept, ["class", "seed"]).select("doc_id", "class", "passage", "item_id").distinct()
+    own = near.select("doc_id", "class", "passage", F.col("words").alias("passage_words"))
+    tried = pairs.join(own, ["doc_id", "class", "passage"]).join(cut.select("item_id", "class", "words", "length"), ["item_id", "class"])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
+            widths = batch["passage_words"].map(len).to_numpy() // 4
+            batch, widths = batch.iloc[np.argsort(widths, kind="stable")], np.sort(widths)
+            at = 0
+            while at < len(batch):
+                most = min(at + 256, len(batch))
+                part = batch.iloc[at : min(most, at + max(1, CELLS // int(widths[most - 1])))]
+                at += len(part)
                 a, b = _padded(part["words"]), _padded(part["passage_words"])
                 may = shared_words(a, b) >= threshold * part["length"].to_numpy()
                 if not may.any():

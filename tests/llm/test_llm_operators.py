@@ -277,6 +277,17 @@ def test_contamination_finds_edited_copies_beside_verbatim_ones(spark):
     assert {(r["doc_id"], r["item_id"]): r["score"] for r in got.collect()} == pytest.approx(expected)
 
 
+def test_contamination_scores_long_items_whole(spark):
+    items = {0: sentence(800, 700), 1: sentence(801, 45), 2: sentence(802, 512), 3: sentence(803, 66)}
+    w = items[0].split()
+    stretched = {i: " ".join(f"{x} ins{k}" if k % 5 < 2 else x for k, x in enumerate(items[i].split())) for i in (2, 3)}
+    docs = {0: items[0], 1: " ".join(w[100:320]), 2: sentence(1, 500) + " " + " ".join(w[:200] + w[300:650]) + " " + items[1], 3: " ".join(w[300:320]) + " " + sentence(2, 300)}
+    docs |= {10 + k: sentence(3, 13 * k) + " " + stretched[3] for k in range(10)} | {20: sentence(4, 700) + " " + stretched[2]}
+    got = decontam.contamination(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    expected = {(0, 0): 1.0, (2, 0): 450 / 700, (2, 1): 1.0, (20, 2): (512 - 205) / 512} | {(10 + k, 3): 40 / 66 for k in range(10)}
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got.collect()} == pytest.approx(expected)
+
+
 # 8: near-duplicate texts
 
 def test_dart_signatures_estimate_weighted_similarity():
