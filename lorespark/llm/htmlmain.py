@@ -4,7 +4,9 @@ A page is a sequence of words and tags. Each gets a weight by its kind: the log-
 of lying in the main text, for a word by the elements around it (tag names and words
 of class, id and role), for a tag by its name; words are pushed up by ``MARGIN`` and
 tags are always negative. Weights are learned from labelled pages: those whose markup itself names
-the main text (``article`` or ``main``), at most ``sample`` of them. One linear scan
+the main text (one ``article`` or ``main`` outside the parts below), at most ``sample`` of them. The
+two tags only label; they are no part of a word's kind, so pages that use them for something else, or
+not at all, are weighed like others. One linear scan
 finds the contiguous run with the largest sum; from its blocks of text those go that
 lie in elements for navigation, notices, adverts, forms, comments and the like.
 
@@ -47,7 +49,9 @@ OUTSIDE_WORDS = frozenset(
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|([^<]+|<)", re.S)
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-MAIN = re.compile(r"<(?:article|main)[\s>]", re.I)
+#: Elements that label, and words of class, id and role that make one a reader's comment.
+MAIN = frozenset(("article", "main"))
+REMARK = frozenset(("comment", "reply"))
 PART = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -68,6 +72,7 @@ class Page:
     counts: list[int] = field(default_factory=list)  # words that a token stands for; 0 for a tag
     labels: list[bool] = field(default_factory=list)
     blocks: list[tuple[int, str, bool]] = field(default_factory=list)  # (first token, text, lies outside)
+    mains: int = 0  # outermost ``MAIN`` elements that do not lie outside
 
 
 def _names(attributes: str) -> frozenset[str]:
@@ -92,7 +97,6 @@ def parse(source: str | None) -> Page:
         block_at[0] = len(page.kinds)
 
     raw, at, lowered = source or "", 0, None
-    has_main = MAIN.search(raw) is not None
     while at < len(raw):
         m = TOKEN.match(raw, at)
         if m is None:  # an opening bracket whose tag never ends
@@ -103,10 +107,9 @@ def parse(source: str | None) -> Page:
         if plain is not None:
             words = html.unescape(plain)
             if words.strip():
-                around = {e.name for e in open_elements[-4:] if e.name not in INLINE}
+                around = {e.name for e in open_elements[-4:] if e.name not in INLINE and e.name not in MAIN}
                 named = {w for e in open_elements for w in e.words}
-                place = ("@main" if main else "@beside",) if has_main else ()
-                page.kinds.append(("word", *place, *sorted(around), *sorted("." + w for w in named)))
+                page.kinds.append(("word", *sorted(around), *sorted("." + w for w in named)))
                 page.counts.append(len(words.split()))
                 page.labels.append(main and not outside)
             text.append(words)
@@ -141,8 +144,10 @@ def parse(source: str | None) -> Page:
             outside, main = state()
             words = _names(attributes)
             page_part = name == "header" and not main
-            hidden = name in OUTSIDE or name == "head" or page_part or (bool(words & OUTSIDE_WORDS) and name not in ("html", "body", "article", "main"))
-            open_elements.append(Element(name, words, outside or hidden, main or name in ("article", "main")))
+            hidden = name in OUTSIDE or name == "head" or page_part or (bool(words & OUTSIDE_WORDS) and name not in ("html", "body", *MAIN)) or (name == "article" and bool(words & REMARK))
+            names_main = name in MAIN and not (outside or hidden)
+            page.mains += names_main and not main
+            open_elements.append(Element(name, words, outside or hidden, main or names_main))
     flush(state()[0])
     return page
 
@@ -150,12 +155,12 @@ def parse(source: str | None) -> Page:
 class Weights:
     """Log-odds of the parts of tokens' kinds; a token has those of its likeliest part, an unknown part 0.
 
-    On pages that name their main text, lying in it or beside it is the only part that counts for words.
+    Pages with no or several ``MAIN`` elements (marks in scripts, lists of teasers) do not say which text is the main one and are left out.
     """
 
     def __init__(self, pages: list[Page]):
         inside, outside = Counter(), Counter()
-        for page in pages:
+        for page in (p for p in pages if p.mains == 1):
             for kind, count, label in zip(page.kinds, page.counts, page.labels):
                 for part in kind[1:] or ("",):
                     (inside if label else outside)[kind[0], part] += max(count, 1)
@@ -165,8 +170,7 @@ class Weights:
     def of(self, page: Page) -> np.ndarray:
         out = np.empty(len(page.kinds))
         for i, (kind, count) in enumerate(zip(page.kinds, page.counts)):
-            parts = kind[1:2] if kind[1:2] in (("@main",), ("@beside",)) else kind[1:]
-            odds = max([self.odds.get((kind[0], p), 0.0) for p in parts], default=0.0)
+            odds = max([self.odds.get((kind[0], p), 0.0) for p in kind[1:]], default=0.0)
             if kind[0] == "word":
                 out[i] = count * (odds + MARGIN)
             else:

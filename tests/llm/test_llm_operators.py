@@ -364,6 +364,19 @@ def test_extraction(spark):
     assert got[2] == got[3] == "" and got[4] == "plain words" and got[5] == "open < text"
 
 
+def test_extraction_does_not_hang_on_the_article_tag():
+    weights = htmlmain.Weights([htmlmain.parse(PAGE)] * 3)
+    story = " ".join(f"Word{k}" for k in range(60))
+    page = "<html><head><title>T</title></head><body><nav><a>Home</a></nav>{}<footer>me</footer></body></html>"
+    body = f"<div class='text'><p>{story}</p></div>"
+    remarks = "<article><p>Nice post by a reader of this</p></article>" * 3
+    for extra in (f"<section class='comments'>{remarks}</section>", remarks.replace("<article", "<article class='comment'"), "<script>var t = '<main>' + '<article>';</script>", "<!-- <main> <article> -->"):
+        assert htmlmain.main_text(page.format(body + extra), weights) == story
+    cards = "<div>" + "<article><h3>Card</h3><p>Read this too</p></article>" * 4 + "</div>"
+    assert story in htmlmain.main_text(page.format(body + cards), weights).split("\n")
+    assert htmlmain.Weights([htmlmain.parse(page.format(body + cards)), htmlmain.parse(page.format(body + "<script>'<main>'</script>"))]).odds == {}
+
+
 # Words
 
 def test_word_hashes_stand_for_words():
