@@ -35,6 +35,8 @@ SAMPLE, MARGIN = 600, 1.0
 #: Fixed values of HTML: elements without content, elements whose content is no text, elements that do not break a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe svg math head select object canvas".split())
+#: Ends of raw elements, looked for in the source itself, as lower-casing can change its length.
+ENDS = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements, and words of class, id and role, that hold no main text.
@@ -96,7 +98,7 @@ def parse(source: str | None) -> Page:
             page.blocks.append((block_at[0], joined, outside))
         block_at[0] = len(page.kinds)
 
-    raw, at, lowered = source or "", 0, None
+    raw, at = source or "", 0
     while at < len(raw):
         m = TOKEN.match(raw, at)
         if m is None:  # an opening bracket whose tag never ends
@@ -129,9 +131,8 @@ def parse(source: str | None) -> Page:
                 while open_elements.pop().name != name:
                     pass
         elif name in RAW and name != "head":
-            lowered = lowered or raw.lower()
-            end = lowered.find(f"</{name}", at)
-            at = len(raw) if end < 0 else end
+            end = ENDS[name].search(raw, at)
+            at = end.start() if end else len(raw)
             open_elements.append(Element(name, frozenset(), True, False))
         elif name not in VOID:
             if name in ENDS_P:

@@ -377,6 +377,12 @@ def test_extraction_does_not_hang_on_the_article_tag():
     assert htmlmain.Weights([htmlmain.parse(page.format(body + cards)), htmlmain.parse(page.format(body + "<script>'<main>'</script>"))]).odds == {}
 
 
+def test_extraction_of_letters_that_grow_in_lower_case():
+    weights = htmlmain.Weights([])
+    page = "<body><div><p>" + "\u0130stanbul " * 40 + "</p><SCRIPT>var a = '<p>';</Script><p>After the script</p></div><p>The last words of this page</p></body>"
+    assert htmlmain.main_text(page, weights) == " ".join(["\u0130stanbul"] * 40) + "\nAfter the script\nThe last words of this page"
+
+
 # Words
 
 def test_word_hashes_stand_for_words():
