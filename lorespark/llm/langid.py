@@ -33,8 +33,8 @@ from .common import bounded_sample, small_batches
 from .words import GOLDEN
 
 PIECE, SAMPLE, LANDMARKS, RIDGE = 200, 1500, 128, 1e-2
-#: Which of the first 2**16 code points are letters; those above count as letters.
-LETTER = np.array([chr(c).isalpha() for c in range(1 << 16)])
+#: Which code points are letters.
+LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
 SLOTS = 18
 
 
@@ -45,7 +45,7 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     points, 21 bits each, and lies within a word and the spaces at its ends.
     """
     codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = np.where(LETTER[np.minimum(codes, 0xFFFF)] | (codes > 0xFFFF), codes, 32)
+    codes = np.where(LETTER[codes], codes, 32)
     codes = np.concatenate([[32], codes, [32]]).astype(np.uint64)
     gap = codes == 32
     keep = ~gap | np.concatenate([[True], ~gap[:-1]])

@@ -201,6 +201,13 @@ def test_toxicity_learns_and_locates(spark):
     assert toxicity.train([], np.array([])).score("x") < 1e-6 and toxicity.train(["a"], np.array([1])).score("x") > 0.99
 
 
+def test_language_of_astral_symbols_and_letters():
+    assert [langid.grams(t)[2] for t in ("\U0001f600\U0001f680 \U0001f600", "\U0001d11e", "\U00020000\U00020001", "a\U0001f600b")] == [0, 0, 1, 1]
+    assert set(langid.grams("a\U0001f600b")[0].tolist()) == set(langid.grams("a b")[0].tolist())
+    model = langid.train(["abc abd", "xyz xyw"], ["a", "b"])
+    assert np.isnan(model.scores(["\U0001f600\U0001f600 \U0001f680"])).all()
+
+
 def test_language(spark):
     syllables = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "urt", "ein"], "cc": ["ção", "ñe", "les"]}
     rng = np.random.default_rng(6)
