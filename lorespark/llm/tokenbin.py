@@ -1,19 +1,23 @@
 """Token ids as canonical, length-limited Huffman codes in independent blocks.
 
-Documents are range-partitioned and sorted by id, encoded whole, and gathered
-into blocks of whole documents with at least ``block_tokens`` ids (a longer
-document has a block of its own). Counts of all ids give code lengths of at most
-``max_bits`` by package-merge; codes are canonical, so lengths alone restore them.
-
-File format: a folder with two Parquet tables. ``codebook``: (symbol, bits), one
-row for every id that occurs. ``blocks``: (shard, block, start, doc_ids,
-doc_tokens, bit_offsets, payload); ``start`` is the number of ids in all blocks
-before it, ``payload`` the bit string, most significant bit first, and
-``bit_offsets`` the place of every ``every``-th id, so decoders can start there.
-Blocks are rows, so Spark's own writer commits them and lost tasks are run anew.
+One pass encodes whole texts where they lie and counts the ids; the ids, a fraction
+of the text's bytes, are then range-partitioned and sorted by document id and packed
+into blocks of whole documents with at least ``block_tokens`` ids (a longer document
+has a block of its own). The counts give code lengths of at most ``max_bits`` (more
+only if there are more ids than such codes) by package-merge; codes are canonical, so
+lengths alone restore them.
+
+File format: a folder with three Parquet tables. ``codebook``: (symbol, bits), one
+row for every id that occurs. ``blocks``: (shard, block, begin, doc_ids, doc_tokens,
+every, bit_offsets, payload), files and rows in ascending order of document ids;
+``begin`` is the number of ids in the shard's blocks before it, ``payload`` the bit
+string, most significant bit first, and ``bit_offsets`` the place of every
+``every``-th id, so decoders can start there. ``shards``: (shard, offset), the number
+of ids in all shards before it. Blocks are rows, so Spark's own writer commits them
+and lost tasks are run anew.
 
 Defined results: null and empty texts are just the end id; null ids sort first;
-rows with equal ids follow the hash of their text; an empty table gives empty
+rows with equal ids follow the hash of their ids; an empty table gives empty
 tables. Columns other than the id and the text are not part of the format.
 """
 
@@ -22,7 +26,9 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -37,20 +43,38 @@ from .common import new_path, small_batches, store
 #: versions agree), and the printable character that stands for each byte.
 LATIN = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 NUMERIC = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
-PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[{NUMERIC}]+| ?[^\s{LATIN}{NUMERIC}]+|\s+(?!\S)|\s+")
+PIECE = re.compile(rf" ?[{LATIN}]+| ?[{NUMERIC}]+|'(?:[stmd]|re|ve|ll)| ?[^\s{LATIN}{NUMERIC}]+|\s+(?!\S)|\s+")
 PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u201f\u2026]*")
 PRINTABLE = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
 #: Most pieces whose ids a worker remembers, and the longest piece it does so for.
-REMEMBERED, REMEMBERED_CHARS = 300_000, 64
+REMEMBERED, REMEMBERED_CHARS = 500_000, 64
 _encoders: dict[str, Encoder] = {}
 
 
+class Pieces(dict):
+    """Ids of the pieces that byte-level BPE encodes one by one, asked of the library's model once for each distinct piece."""
+
+    def __init__(self, tokenize: Callable[[str], list], width: np.dtype):
+        spare = iter(range(256, 512))
+        self.letters = {b: chr(b if b in PRINTABLE else next(spare)) for b in range(256)}
+        self.tokenize, self.pack = tokenize, partial(array, "H" if width.itemsize == 2 else "I")
+
+    def __missing__(self, piece: str) -> bytes:
+        plain = piece.isascii() and piece.isprintable()
+        spelled = piece.replace(" ", self.letters[32]) if plain else piece.encode().decode("latin-1").translate(self.letters)
+        found = self.pack([t.id for t in self.tokenize(spelled)]).tobytes()
+        if len(piece) <= REMEMBERED_CHARS and len(self) < REMEMBERED:
+            self[piece] = found
+        return found
+
+
 class Encoder:
     """Encodes whole texts by the tokenizers library.
 
     A text of Latin letters is cut into the pieces that byte-level BPE encodes one by
-    one, and the library's model is asked once for each distinct piece; every other
-    text, and every other kind of tokenizer, goes to the library as it is.
+    one, and the library's model is asked once for each distinct piece (of the first
+    ``REMEMBERED``); every other text, and every other kind of tokenizer, goes to the
+    library as it is.
     """
 
     def __init__(self, path: str):
@@ -62,9 +86,7 @@ class Encoder:
         cutter = config["pre_tokenizer"] or {}
         self.by_piece = config["model"]["type"] == "BPE" and config["normalizer"] is None and cutter.get("type") == "ByteLevel" and cutter.get("use_regex") and not cutter.get("add_prefix_space")
         self.special = [t["content"] for t in config["added_tokens"]]
-        spare = iter(range(256, 512))
-        self.letters = {b: chr(b if b in PRINTABLE else next(spare)) for b in range(256)}
-        self.known: dict[str, bytes] = {}
+        self.pieces = Pieces(self.tokenizer.model.tokenize, self.width)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -72,30 +94,20 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def piece(self, piece: str) -> bytes:
-        found = self.known.get(piece)
-        if found is None:
-            spelled = piece.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.width).tobytes()
-            if len(piece) <= REMEMBERED_CHARS and len(self.known) < REMEMBERED:
-                self.known[piece] = found
-        return found
-
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.by_piece and PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            return b"".join(map(self.piece, PIECE.findall(text)))
+            return b"".join(map(self.pieces.__getitem__, PIECE.findall(text)))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
 
 
 def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:
-    """Lengths of an optimal prefix code with none over ``max_bits``, by package-merge."""
+    """Lengths of an optimal prefix code with none over ``max_bits`` (or what ``n`` codes need), by package-merge."""
     n = len(counts)
     if n < 2:
         return np.ones(n, np.int64)
-    if n > 1 << max_bits:
-        raise ValueError(f"{n} symbols do not fit codes of {max_bits} bits")
+    max_bits = max(max_bits, (n - 1).bit_length())
     order = np.argsort(counts, kind="stable")
     leaves = counts[order].astype(np.float64)
     packages, is_leaf = np.empty(0), []
@@ -141,14 +153,23 @@ class Codec:
         self.bits_at[: spans.sum()] = np.repeat(lengths[order], spans)
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(bit string, place of every ``every``-th id); codes are added up in 64-bit words, of which each spans two at most."""
+        if not len(ids):
+            return b"", np.zeros(0, np.int64)
         bits = self.bits[ids]
         ends = np.cumsum(bits)
         begins = ends - bits
-        total = int(ends[-1]) if len(ends) else 0
-        word = self.code[ids] << (32 - (begins & 7) - bits)
-        at, size = begins >> 3, (total >> 3) + 5
-        out = sum(np.bincount(at + k, weights=(word >> (24 - 8 * k)) & 255, minlength=size) for k in range(4))
-        return out.astype(np.uint8)[: (total + 7) // 8].tobytes(), begins[:: self.every]
+        word, room = begins >> 6, 64 - (begins & 63) - bits
+        code, over = self.code[ids].view(np.uint64), np.flatnonzero(room < 0)
+        shift = np.maximum(room, 0).astype(np.uint64)
+        part = code << shift
+        part[over] = code[over] >> (-room[over]).astype(np.uint64)
+        total = int(ends[-1])
+        out = np.zeros((total >> 6) + 2, np.uint64)
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[first]] = np.add.reduceat(part, first)
+        out[word[over] + 1] += code[over] << (64 + room[over]).astype(np.uint64)
+        return out.astype(">u8").tobytes()[: (total + 7) // 8], begins[:: self.every]
 
     def decode(self, payload: bytes, offsets: np.ndarray, n: int) -> np.ndarray:
         """All runs between checkpoints at once, one id of each run a step."""
@@ -165,112 +186,126 @@ class Codec:
         return out.reshape(-1)[:n]
 
 
-STAGED = "shard int, block int, begin long, doc_ids array<long>, doc_tokens array<long>, ids binary"
-BLOCKS = "shard int, block int, start long, doc_ids array<long>, doc_tokens array<long>, bit_offsets array<long>, payload binary"
+ENCODED = "doc_id long, ids binary, counts binary"
+BLOCKS = "shard int, block int, begin long, doc_ids array<long>, doc_tokens array<long>, every int, bit_offsets array<long>, payload binary"
+SHARDS = "shard int, offset long"
+
+
+def encode_documents(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
+    """(doc_id, ids, counts): the ids of each document, and at a task's end one row with the counts of all its ids."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = Encoder.of(tokenizer)
+        end, total = np.array([end_id], encoder.width).tobytes(), np.zeros(0, np.int64)
+        for batch in batches:
+            ids = [encoder.encode(t) + end for t in batch["text"].tolist()]
+            got = np.bincount(np.frombuffer(b"".join(ids), encoder.width))
+            total, got = (total, got) if len(total) >= len(got) else (got, total)
+            total[: len(got)] += got
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": ids, "counts": None})
+        if len(total):
+            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "ids": None, "counts": [total.astype("<i8").tobytes()]})
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(encode, ENCODED)
+
 
+def counts_of(encoded: DataFrame) -> pd.DataFrame:
+    """(symbol, n) of all ids: at most one row for each id of the vocabulary."""
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for counts in batch["counts"]:
+                n = np.frombuffer(counts, "<i8")
+                symbols = np.flatnonzero(n)
+                yield pd.DataFrame({"symbol": symbols.astype(np.int32), "n": n[symbols]})
 
-def tokenize(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 0, block_tokens: int = 1 << 16, shards: int) -> DataFrame:
-    """Blocks of plain ids in ascending order of document ids."""
-    if not 0 < block_tokens:
-        raise ValueError("block_tokens must be positive")
+    found = encoded.filter("counts is not null").select("counts").mapInPandas(parts, "symbol int, n long")
+    return found.groupBy("symbol").agg(F.sum("n").alias("n")).toPandas().sort_values("symbol")
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, shard = Encoder.of(tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], encoder.width).tobytes()
-        held: list[tuple[int | None, int, bytes]] = []
+
+def packed_blocks(encoded: DataFrame, width: str, symbols: np.ndarray, lengths: np.ndarray, *, every: int, block_tokens: int, shards: int) -> DataFrame:
+    """``BLOCKS`` of the encoded documents, in ascending order of document ids."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        codec, shard, size = Codec(symbols, lengths, every), TaskContext.get().partitionId(), np.dtype(width).itemsize
+        held: list[tuple[int | None, bytes]] = []
         block = begin = tokens = 0
 
         def cut() -> pd.DataFrame:
-            row = (shard, block, begin, [None if pd.isna(h[0]) else int(h[0]) for h in held], [h[1] for h in held], b"".join(h[2] for h in held))
-            return pd.DataFrame([row], columns=["shard", "block", "begin", "doc_ids", "doc_tokens", "ids"])
+            payload, places = codec.encode(np.frombuffer(b"".join([h[1] for h in held]), width))
+            row = (shard, block, begin, [None if pd.isna(h[0]) else int(h[0]) for h in held], [len(h[1]) // size for h in held], every, places, payload)
+            return pd.DataFrame([row], columns=["shard", "block", "begin", "doc_ids", "doc_tokens", "every", "bit_offsets", "payload"])
 
         for batch in batches:
-            for key, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
-                ids = encoder.encode(text) + end
-                held.append((key, len(ids) // encoder.width.itemsize, ids))
-                tokens += held[-1][1]
+            for key, ids in zip(batch["doc_id"].tolist(), batch["ids"].tolist()):
+                held.append((key, ids))
+                tokens += len(ids) // size
                 if tokens >= block_tokens:
                     yield cut()
                     held, block, begin, tokens = [], block + 1, begin + tokens, 0
         if held:
             yield cut()
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    order = [F.col("doc_id"), F.xxhash64("text")]
-    return rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInPandas(blocks, STAGED)
+    order = [F.col("doc_id"), F.xxhash64("ids")]
+    rows = encoded.filter("counts is null").select("doc_id", "ids")
+    return rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInPandas(pack, BLOCKS)
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, max_bits: int = 16, every: int = 128, shards: int | None = None, **options) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, max_bits: int = 16, every: int = 128, block_tokens: int = 1 << 16, shards: int | None = None, **options) -> None:
     """Write the format described above to the folder ``path``.
 
-    The driver holds a count for each id of the vocabulary and one offset a shard.
+    The driver holds a count for each id of the vocabulary.
     """
+    if every < 1 or block_tokens < 1:
+        raise ValueError("every and block_tokens must be positive")
     spark = docs.sparkSession
     small_batches(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    width = Encoder.of(tokenizer).width.str
-    staged = store(tokenize(docs, tokenizer, shards=shards, **options), "tokens")
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(0, np.int64)
-        for batch in batches:
-            for ids in batch["ids"]:
-                got = np.bincount(np.frombuffer(ids, width))
-                total, got = (total, got) if len(total) >= len(got) else (got, total)
-                total[: len(got)] += got
-        symbols = np.flatnonzero(total)
-        yield pd.DataFrame({"symbol": symbols.astype(np.int32), "n": total[symbols]})
-
-    counted = staged.select("ids").mapInPandas(count, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toPandas().sort_values("symbol")
+    encoded = store(encode_documents(docs, tokenizer, **options), "tokens")
+    counted = counts_of(encoded)
     symbols = counted["symbol"].to_numpy(np.int64)
     lengths = code_lengths(counted["n"].to_numpy(np.int64), max_bits)
     book = spark.createDataFrame(pd.DataFrame({"symbol": symbols.astype(np.int32), "bits": lengths.astype(np.int32)}), "symbol int, bits int")
     book.coalesce(1).write.parquet(f"{path}/codebook")
-    totals = staged.groupBy("shard").agg(F.sum(F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
-    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    starts = {r["shard"]: r["offset"] for r in offsets.toLocalIterator()}
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(symbols, lengths, every)
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                payload, checkpoints = codec.encode(np.frombuffer(row.ids, width))
-                out = (row.shard, row.block, starts[row.shard] + row.begin, row.doc_ids, row.doc_tokens, checkpoints, payload)
-                yield pd.DataFrame([out], columns=["shard", "block", "start", "doc_ids", "doc_tokens", "bit_offsets", "payload"])
-
-    staged.mapInPandas(pack, BLOCKS).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    blocks = packed_blocks(encoded, Encoder.of(tokenizer).width.str, symbols, lengths, every=every, block_tokens=block_tokens, shards=shards)
+    blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    written = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
+    totals = written.groupBy("shard").agg(F.sum(F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"))
+    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)  # one row a shard
+    totals.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")).coalesce(1).write.parquet(f"{path}/shards")
 
 
 def _codebook(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray]:
-    book = spark.read.schema("symbol int, bits int").parquet(f"{path}/codebook").toPandas()
+    book = spark.read.schema("symbol int, bits int").parquet(f"{path}/codebook").toPandas().sort_values("symbol")
     return book["symbol"].to_numpy(np.int64), book["bits"].to_numpy(np.int64)
 
 
-def _decoded(spark: SparkSession, path: str, every: int, schema: str, row_of) -> DataFrame:
+def _decoded(spark: SparkSession, path: str, schema: str, row_of) -> DataFrame:
     symbols, lengths = _codebook(spark, path)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(symbols, lengths, every)
-        names = [x.split()[0] for x in schema.split(", ")]
+        codec, names = None, [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
             for row in batch.itertuples(index=False):
-                ends = np.cumsum(row.doc_tokens)
+                if codec is None or codec.every != row.every:
+                    codec = Codec(symbols, lengths, row.every)
+                ends, start = np.cumsum(row.doc_tokens), row.offset + row.begin
                 ids = codec.decode(row.payload, row.bit_offsets, int(ends[-1]))
-                rows = [(None if pd.isna(k) else int(k), int(row.start + e - n), int(n), *row_of(ids[e - n : e])) for k, n, e in zip(row.doc_ids, row.doc_tokens, ends)]
+                rows = [(None if pd.isna(k) else int(k), int(start + e - n), int(n), *row_of(ids[e - n : e])) for k, n, e in zip(row.doc_ids, row.doc_tokens, ends)]
                 yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").mapInPandas(unpack, schema)
+    offsets = spark.read.schema(SHARDS).parquet(f"{path}/shards")
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").join(F.broadcast(offsets), "shard").mapInPandas(unpack, schema)
 
 
-def read_tokens(spark: SparkSession, path: str, every: int = 128) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The documents of a folder that :func:`write_tokens` has written: doc_id, start, n_tokens, ids."""
-    return _decoded(spark, path, every, "doc_id long, start long, n_tokens long, ids array<int>", lambda ids: (ids.astype(np.int32),))
+    return _decoded(spark, path, "doc_id long, start long, n_tokens long, ids array<int>", lambda ids: (ids.astype(np.int32),))
 
 
-def digest(spark: SparkSession, path: str, every: int = 128) -> DataFrame:
+def digest(spark: SparkSession, path: str) -> DataFrame:
     """As :func:`read_tokens`, with the crc32 of the ids as little-endian unsigned 32-bit integers in their place."""
-    return _decoded(spark, path, every, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda ids: (zlib.crc32(ids.astype("<u4").tobytes()),))
+    return _decoded(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda ids: (zlib.crc32(ids.astype("<u4").tobytes()),))
 
 
 def token_report(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
