@@ -3,11 +3,13 @@
 A document is a bag of sentences. A sentence is a sparse vector of its words and their
 beginnings; its probability is a logistic function of their weights.
 A document is toxic if any sentence is: 1 - prod(1 - p), the noisy-or, so document
-labels alone train sentence scores. Training is full-batch Adam with weight decay, on the driver, over at most ``sample`` labelled documents (those with the
+labels alone train sentence scores. In scoring, sentences of a probability under
+``LEAST`` have no say, but for one that stands for the text as a whole: thousands of
+harmless sentences do not add up to a toxic document. Training is full-batch Adam with weight decay, on the driver, over at most ``sample`` labelled documents (those with the
 smallest hash of the id).
 
-Defined results: null, empty and blank texts have one sentence without words and get
-the model's score for it; without labelled rows of both classes the score is the
+Defined results: blank sentences do not count; null, empty and blank texts get the
+model's score for a sentence without words; without labelled rows of both classes the score is the
 share of toxic rows, 0 without any. Scores depend on the text alone; other columns
 are carried by :func:`score` and ignored by :func:`fit`.
 """
@@ -27,7 +29,7 @@ from .common import small_batches
 from .quality import labelled_sample
 from .words import shingles
 
-SAMPLE, STEPS, RATE, DECAY, EVIDENCE = 6000, 150, 0.1, 1e-4, 22.0
+SAMPLE, STEPS, RATE, DECAY, EVIDENCE, LEAST = 6000, 150, 0.1, 1e-4, 22.0, 0.02
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 WORD = re.compile(r"[^\W\d_]+")
 BEGINNINGS = range(3, 9)
@@ -43,6 +45,11 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return [m.span() for m in SENTENCE.finditer(text or "") if not m.group().isspace()]
 
 
+def _parts(text: str | None) -> list[str]:
+    """The texts of :func:`sentences`; one empty sentence if there is none."""
+    return [p for p in SENTENCE.findall(text or "") if not p.isspace()] or [""]
+
+
 class Model:
     """Weights of features, and through them of words; words are remembered up to ``most``."""
 
@@ -64,8 +71,9 @@ class Model:
         return self.bias + sum(map(self.word, WORD.findall(sentence.lower())))
 
     def score(self, text: str | None) -> float:
-        z = np.array([self.sentence_logit(t) for t in SENTENCE.findall(text or "") or [""]])
-        return float(-np.expm1(-np.logaddexp(0, z).sum()))
+        z = np.array([self.bias, *map(self.sentence_logit, _parts(text))])
+        doubt = np.logaddexp(0, z)  # -log(1 - p)
+        return float(-np.expm1(-doubt[0] - doubt[1:][doubt[1:] >= -np.log1p(-LEAST)].sum()))
 
     def locate(self, text: str | None, least: float = 0.3) -> list[tuple[int, int, float]]:
         """(start, end, probability) of the sentences of ``text`` whose own probability is at least ``least``."""
@@ -83,16 +91,16 @@ def _evidence(k: int, n: int, share: float) -> float:
 def train(texts: list[str | None], labels: np.ndarray, *, steps: int = STEPS, rate: float = RATE, decay: float = DECAY, evidence: float = EVIDENCE) -> Model:
     """Only features take part whose log-likelihood ratio against the labels is at least ``evidence``.
 
-    Of texts that share one of their four smallest shingle hashes the first counts, so that
-    copies do not make evidence of a passage's every word.
+    Of texts of one label that share one of their four smallest shingle hashes the first
+    counts, so that copies do not make evidence of a passage's every word.
     """
-    seen: set[int] = set()
+    seen: tuple[set[int], set[int]] = (set(), set())
     alone = []
     for i, text in enumerate(texts):
-        sketch = shingles(text, 5)[:4].tolist()
-        if not seen.intersection(sketch):
+        sketch, met_before = shingles(text, 5)[:4].tolist(), seen[int(labels[i] > 0)]
+        if not met_before.intersection(sketch):
             alone.append(i)
-        seen.update(sketch)
+        met_before.update(sketch)
     texts, labels = [texts[i] for i in alone], labels[alone]
     n = len(labels)
     share = float(labels.mean()) if n else 0.0
@@ -100,7 +108,7 @@ def train(texts: list[str | None], labels: np.ndarray, *, steps: int = STEPS, ra
         return Model({}, 40.0 if share else -40.0)
 
     def bag(text: str | None) -> list[list[str]]:
-        return [WORD.findall(p) for p in SENTENCE.findall((text or "").lower()) or [""]]
+        return [WORD.findall(p) for p in _parts((text or "").lower())]
 
     def met(text: str | None) -> set[str]:
         return {f for w in {w for p in bag(text) for w in p} for f in features(w)}
