@@ -16,7 +16,8 @@ a long one; texts to be scored are taken whole, as the mean over all their piece
 
 Defined results: null texts and texts without a letter are ``und`` with score 0;
 without labelled rows every text is; with one language it is that one. The result
-depends on the text alone; other columns are carried by :func:`predict`.
+depends on the text alone; other columns are carried by :func:`predict`, which replaces
+columns named ``lang_pred`` and ``score``.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from .words import GOLDEN
 PIECE, SAMPLE, LANDMARKS, RIDGE = 200, 1500, 128, 1e-2
 #: Which code points are letters.
 LETTER = np.array([chr(c).isalpha() for c in range(0x110000)])
+#: A vocabulary's hash tables have two to the power of so many slots.
 SLOTS = 18
 
 
@@ -61,30 +63,47 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(found), np.concatenate(owner), int(piece[-1]) + 1
 
 
-def _slot(h: np.ndarray) -> np.ndarray:
-    return (h * GOLDEN) >> np.uint64(64 - SLOTS)
+def _slot(h: np.ndarray, nth: int) -> np.ndarray:
+    return (h * (GOLDEN + np.uint64(2 * nth))) >> np.uint64(64 - SLOTS)
 
 
 @dataclass
 class Model:
-    vocabulary: np.ndarray  # n-grams of the landmarks, no two in one slot
+    vocabulary: np.ndarray  # n-grams of the landmarks
     presence: np.ndarray  # n-grams x landmarks, columns of length 1
     weights: np.ndarray  # landmarks x languages
     languages: list[str]
 
     def __post_init__(self) -> None:
-        self.place = np.zeros(1 << SLOTS, np.int32)
-        self.place[_slot(self.vocabulary)] = np.arange(len(self.vocabulary))
+        """Places of n-grams in hash tables: those whose slot is taken go to the next table."""
+        self.tables: list[np.ndarray] = []
+        left = np.arange(len(self.vocabulary))
+        while len(left):
+            table = np.zeros(1 << SLOTS, np.int32)
+            slots, first = np.unique(_slot(self.vocabulary[left], len(self.tables)), return_index=True)
+            table[slots] = left[first]
+            self.tables.append(table)
+            left = np.delete(left, first)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions of the n-grams of ``h`` that are in the vocabulary, their places in it)."""
+        at, places, left = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], np.arange(len(h))
+        for nth, table in enumerate(self.tables):
+            place = table[_slot(h[left], nth)]
+            known = self.vocabulary[place] == h[left]
+            at.append(left[known])
+            places.append(place[known])
+            left = left[~known]
+        return np.concatenate(at), np.concatenate(places)
 
     def kernel(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(kernel values of each piece against the landmarks, text of each piece)."""
         rows, cells, owner, total = [], [], [], 0
         for i, text in enumerate(texts):
             h, at, n = grams(text)
-            place = self.place[_slot(h)]
-            known = self.vocabulary[place] == h
+            known, place = self.find(h)
             rows.append(at[known] + total)
-            cells.append(place[known])
+            cells.append(place)
             owner.append(np.full(n, i))
             total += n
         out = np.zeros((total, self.presence.shape[1]), np.float32)
@@ -127,7 +146,6 @@ def train(texts: list[str | None], languages: list[str], *, landmarks: int = LAN
         ranked.append((turn[language], i))
     chosen = [i for _, i in sorted(ranked)[:landmarks]]
     vocabulary = np.unique(np.concatenate([pieces[i][0] for i in chosen]))
-    vocabulary = vocabulary[np.unique(_slot(vocabulary), return_index=True)[1]]
     presence = np.stack([np.isin(vocabulary, pieces[i][0]) for i in chosen], 1).astype(np.float32)
     presence /= np.sqrt(np.maximum(presence.sum(0), 1))
     among = presence.T.astype(np.float64) @ presence
@@ -150,6 +168,10 @@ def fit(docs: DataFrame, use: Column, *, doc_id: str = "doc_id", text: str = "te
     return train(rows["_text"].tolist(), rows["_lang"].tolist(), **options)
 
 
+def _named(column: str) -> Column:
+    return F.col(f"`{column}`")
+
+
 def predict(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1: a softmax of the regression values)."""
     small_batches(docs.sparkSession)
@@ -168,4 +190,6 @@ def predict(docs: DataFrame, model: Model | None, *, text: str = "text") -> Data
                     names[at + i], scores[at + i] = model.languages[best], p[best] / p.sum()
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.withColumn("_lang", predicted(F.col(text))).select("*", F.col("_lang.lang_pred").alias("lang_pred"), F.col("_lang.score").alias("score")).drop("_lang")
+    kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    rows = docs.select(F.struct(*map(_named, kept)).alias("row"), predicted(F.col(text)).alias("found"))
+    return rows.select("row.*", "found.lang_pred", "found.score")
