@@ -1,18 +1,29 @@
 """Main text of web pages as the maximum-scoring subsequence of words and tags.
 
 A page is a sequence of words and tags. Each gets a weight by its kind: the log-odds
-of lying in the main text, for a word by the elements around it (tag names and words
-of class, id and role), for a tag by its name; words are pushed up by ``MARGIN`` and
+of lying in the main text, for a word by the elements around it (tag names, and
+names in class and id), for a tag by its name; words are pushed up by ``MARGIN`` and
 tags are always negative. Weights are learned from labelled pages: those whose markup itself names
 the main text (one ``article`` or ``main`` outside the parts below), at most ``sample`` of them. The
 two tags only label; they are no part of a word's kind, so pages that use them for something else, or
 not at all, are weighed like others. One linear scan
-finds the contiguous run with the largest sum; from its blocks of text those go that
-lie in elements for navigation, notices, adverts, forms, comments and the like.
+finds the contiguous run with the largest sum. From its blocks of text those go that lie
+
+* in elements that HTML itself sets beside the text (``nav``, ``aside``, ``form``, page headers and
+  footers, landmark roles, scripts and other content that is not text),
+* in elements with a class or id that labelled pages have shown ``HIDES`` or more in log-odds outside
+  the main text, on ``SEEN`` pages or more,
+* in elements whose class or id says nothing but that they are an advert, notice, menu, reader's comment
+  or the like: every word of the name must be one of ``BESIDE_WORDS`` or, beside such a one, of
+  ``FRAME_WORDS``. Labels cannot teach these, as adverts and comments also stand inside articles.
+
+A name with any other word, such as ``form-guide`` or ``search-results-analysis``, hides nothing by itself.
 
 Defined results: null and empty pages, and pages without a word outside such
-elements, give an empty text; a page cut off in the middle is read to its end; equal
-sums give the earlier and shorter run; repeated pages repeat. Other columns are
+elements, give an empty text; a page cut off in the middle is read to its end, and a
+tag with a quote that is never closed ends at its first bracket; equal
+sums give the earlier and shorter run; repeated pages repeat. Parsing takes time in
+proportion to the page, however deep its elements lie. Other columns are
 carried by :func:`extract`.
 """
 
@@ -31,152 +42,209 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, small_batches
 
-SAMPLE, MARGIN = 600, 1.0
+SAMPLE, MARGIN, HIDES, SEEN = 600, 1.0, 3.0, 3
 #: Fixed values of HTML: elements without content, elements whose content is no text, elements that do not break a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math head select object canvas".split())
+RAW = frozenset("script style noscript template textarea title iframe select object canvas".split())
 #: Ends of raw elements, looked for in the source itself, as lower-casing can change its length.
 ENDS = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math q s samp small span strike strong sub sup svg time tt u var wbr".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-#: Elements, and words of class, id and role, that hold no main text.
-OUTSIDE = frozenset("nav footer aside form button dialog menu".split())
-OUTSIDE_WORDS = frozenset(
+#: Fixed values of HTML: elements and roles beside the main text, and elements in which a header or footer belongs to a part of it.
+BESIDE = frozenset("head nav footer aside form button dialog menu".split())
+BESIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
+SECTIONS = frozenset("article main section".split())
+#: Words of names that say that an element is not the main text, and words that say nothing about that.
+BESIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion "
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager toc "
-    "header masthead topbar footer sidebar aside complementary contentinfo widget "
-    "notice cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login "
-    "comment comments respond disqus discussion replies reply "
-    "share sharing social related recommended recommendations tags form search".split()
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager topbar masthead footer sidebar aside "
+    "notice cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription signup login "
+    "comment comments disqus share sharing social related recommended recommendations".split()
+)
+FRAME_WORDS = frozenset(
+    "area bar bottom box buttons block container content form global header icons inline inner item items left links list message "
+    "outer panel policy posts primary reader readers right secondary section site slot strip thread top unit user widget wrap wrapper".split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|([^<]+|<)", re.S)
-NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-#: Elements that label, and words of class, id and role that make one a reader's comment.
+HEADERS = frozenset(("header", "page-header", "site-header"))
+TAG = r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">{0}]++|\"[^\"{0}]*\"|'[^'{0}]*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|([^<]+|<)"
+#: A page's tokens; and those after a quote that is never closed, where no other quote may span a tag, so that each is looked for nearby.
+TOKEN, WARY_TOKEN = re.compile(TAG.format(""), re.S), re.compile(TAG.format("<"), re.S)
+NAMED = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Elements that label.
 MAIN = frozenset(("article", "main"))
-REMARK = frozenset(("comment", "reply"))
 PART = re.compile(r"[A-Za-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-@dataclass
+@dataclass(slots=True)
 class Element:
     name: str
-    words: frozenset[str]
-    outside: bool
-    main: bool
+    parent: int  # place among the page's elements, -1 for none
+    names: tuple[str, ...] = ()  # of class and id, but for those that an element around it has too
+    beside: bool = False  # lies beside the main text, by HTML or by its names
+    main: bool = False  # lies in a ``MAIN`` element
+    section: bool = False  # lies in a ``SECTIONS`` element
+    paragraph: int = -1  # depth of the paragraph that the next block would end, -1 for none
+
+
+@dataclass(slots=True)
+class Token:
+    element: int  # innermost open element
+    tag: str | None  # None for words
+    words: int = 0
+    around: tuple[str, ...] = ()
 
 
 @dataclass
 class Page:
-    """Tokens of a page: kinds of words and tags in order, and blocks of text with their place among them."""
+    elements: list[Element] = field(default_factory=list)
+    tokens: list[Token] = field(default_factory=list)
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)  # (first token, text, innermost block element)
+    mains: int = 0  # outermost ``MAIN`` elements that do not lie beside
+
 
-    kinds: list[tuple[str, ...]] = field(default_factory=list)
-    counts: list[int] = field(default_factory=list)  # words that a token stands for; 0 for a tag
-    labels: list[bool] = field(default_factory=list)
-    blocks: list[tuple[int, str, bool]] = field(default_factory=list)  # (first token, text, lies outside)
-    mains: int = 0  # outermost ``MAIN`` elements that do not lie outside
+def _names(attributes: str) -> tuple[list[str], list[str]]:
+    """(names in class and id, roles), lower-cased, words joined by hyphens."""
+    names: list[str] = []
+    roles: list[str] = []
+    for kind, a, b, c in NAMED.findall(attributes):
+        for name in (a or b or c).split():
+            plain = "-".join(PART.findall(CAMEL.sub(" ", name))).lower()
+            (roles if kind.lower() == "role" else names).append(plain)
+    return [n for n in dict.fromkeys(names) if n], roles
 
 
-def _names(attributes: str) -> frozenset[str]:
-    found = (a or b or c for a, b, c in NAMED.findall(attributes))
-    return frozenset(w.lower() for v in found for w in PART.findall(CAMEL.sub(" ", v)))
+def _says_beside(name: str) -> bool:
+    words = set(name.split("-"))
+    return bool(words & BESIDE_WORDS) and words <= BESIDE_WORDS | FRAME_WORDS
 
 
 def parse(source: str | None) -> Page:
     """One pass over the markup; tolerant of elements that are never closed."""
-    page, open_elements = Page(), []
+    page = Page()
+    elements, stack, open_tags, open_names = page.elements, [], Counter(), Counter()
     text: list[str] = []
-    block_at = [0]
+    block_at = 0
 
-    def state() -> tuple[bool, bool]:
-        return (open_elements[-1].outside, open_elements[-1].main) if open_elements else (False, False)
+    def top() -> int:
+        return stack[-1] if stack else -1
 
-    def flush(outside: bool) -> None:
+    def flush() -> None:
+        nonlocal block_at
         joined = " ".join("".join(text).split())
         text.clear()
         if joined:
-            page.blocks.append((block_at[0], joined, outside))
-        block_at[0] = len(page.kinds)
+            page.blocks.append((block_at, joined, top()))
+        block_at = len(page.tokens)
 
-    raw, at = source or "", 0
+    def close(depth: int) -> None:
+        for at in stack[depth:]:
+            open_tags[elements[at].name] -= 1
+            open_names.subtract(elements[at].names)
+        del stack[depth:]
+
+    raw, at, token = source or "", 0, TOKEN
     while at < len(raw):
-        m = TOKEN.match(raw, at)
-        if m is None:  # an opening bracket whose tag never ends
+        m = token.match(raw, at)
+        if m is None:
             break
         at = m.end()
-        closing, name, attributes, plain = m.groups()
-        outside, main = state()
+        plain = m.group(7)
         if plain is not None:
             words = html.unescape(plain)
             if words.strip():
-                around = {e.name for e in open_elements[-4:] if e.name not in INLINE and e.name not in MAIN}
-                named = {w for e in open_elements for w in e.words}
-                page.kinds.append(("word", *sorted(around), *sorted("." + w for w in named)))
-                page.counts.append(len(words.split()))
-                page.labels.append(main and not outside)
+                around = {elements[k].name for k in stack[-4:]} - INLINE - MAIN
+                page.tokens.append(Token(top(), None, len(words.split()), tuple(sorted(around))))
             text.append(words)
             continue
+        if m.group(5):
+            token = WARY_TOKEN
+        closing, name, attributes = m.group(1, 2, 3) if m.group(2) else m.group(4, 5, 6)
         if name is None:
             continue
         name = name.lower()
-        page.kinds.append(("tag", name))
-        page.counts.append(0)
-        page.labels.append(main and not outside)
+        page.tokens.append(Token(top(), name))
         if name not in INLINE:
-            flush(outside)
+            flush()
         elif name == "br":
             text.append(" ")
         if closing:
-            if any(e.name == name for e in open_elements):
-                while open_elements.pop().name != name:
-                    pass
-        elif name in RAW and name != "head":
+            if open_tags[name] > 0:
+                depth = len(stack) - 1
+                while elements[stack[depth]].name != name:
+                    depth -= 1
+                close(depth)
+        elif name in RAW:
             end = ENDS[name].search(raw, at)
             at = end.start() if end else len(raw)
-            open_elements.append(Element(name, frozenset(), True, False))
+            stack.append(len(elements))
+            elements.append(Element(name, stack[-2] if len(stack) > 1 else -1, beside=True))
+            open_tags[name] += 1
         elif name not in VOID:
-            if name in ENDS_P:
-                for k in range(len(open_elements) - 1, -1, -1):
-                    if open_elements[k].name == "p":
-                        del open_elements[k:]
-                        break
-                    if open_elements[k].name not in INLINE:
-                        break
-            outside, main = state()
-            words = _names(attributes)
-            page_part = name == "header" and not main
-            hidden = name in OUTSIDE or name == "head" or page_part or (bool(words & OUTSIDE_WORDS) and name not in ("html", "body", *MAIN)) or (name == "article" and bool(words & REMARK))
-            names_main = name in MAIN and not (outside or hidden)
-            page.mains += names_main and not main
-            open_elements.append(Element(name, words, outside or hidden, main or names_main))
-    flush(state()[0])
+            above = elements[top()] if stack else Element("", -1)
+            if name in ENDS_P and above.paragraph >= 0:
+                close(above.paragraph)
+                above = elements[top()] if stack else Element("", -1)
+            names, roles = _names(attributes)
+            page_part = (name == "header" or bool(HEADERS.intersection(names))) and not above.section
+            whole = name in ("html", "body") or (name in MAIN and not any(n.endswith(("comment", "comments")) for n in names))
+            hidden = name in BESIDE or page_part or (not whole and (any(map(_says_beside, names)) or bool(BESIDE_ROLES.intersection(roles))))
+            opens_main = name in MAIN and not (above.beside or hidden)
+            page.mains += opens_main and not above.main
+            element = Element(name, top(), tuple(n for n in names if not open_names[n]), above.beside or hidden, above.main or opens_main, above.section or name in SECTIONS)
+            element.paragraph = len(stack) if name == "p" else above.paragraph if name in INLINE else -1
+            stack.append(len(elements))
+            elements.append(element)
+            open_tags[name] += 1
+            open_names.update(element.names)
+    flush()
     return page
 
 
 class Weights:
-    """Log-odds of the parts of tokens' kinds; a token has those of its likeliest part, an unknown part 0.
+    """Log-odds of tags and names, from labelled pages; unknown ones have 0.
 
     Pages with no or several ``MAIN`` elements (marks in scripts, lists of teasers) do not say which text is the main one and are left out.
     """
 
     def __init__(self, pages: list[Page]):
-        inside, outside = Counter(), Counter()
+        inside, outside, seen = Counter(), Counter(), Counter()
         for page in (p for p in pages if p.mains == 1):
-            for kind, count, label in zip(page.kinds, page.counts, page.labels):
-                for part in kind[1:] or ("",):
-                    (inside if label else outside)[kind[0], part] += max(count, 1)
+            words = np.zeros((len(page.elements) + 1, 2), np.int64)  # outside and inside, of each element; the last row has none
+            for t in page.tokens:
+                e = page.elements[t.element] if t.element >= 0 else Element("", -1)
+                label = e.main and not e.beside
+                if e.main and e.beside and t.tag is None:
+                    continue  # an advert in an article says nothing about the names around it
+                for part in [("tag", t.tag)] if t.tag else [("word", a) for a in t.around] or [("word", "")]:
+                    (inside if label else outside)[part] += max(t.words, 1)
+                words[t.element, int(label)] += t.words
+            for k in range(len(page.elements) - 1, -1, -1):  # an element comes before those in it
+                e = page.elements[k]
+                words[e.parent] += words[k]
+                for n in e.names:
+                    outside["name", n] += int(words[k, 0])
+                    inside["name", n] += int(words[k, 1])
+            seen.update({("name", n) for e in page.elements for n in e.names})
         total_in, total_out = max(sum(inside.values()), 1), max(sum(outside.values()), 1)
         self.odds = {k: float(np.clip(np.log((inside[k] + 1) / (total_in + 2)) - np.log((outside[k] + 1) / (total_out + 2)), -4, 4)) for k in {*inside, *outside}}
-
-    def of(self, page: Page) -> np.ndarray:
-        out = np.empty(len(page.kinds))
-        for i, (kind, count) in enumerate(zip(page.kinds, page.counts)):
-            odds = max([self.odds.get((kind[0], p), 0.0) for p in kind[1:]], default=0.0)
-            if kind[0] == "word":
-                out[i] = count * (odds + MARGIN)
+        self.hiding = frozenset(n for (kind, n), k in seen.items() if k >= SEEN and self.odds[kind, n] <= -HIDES)
+
+    def of(self, page: Page) -> tuple[np.ndarray, np.ndarray]:
+        """(score of each token, whether each element lies beside the main text)."""
+        best, beside = np.zeros(len(page.elements) + 1), np.zeros(len(page.elements) + 1, bool)
+        best[-1] = -np.inf
+        for k, e in enumerate(page.elements):
+            best[k] = max(best[e.parent], *[self.odds.get(("name", n), 0.0) for n in e.names]) if e.names else best[e.parent]
+            beside[k] = e.beside or beside[e.parent] or not self.hiding.isdisjoint(e.names)
+        out = np.empty(len(page.tokens))
+        for i, t in enumerate(page.tokens):
+            if t.tag is None:
+                odds = max([best[t.element], *[self.odds.get(("word", a), 0.0) for a in t.around]])
+                out[i] = t.words * ((odds if odds > -np.inf else 0.0) + MARGIN)
             else:
-                out[i] = -0.1 - 0.3 * max(MARGIN - odds, 0)
-        return out
+                out[i] = -0.1 - 0.3 * max(MARGIN - self.odds.get(("tag", t.tag), 0.0), 0)
+        return out, beside
 
 
 def best_run(scores: np.ndarray) -> tuple[int, int]:
@@ -195,16 +263,15 @@ def best_run(scores: np.ndarray) -> tuple[int, int]:
 
 def main_text(source: str | None, weights: Weights) -> str:
     page = parse(source)
-    scores = weights.of(page)
+    scores, beside = weights.of(page)
     hidden = np.zeros(len(scores), bool)
     # Words of a block that goes anyway count as tags do: a run may pass over them, at a cost.
     bounds = [b[0] for b in page.blocks] + [len(scores)]
-    for (first, _, outside), after in zip(page.blocks, bounds[1:]):
-        if outside:
-            hidden[first:after] = True
+    for (first, _, element), after in zip(page.blocks, bounds[1:]):
+        hidden[first:after] = beside[element]
     scores = np.where(hidden, np.minimum(scores, -0.1), scores)
     start, end = best_run(scores)
-    return "\n".join(t for (first, t, outside), after in zip(page.blocks, bounds[1:]) if not outside and first < end and after > start)
+    return "\n".join(t for (first, t, element), after in zip(page.blocks, bounds[1:]) if not beside[element] and first < end and after > start)
 
 
 def fit(pages: DataFrame, *, page_id: str = "page_id", source: str = "html", sample: int = SAMPLE) -> Weights:
