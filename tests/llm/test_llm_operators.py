@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -411,3 +412,83 @@ def test_bounded_sample_takes_the_smallest_hashes(spark, limit):
     got = [r["id"] for r in common.bounded_sample(spark.createDataFrame([(i, "x") for i in ids], "id long, digits string"), F.col("id"), limit).collect()]
     hashed = sorted((hashlib.md5(("" if i is None else str(i)).encode()).hexdigest(), -1 if i is None else i) for i in ids)
     assert [-1 if i is None else i for i in got] == [i for _, i in hashed[:limit]]
+
+
+# Long, odd and clashing inputs of the learned operators
+
+@pytest.fixture(scope="module")
+def toxic_model():
+    rng = np.random.default_rng(13)
+    texts = [". ".join(sentence(i * 10 + k, 8) + (" vilgarxy" if i % 4 == 0 and k == int(rng.integers(4)) else "") for k in range(4)) for i in range(400)]
+    return toxicity.train(texts, np.array([int("vilgar" in t) for t in texts]))
+
+
+@pytest.mark.parametrize("text", ["The cat sat on the mat. " * 10_000, "\n \n" * 1_000, " ", "", None])
+def test_harmless_sentences_do_not_add_up(toxic_model, text):
+    assert toxic_model.score(text) < 0.05
+
+
+def test_toxic_sentence_in_a_long_text(toxic_model):
+    assert toxic_model.score("The cat sat on the mat. " * 5_000 + "You vilgarxy. " + "It rained. " * 5_000) > 0.9
+
+
+def test_noisy_or_is_the_plain_loop(toxic_model):
+    for text in ("a b. c vilgarxy! vilgarxy c\nvilgarxy", "x y z", sentence(4, 90) + ". vilgarxy"):
+        logits = [toxic_model.bias + sum(toxic_model.weights.get(f, 0.0) for w in toxicity.WORD.findall(t.lower()) for f in toxicity.features(w)) for t in toxicity.SENTENCE.findall(text) if t.strip()]
+        p = [1 / (1 + np.exp(-z)) for z in logits]
+        clean = (1 - 1 / (1 + np.exp(-toxic_model.bias))) * np.prod([1 - q for q in p if q >= toxicity.LEAST])
+        assert toxic_model.score(text) == pytest.approx(1 - clean)
+
+
+def test_language_replaces_clashing_columns(spark):
+    model = langid.train(["abc abd", "xyz xyw"], ["a", "b"])
+    docs = spark.createDataFrame([(1, "abc", "old", 5, "k"), (2, "\U0001f600\U0001f600", None, None, None)], "doc_id long, text string, lang_pred string, score int, `_lang` string")
+    got = langid.predict(docs, model)
+    assert got.columns == ["doc_id", "text", "_lang", "lang_pred", "score"]
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert rows[1]["lang_pred"] == "a" and rows[1]["_lang"] == "k" and rows[2]["lang_pred"] == "und" and rows[2]["score"] == 0
+
+
+def test_language_finds_every_ngram_of_the_vocabulary():
+    rng = np.random.default_rng(5)
+    vocabulary = np.unique(rng.integers(1, 1 << 63, 60_000).astype(np.uint64))
+    model = langid.Model(vocabulary, np.zeros((len(vocabulary), 1), np.float32), np.zeros((1, 1)), ["a"])
+    other = rng.integers(1, 1 << 63, 1_000).astype(np.uint64)
+    at, place = model.find(np.concatenate([vocabulary[::-1], other]))
+    assert len(model.tables) > 1 and sorted(place.tolist()) == list(range(len(vocabulary))) and (at < len(vocabulary)).all()
+
+
+@pytest.mark.parametrize("part", ['<section id="discussion"><p>Kept</p></section>', '<div class="form-guide"><p>Kept</p></div>', '<div class="search-results-analysis"><p>Kept</p></div>', '<header class="entry-header"><h1>Kept</h1></header>', "<math><mi>Kept</mi></math>"])
+def test_extraction_keeps_parts_that_only_sound_like_others(part):
+    weights = htmlmain.Weights([htmlmain.parse(PAGE)] * 3)
+    story = " ".join(f"Word{k}" for k in range(60))
+    assert htmlmain.main_text(f"<body><nav>Home</nav><article>{part}<p>{story}</p></article><footer>me</footer></body>", weights) == "Kept\n" + story
+
+
+@pytest.mark.parametrize("part", ['<div class="ad">Gone</div>', '<div class="ad-slot-2">Gone</div>', '<div class="cookieNotice">Gone</div>', '<div id="comments-area">Gone</div>', '<ul class="social share-buttons"><li>Gone</li></ul>', '<div role="navigation">Gone</div>', '<aside class="x">Gone</aside>', "<form>Gone</form>", "<select><option>Gone</select>"])
+def test_extraction_leaves_out_what_lies_beside(part):
+    weights = htmlmain.Weights([htmlmain.parse(PAGE)] * 3)
+    story = " ".join(f"Word{k}" for k in range(60))
+    assert htmlmain.main_text(f"<body><article><p>{story}</p>{part}<p>The end of the story</p></article></body>", weights) == story + "\nThe end of the story"
+
+
+def test_extraction_learns_names_beside_the_text():
+    pages = [htmlmain.parse(f"<body><article><p class='lead'>{sentence(i, 90)}</p></article><div class='xyzzy'><p>{sentence(i + 50, 60)}</p></div></body>") for i in range(8)]
+    weights = htmlmain.Weights(pages)
+    assert weights.hiding == {"xyzzy"}
+    assert htmlmain.main_text("<body><div><p>one two three four five</p><div class='xyzzy'><p>six seven</p></div><p>eight nine ten eleven twelve thirteen</p></div></body>", weights) == "one two three four five\neight nine ten eleven twelve thirteen"
+
+
+def test_extraction_of_broken_quotes_and_deep_pages():
+    weights = htmlmain.Weights([])
+    assert htmlmain.main_text('Hello <a title="x>link rest', weights) == "Hello link rest"
+    assert htmlmain.main_text("""<p title='a>b' id="c>d">One</p><p>Two <b class="q>three</b> four</p>""", weights) == "One\nTwo three four"
+
+    def seconds(page):
+        began = time.process_time()
+        htmlmain.main_text(page, weights)
+        return time.process_time() - began
+
+    for unit in ('<div class="c">w ', "<b>w ", "<p><li><b>w ", '<a ">"'):
+        small, large = seconds(unit * 5_000 + "'" + "<div></div>" * 5_000), seconds(unit * 50_000 + "'" + "<div></div>" * 50_000)
+        assert large < 40 * small + 2, unit
