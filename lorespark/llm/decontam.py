@@ -2,7 +2,15 @@
 
 Test items and documents are sequences of word hashes. The word ``n``-grams of the
 items are seeds, all of them: common ones too, as those may be all that an edited
-copy still has. Items go by length into few classes, each up to four times as long as the
+copy still has. Documents look them up with their own n-grams and with those that
+skip the word before the last.
+
+At a threshold of one half, three-word seeds miss no copy of an item of L > 8 words: a
+score of L/2 from m matched words allows m - L/2 edits, which cut the matches into m - L/2 + 1 runs at most. If
+no run has three words, then m <= 2 (m - L/2 + 1), so m >= L - 2: the copy holds all of the item but two words, and an edit, nearly
+always one word put in, after every second; the n-grams that skip a word find it.
+
+Items go by length into few classes, each up to four times as long as the
 last. One pass over the corpus cuts documents, for each class, into overlapping
 passages, long enough that any alignment over the threshold lies whole in one of
 them, and keeps those with a seed. Seeds join passages to items; a pair with too few words in common to reach the threshold is dropped, and
@@ -10,8 +18,8 @@ local alignment over words (match 1, mismatch and gap -1) scores the others; a s
 of at least ``threshold`` times the item's length is contamination. Items are
 aligned whole, whatever their length; classes set only how long passages are.
 
-Executors get a Bloom filter of each class's seeds, whose size is fixed
-(``FILTER_BITS`` bits) however many items there are; what passes by chance falls out at the join.
+Executors get a Bloom filter of each class's seeds, of ``BITS_A_SEED`` bits for each up to
+``MOST_BITS`` in all (128 MB, 67 million seeds); what passes by chance falls out at the join.
 
 Defined results: null, empty and wordless texts and items match nothing; items
 shorter than a seed are one seed of all their words; repeated items and documents
@@ -34,7 +42,7 @@ from .common import small_batches, store
 from .words import GOLDEN, mix, windows, word_hashes
 
 SEED_WORDS, THRESHOLD = 3, 0.5
-FILTER_BITS, FILTER_HASHES = 1 << 24, 3  # bits: a power of two
+BITS_A_SEED, LEAST_BITS, MOST_BITS, FILTER_HASHES = 16, 1 << 16, 1 << 30, 3
 #: Items of the first class have up to so many words.
 CLASS_WORDS = 64
 #: Cells in one row of the matrices that are aligned together.
@@ -42,14 +50,14 @@ CELLS = 1 << 18
 
 
 class Bloom:
-    """A Bloom filter of fixed size over 64-bit hashes."""
+    """A Bloom filter over 64-bit hashes, of a size (a power of two) for about ``n`` of them."""
 
-    def __init__(self) -> None:
-        self.bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    def __init__(self, n: int) -> None:
+        self.size = 1 << (min(max(n * BITS_A_SEED, LEAST_BITS), MOST_BITS) - 1).bit_length()
+        self.bits = np.zeros(self.size // 8, np.uint8)
 
-    @staticmethod
-    def places(h: np.ndarray, k: int) -> np.ndarray:
-        return mix(h ^ np.uint64(k * int(GOLDEN) % 2**64)) & np.uint64(FILTER_BITS - 1)
+    def places(self, h: np.ndarray, k: int) -> np.ndarray:
+        return mix(h ^ np.uint64(k * int(GOLDEN) % 2**64)) & np.uint64(self.size - 1)
 
     def add(self, h: np.ndarray) -> None:
         for k in range(FILTER_HASHES):
@@ -65,16 +73,16 @@ class Bloom:
         return left
 
 
-def _bloom(seeds: DataFrame) -> Bloom:
+def _bloom(seeds: DataFrame, n: int) -> Bloom:
     """Filters of parts of the seeds, made on executors and joined on the driver."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Bloom()
+        own = Bloom(n)
         for batch in batches:
             own.add(batch["seed"].to_numpy(np.int64).view(np.uint64))
         yield pd.DataFrame({"bits": [own.bits.tobytes()]})
 
-    out = Bloom()
+    out = Bloom(n)
     for row in seeds.select("seed").coalesce(8).mapInPandas(part, "bits binary").toLocalIterator():
         out.bits |= np.frombuffer(row["bits"], np.uint8)
     return out
@@ -119,6 +127,18 @@ def _seeds(h: np.ndarray, n: int) -> np.ndarray:
     return windows(h, n).view(np.int64)
 
 
+def _skipping(h: np.ndarray, n: int) -> np.ndarray:
+    """The n-grams of ``h`` that skip the word before their last."""
+    if n < 2 or len(h) <= n:
+        return np.zeros(0, np.int64)
+    count = len(h) - n
+    out = np.zeros(count, np.uint64)
+    for k in range(n):
+        at = k + (k == n - 1)
+        out = mix(out * GOLDEN + h[at : at + count] + np.uint64(k + 1))
+    return out.view(np.int64)
+
+
 def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SEED_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score): contaminated pairs, ``score`` the best alignment as a share of the item's words."""
     small_batches(docs.sparkSession)
@@ -135,8 +155,9 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     named = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null")
     cut = store(named.mapInPandas(cut_items, "item_id long, class long, words binary, length long, seeds array<long>"), "items")
     kept = store(cut.select("item_id", "class", F.explode("seeds").alias("seed")).distinct(), "seeds")
+    counts = {r["class"]: r["n"] for r in kept.groupBy("class").agg(F.count_distinct("seed").alias("n")).collect()}
     classes = [
-        (r["class"], min(r["shortest"], n), max(1, math.ceil((2 - threshold) * r["longest"])), _bloom(kept.filter(F.col("class") == r["class"]).select("seed").distinct()))
+        (r["class"], min(r["shortest"], n), max(1, math.ceil((2 - threshold) * r["longest"])), _bloom(kept.filter(F.col("class") == r["class"]).select("seed").distinct(), counts[r["class"]]))
         for r in cut.groupBy("class").agg(F.min("length").alias("shortest"), F.max("length").alias("longest")).collect()
     ]
 
@@ -152,12 +173,13 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
             out = []
             for key, t in zip(batch["doc_id"], batch["text"]):
                 h = _words32(t)
-                grams = {k: _seeds(h, k) for k in range(min((c[1] for c in classes), default=n), n + 1) if len(h) >= k}
+                grams = [(k, _seeds(h, k)) for k in range(min((c[1] for c in classes), default=n), n + 1) if len(h) >= k]
+                grams.append((n + 1, _skipping(h, n)))
                 for c, shortest, span, chosen in classes:
                     hit: dict[int, list[int]] = {}
-                    for k, s in grams.items():
-                        for at in chosen.has(s.view(np.uint64)) if k >= shortest else ():
-                            own = int(at) // span
+                    for k, s in grams:
+                        for at in chosen.has(s.view(np.uint64)).tolist() if k >= shortest else ():
+                            own = at // span
                             hit.setdefault(own, []).append(int(s[at]))
                             if own and at + k <= (own + 1) * span:
                                 hit.setdefault(own - 1, []).append(int(s[at]))

@@ -492,3 +492,23 @@ def test_extraction_of_broken_quotes_and_deep_pages():
     for unit in ('<div class="c">w ', "<b>w ", "<p><li><b>w ", '<a ">"'):
         small, large = seconds(unit * 5_000 + "'" + "<div></div>" * 5_000), seconds(unit * 50_000 + "'" + "<div></div>" * 50_000)
         assert large < 40 * small + 2, unit
+
+
+@pytest.mark.parametrize("length", [9, 40, 41, 300])
+def test_contamination_finds_copies_without_a_run_of_three(spark, length):
+    words_of = sentence(900 + length, length).split()
+    edited = " ".join(w + (f" put{k}" if k % 2 and k < length - 2 else "") for k, w in enumerate(words_of))
+    docs = spark.createDataFrame([(1, sentence(5, 40) + " " + edited + " " + sentence(6, 40)), (2, edited)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in decontam.contamination(docs, spark.createDataFrame([(0, " ".join(words_of))], "item_id long, text string")).collect()}
+    expected = brute_alignment(words_of, edited.split()) / length
+    assert expected >= 0.5 and got == pytest.approx({1: expected, 2: expected})
+
+
+def test_filters_grow_with_their_seeds():
+    rng = np.random.default_rng(3)
+    for n in (10, 100_000):
+        seeds, other = rng.integers(0, 1 << 63, n).astype(np.uint64), rng.integers(0, 1 << 63, 20_000).astype(np.uint64)
+        bloom = decontam.Bloom(n)
+        bloom.add(seeds)
+        assert len(bloom.has(seeds)) == n and len(bloom.has(other)) < 400
+    assert decontam.Bloom(10).size < decontam.Bloom(100_000).size <= decontam.Bloom(1 << 40).size == decontam.MOST_BITS
