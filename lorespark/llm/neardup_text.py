@@ -8,16 +8,19 @@ documents agree on a coordinate with a chance of their weighted Jaccard similari
 at a cost of n + k log k for n elements and k coordinates.
 
 Equal word sequences are one class member from the start. Signatures are cut into
-bands, and equal bands share a bucket. In each bucket every member is compared with
+bands, and equal bands share a bucket. Hot buckets, leaders and texts are split: rows
+that join on them carry a salt of the document, and the other side is repeated for
+each salt. In each bucket every member is compared with
 the smallest one by exact similarity of shingle sets; in buckets whose members are
 then still in different components, the members outside the leader's component are
 compared with all members, block by block. Pairs at or over the threshold link.
 
 Defined results: null, empty and blank texts, and rows with a null id, are alone
 (``class_id`` is the id itself); texts of fewer words than a shingle are one shingle
-of all their words; rows that repeat an id are one node, and ``kept`` marks all of
-them; an empty table gives an empty result. Other columns are ignored by
-:func:`classes` and carried by :func:`deduplicate`, which keeps one row of a class.
+of all their words; rows that repeat an id and a text are one member; different texts
+whose smallest ids are the same are one node, alike to all that one of them is alike
+to; an empty table gives an empty result. Other columns are ignored by
+:func:`classes` and carried by :func:`deduplicate`, which keeps one document of a class.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ from itertools import groupby
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorespark.functions.text import SPACE
+
 from .common import small_batches, store
 from .graph import connected_components
 from .words import GOLDEN, jaccard, mix, unpack, windows, word_hashes
@@ -39,6 +44,8 @@ from .words import GOLDEN, jaccard, mix, unpack, windows, word_hashes
 BANDS, ROWS, SHINGLE, THRESHOLD = 24, 6, 5, 0.8
 #: Most rows of either side of a block in which documents of a bucket are compared.
 BLOCK = 512
+#: In how many parts keys of unknown weight are split, and how many members of a bucket meet their leader in one part.
+SALTS, MEETING = 8, 256
 #: Poisson distribution of mean 1: how many darts a unit of area gets.
 POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 18)]))
 UNIT = 2.0**-53
@@ -99,7 +106,7 @@ def bands_of(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, bands: int, rows: int, shingle: int, weighted: bool) -> DataFrame:
-    """(doc_id, words, bands): a hash of the word sequence, and band keys, both null for texts without words."""
+    """(doc_id, hash, words, bands): hashes of the text and of the word sequence, and band keys, the last two null for texts without words."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -111,9 +118,9 @@ def _signed(docs: DataFrame, bands: int, rows: int, shingle: int, weighted: bool
                 got = signatures([p[0] for p in pairs], bands * rows, [p[1].astype(float) for p in pairs] if weighted else None)
                 keys = bands_of(got, bands, rows)
                 same = [hashlib.md5(f.tobytes()).digest() if len(f) else None for f in found]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "words": same, "bands": [k if s else None for k, s in zip(keys, same)]})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "hash": part["hash"].to_numpy(), "words": same, "bands": [k if s else None for k, s in zip(keys, same)]})
 
-    return docs.mapInPandas(sign, "doc_id long, words binary, bands array<long>")
+    return docs.withColumn("hash", F.xxhash64("text")).mapInPandas(sign, "doc_id long, hash long, words binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -127,17 +134,31 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInPandas(cut, "doc_id long, shingles binary")
 
 
+def _salted(df: DataFrame, salts: int | Column = SALTS) -> DataFrame:
+    """Every row once for each salt."""
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts) - 1 if isinstance(salts, int) else salts - 1)))
+
+
+def _salt(salts: int | Column = SALTS) -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(salts) if isinstance(salts, int) else salts).cast("int")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets are at least as similar as ``threshold``."""
+    """The pairs (a, b) whose sets are at least as similar as ``threshold``.
+
+    ``pairs``: leader a, member b, and in how many ``parts`` the leader's members meet it.
+    """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             hit = [jaccard(x, y) >= threshold for x, y in zip(unpack(batch["sa"]), unpack(batch["sb"]))]
             yield batch.loc[hit, ["a", "b"]]
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    leaders = _salted(pairs.groupBy("a").agg(F.max("parts").alias("parts")), F.col("parts")).drop("parts")
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")).join(leaders, "a")
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInPandas(compare, "a long, b long")
+    spread = pairs.withColumn("salt", F.pmod(F.xxhash64("b", F.lit(3)), "parts").cast("int"))
+    return spread.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "sa", "sb").mapInPandas(compare, "a long, b long")
 
 
 def similar_rows(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -214,47 +235,66 @@ def _blockwise(members: DataFrame, sets: DataFrame, threshold: float, block: int
     return full.sortWithinPartitions(*keys).mapInPandas(compare, "a long, b long")
 
 
-def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, threshold: float = THRESHOLD, weighted: bool = False, block: int = BLOCK) -> DataFrame:
+def classes(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, class_id, kept), one row for each row of ``docs``; ``class_id`` is the smallest id of the class."""
+    return _classes(docs, **options).drop("hash")
+
+
+def _classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, threshold: float = THRESHOLD, weighted: bool = False, block: int = BLOCK) -> DataFrame:
+    """As :func:`classes`, with the ``hash`` of each text."""
     small_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = store(_signed(source, bands, rows, shingle, weighted), "signed")
-    usable = signed.filter("doc_id is not null and words is not null")
-    first = store(usable.groupBy("words").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "texts")
+    signed = store(_signed(source.filter("doc_id is not null"), bands, rows, shingle, weighted), "signed")
+    usable = signed.filter("words is not null")
+    first = store(usable.groupBy("words").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.count("*").alias("copies")), "texts")
     spread = first.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    shared = spread.groupBy("band", "key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last")).filter("leader <> last").drop("last")
-    members = store(spread.join(shared, ["band", "key"]), "buckets")
-    wanted = members.select("doc_id").distinct()
-    sets = store(_sets(source.join(wanted.hint("merge"), "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id", "shingles"]), "sets")
-    pairs = members.filter("doc_id <> leader").select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
+    shared = spread.groupBy("band", "key").agg(F.min("doc_id").alias("leader"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("leader <> last").drop("last")
+    members = spread.withColumn("salt", _salt()).join(_salted(shared), ["band", "key", "salt"]).drop("salt")
+    members = store(members, "buckets")
+    wanted = store(members.select("doc_id").distinct(), "wanted")
+    sets = store(_sets(source.join(wanted, "doc_id", "left_semi"), shingle).dropDuplicates(["doc_id", "shingles"]), "sets")
+    parts = F.ceil(F.max("n") / MEETING).cast("int").alias("parts")
+    pairs = store(members.filter("doc_id <> leader").groupBy(F.col("leader").alias("a"), F.col("doc_id").alias("b")).agg(parts), "pairs")
     links = store(_linked(pairs, sets, threshold), "links")
     found = store(connected_components(links), "components")
-    placed = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = members.drop("n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = store(placed, "placed")
     # Every member has met the leader; buckets of the same members need one look.
     met = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
-    heads = placed.groupBy("band", "key").agg(F.min_by("component", "doc_id").alias("lead"), F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), *met)
-    heads = heads.filter("low <> high and n > 2").dropDuplicates(["n", "x1", "x2"]).select("band", "key", "lead", "n")
-    split = placed.filter("doc_id <> leader").drop("leader").join(heads, ["band", "key"]).withColumn("outside", F.expr("component <> lead"))
-    split = store(split.drop("lead"), "split")
-    counts = split.filter("outside").groupBy("band", "key").agg(F.count("*").alias("n_outside"))
-    more = _blockwise(split.join(counts, ["band", "key"]), sets, threshold, block)
+    by_component = placed.groupBy("band", "key", "component").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"), *met)
+    met = [F.bit_xor(f"x{k}").alias(f"x{k}") for k in (1, 2)]
+    heads = by_component.groupBy("band", "key").agg(F.min_by("component", "doc_id").alias("lead"), F.count("*").alias("components"), F.sum("n").alias("n"), (F.sum("n") - F.min_by("n", "doc_id")).alias("n_outside"), *met)
+    heads = heads.filter("components > 1 and n > 2").dropDuplicates(["n", "x1", "x2"]).select("band", "key", "lead", "n", "n_outside")
+    split = placed.filter("doc_id <> leader").drop("leader").withColumn("salt", _salt()).join(_salted(heads), ["band", "key", "salt"]).drop("salt")
+    split = split.withColumn("outside", F.expr("component <> lead")).drop("lead")
+    more = _blockwise(split, sets, threshold, block)
     both = store(links.unionByName(more), "all-links")
     final = connected_components(both).withColumnRenamed("node", "doc_id")
-    named = first.select("words", "doc_id").join(final, "doc_id", "left").select("words", F.coalesce("component", "doc_id").alias("class_id"))
-    out = signed.select("doc_id", "words").join(named, "words", "left")
-    own = F.col("words").isNull() | F.col("doc_id").isNull()
-    out = out.select("doc_id", F.when(own, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    # Texts with copies, or with a component, name the class of their rows; every other row is its own.
+    named = first.join(final, "doc_id", "left").filter("copies > 1 or component is not null").select("words", F.coalesce("component", "doc_id").alias("class_id"))
+    out = usable.select("doc_id", "hash", "words").withColumn("salt", _salt()).join(_salted(named), ["words", "salt"], "left")
+    out = out.select("doc_id", "hash", F.coalesce("class_id", "doc_id").alias("class_id"))
+    alone = signed.filter("words is null").select("doc_id", "hash").unionByName(source.filter("doc_id is null").select("doc_id", F.xxhash64("text").alias("hash")))
+    out = out.unionByName(alone.withColumn("class_id", F.col("doc_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class: that of its smallest id, and of rows with that id the first by text.
+    """``docs`` without the rows that are not kept, and with one row for each id and text.
 
-    Rows that are alone in their class all stay.
+    Rows with a null id and rows without words are alone in their class and all stay. What
+    goes is a table of ids; texts are shuffled only if that is too large to broadcast.
     """
-    found = classes(docs, doc_id=doc_id, text=text, **options).filter("doc_id is not null")
-    drop = found.groupBy("doc_id").agg(F.bool_or("kept").alias("_near_kept")).filter("not _near_kept").select(F.col("doc_id").alias("_near_id"))
-    left = docs.join(drop, F.col(doc_id).cast("long") == F.col("_near_id"), "left_anti")
-    same = W.partitionBy(doc_id).orderBy(F.col(text).asc_nulls_last())
-    numbered = left.withColumn("_near_n", F.row_number().over(same))
-    return numbered.filter((F.col("_near_n") == 1) | F.col(doc_id).isNull() | (F.coalesce(F.trim(text), F.lit("")) == "")).drop("_near_n")
+    found = _classes(docs, doc_id=doc_id, text=text, **options).filter("doc_id is not null")
+    marks = store(found.groupBy("doc_id", "hash").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n")).filter("not kept or n > 1"), "marks")
+    own = [F.col("doc_id").alias("_near_id"), F.col("hash").alias("_near_hash")]
+    drop, many = store(marks.filter("not kept").select(*own), "dropped"), store(marks.filter("kept").select(*own), "repeated")
+    same = (F.col(doc_id).cast("long") == F.col("_near_id")) & (F.xxhash64(text) == F.col("_near_hash"))
+    left = docs.join(drop, same, "left_anti")
+    if many.isEmpty():
+        return left
+    once = left.join(many, same, "left_anti")
+    number = F.row_number().over(W.partitionBy(F.col(doc_id), F.xxhash64(text)).orderBy(F.lit(0)))
+    first = left.join(many, same, "left_semi").withColumn("_near_n", number)
+    first = first.filter((F.col("_near_n") == 1) | F.col(text).isNull() | F.col(text).rlike(rf"\A{SPACE}*\z")).drop("_near_n")
+    return once.unionByName(first)
