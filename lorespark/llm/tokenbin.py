@@ -32,6 +32,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -188,25 +189,27 @@ class Codec:
 
 ENCODED = "doc_id long, ids binary, counts binary"
 BLOCKS = "shard int, block int, begin long, doc_ids array<long>, doc_tokens array<long>, every int, bit_offsets array<long>, payload binary"
+LONGS = pa.list_(pa.int64())
+BLOCK_TYPES = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("begin", pa.int64()), ("doc_ids", LONGS), ("doc_tokens", LONGS), ("every", pa.int32()), ("bit_offsets", LONGS), ("payload", pa.binary())])
 SHARDS = "shard int, offset long"
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
     """(doc_id, ids, counts): the ids of each document, and at a task's end one row with the counts of all its ids."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder.of(tokenizer)
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, names = Encoder.of(tokenizer), ["doc_id", "ids", "counts"]
         end, total = np.array([end_id], encoder.width).tobytes(), np.zeros(0, np.int64)
         for batch in batches:
-            ids = [encoder.encode(t) + end for t in batch["text"].tolist()]
+            ids = [encoder.encode(t) + end for t in batch["text"].to_numpy(zero_copy_only=False)]
             got = np.bincount(np.frombuffer(b"".join(ids), encoder.width))
             total, got = (total, got) if len(total) >= len(got) else (got, total)
             total[: len(got)] += got
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "ids": ids, "counts": None})
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names)
         if len(total):
-            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "ids": None, "counts": [total.astype("<i8").tobytes()]})
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(encode, ENCODED)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, ENCODED)
 
 
 def counts_of(encoded: DataFrame) -> pd.DataFrame:
@@ -226,18 +229,18 @@ def counts_of(encoded: DataFrame) -> pd.DataFrame:
 def packed_blocks(encoded: DataFrame, width: str, symbols: np.ndarray, lengths: np.ndarray, *, every: int, block_tokens: int, shards: int) -> DataFrame:
     """``BLOCKS`` of the encoded documents, in ascending order of document ids."""
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, shard, size = Codec(symbols, lengths, every), TaskContext.get().partitionId(), np.dtype(width).itemsize
         held: list[tuple[int | None, bytes]] = []
         block = begin = tokens = 0
 
-        def cut() -> pd.DataFrame:
+        def cut() -> pa.RecordBatch:
             payload, places = codec.encode(np.frombuffer(b"".join([h[1] for h in held]), width))
-            row = (shard, block, begin, [None if pd.isna(h[0]) else int(h[0]) for h in held], [len(h[1]) // size for h in held], every, places, payload)
-            return pd.DataFrame([row], columns=["shard", "block", "begin", "doc_ids", "doc_tokens", "every", "bit_offsets", "payload"])
+            row = (shard, block, begin, [h[0] for h in held], [len(h[1]) // size for h in held], every, places, payload)
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, BLOCK_TYPES.types)], BLOCK_TYPES.names)
 
         for batch in batches:
-            for key, ids in zip(batch["doc_id"].tolist(), batch["ids"].tolist()):
+            for key, ids in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist()):
                 held.append((key, ids))
                 tokens += len(ids) // size
                 if tokens >= block_tokens:
@@ -248,7 +251,7 @@ def packed_blocks(encoded: DataFrame, width: str, symbols: np.ndarray, lengths:
 
     order = [F.col("doc_id"), F.xxhash64("ids")]
     rows = encoded.filter("counts is null").select("doc_id", "ids")
-    return rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInPandas(pack, BLOCKS)
+    return rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).mapInArrow(pack, BLOCKS)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, max_bits: int = 16, every: int = 128, block_tokens: int = 1 << 16, shards: int | None = None, **options) -> None:
@@ -280,32 +283,34 @@ def _codebook(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray]:
     return book["symbol"].to_numpy(np.int64), book["bits"].to_numpy(np.int64)
 
 
-def _decoded(spark: SparkSession, path: str, schema: str, row_of) -> DataFrame:
+def _decoded(spark: SparkSession, path: str, name_of: str, kind: pa.DataType, column_of: Callable[[np.ndarray], object]) -> DataFrame:
     symbols, lengths = _codebook(spark, path)
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec, names = None, [x.split()[0] for x in schema.split(", ")]
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = None
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                if codec is None or codec.every != row.every:
-                    codec = Codec(symbols, lengths, row.every)
-                ends, start = np.cumsum(row.doc_tokens), row.offset + row.begin
-                ids = codec.decode(row.payload, row.bit_offsets, int(ends[-1]))
-                rows = [(None if pd.isna(k) else int(k), int(start + e - n), int(n), *row_of(ids[e - n : e])) for k, n, e in zip(row.doc_ids, row.doc_tokens, ends)]
-                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+            for k in range(batch.num_rows):
+                row = {name: batch[name][k] for name in ("doc_ids", "doc_tokens", "every", "bit_offsets", "payload", "begin", "offset")}
+                every, sizes = row["every"].as_py(), row["doc_tokens"].values.to_numpy()
+                if codec is None or codec.every != every:
+                    codec = Codec(symbols, lengths, every)
+                ends, start = np.cumsum(sizes), row["offset"].as_py() + row["begin"].as_py()
+                ids = codec.decode(row["payload"].as_py(), row["bit_offsets"].values.to_numpy(), int(ends[-1]))
+                found = [column_of(ids[e - n : e]) for n, e in zip(sizes, ends)]
+                yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(start + ends - sizes), pa.array(sizes), pa.array(found, kind)], ["doc_id", "start", "n_tokens", name_of])
 
     offsets = spark.read.schema(SHARDS).parquet(f"{path}/shards")
-    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").join(F.broadcast(offsets), "shard").mapInPandas(unpack, schema)
+    return spark.read.schema(BLOCKS).parquet(f"{path}/blocks").join(F.broadcast(offsets), "shard").mapInArrow(unpack, f"doc_id long, start long, n_tokens long, {name_of} {'long' if kind == pa.int64() else 'array<int>'}")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The documents of a folder that :func:`write_tokens` has written: doc_id, start, n_tokens, ids."""
-    return _decoded(spark, path, "doc_id long, start long, n_tokens long, ids array<int>", lambda ids: (ids.astype(np.int32),))
+    return _decoded(spark, path, "ids", pa.list_(pa.int32()), lambda ids: ids.astype(np.int32))
 
 
 def digest(spark: SparkSession, path: str) -> DataFrame:
     """As :func:`read_tokens`, with the crc32 of the ids as little-endian unsigned 32-bit integers in their place."""
-    return _decoded(spark, path, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda ids: (zlib.crc32(ids.astype("<u4").tobytes()),))
+    return _decoded(spark, path, "ids_crc32", pa.int64(), lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
 
 
 def token_report(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
