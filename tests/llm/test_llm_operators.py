@@ -512,3 +512,55 @@ def test_filters_grow_with_their_seeds():
         bloom.add(seeds)
         assert len(bloom.has(seeds)) == n and len(bloom.has(other)) < 400
     assert decontam.Bloom(10).size < decontam.Bloom(100_000).size <= decontam.Bloom(1 << 40).size == decontam.MOST_BITS
+
+
+# Ids, repeats and files
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    x, y, z = sentence(20, 60), sentence(21, 60), sentence(22, 60)
+    big = (1 << 60) + 1
+    rows = [(3, x), (5, x), (5, y), (big, y), (5, y), (None, x), (None, x), (7, " \n"), (7, " \n"), (8, None), (9, z), (9, z.upper()), (1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("hash", F.lit(1)).withColumn("words", F.lit("w"))
+    got = sorted((tuple(r) for r in neardup_text.classes(docs).collect()), key=str)
+    expected = [(3, 3, True), (5, 3, False), (5, 5, True), (5, 5, True), (big, 5, False), (None, None, True), (None, None, True), (7, 7, True), (7, 7, True), (8, 8, True), (9, 9, True), (9, 9, True), (1, 1, True)]
+    assert got == sorted(expected, key=str)
+    kept = neardup_text.deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] is not None and r["text"] is not None) == sorted([(3, x), (5, y), (7, " \n"), (7, " \n"), (9, z), (9, z.upper()), (1, "")])
+    assert sum(r["doc_id"] is None for r in kept.collect()) == 2
+
+
+def test_hot_leaders_are_split(spark, monkeypatch):
+    monkeypatch.setattr(neardup_text, "MEETING", 4)
+    base = sentence(30, 80).split()
+    rows = [(i, " ".join(f"w{i}" if k == i else w for k, w in enumerate(base))) for i in range(40)] + [(100 + i, sentence(40 + i, 50)) for i in range(5)]
+    got = {r["doc_id"]: r["class_id"] for r in neardup_text.classes(spark.createDataFrame(rows, "doc_id long, text string"), block=8).collect()}
+    assert got == {i: 0 for i in range(40)} | {100 + i: 100 + i for i in range(5)}
+
+
+def test_token_files_are_in_order_and_describe_themselves(spark, tmp_path):
+    rows = [(i * 37 % 1000 + (1 << 60), sentence(i, 30), "s", "en") for i in range(1000)] + [(None, "no id", None, None)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(7)
+    path = f"{tmp_path}/tokens"
+    tokenbin.write_tokens(docs, path, tokenizer_path(), every=50, max_bits=4, block_tokens=700, shards=5)
+    import pyarrow.parquet as pq
+
+    found = []
+    for file in sorted((tmp_path / "tokens" / "blocks").glob("part-*.parquet")):
+        blocks = pq.read_table(file).to_pylist()
+        assert all(b["every"] == 50 for b in blocks)
+        found += [i for b in blocks for i in b["doc_ids"]]
+    assert found == [None, *sorted(r[0] for r in rows[:-1])]
+    read = {r["doc_id"]: r for r in tokenbin.read_tokens(spark, path).collect()}
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    for key, text, *_ in rows:
+        assert read[key]["ids"] == [*tokenizer.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_codes_longer_than_the_limit_where_symbols_need_them():
+    lengths = tokenbin.code_lengths(np.ones(100, np.int64), 4)
+    assert lengths.max() == 7 and (2.0**-lengths).sum() <= 1
+    with pytest.raises(ValueError):
+        tokenbin.write_tokens(None, "", "", every=0)
