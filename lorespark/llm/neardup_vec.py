@@ -3,21 +3,27 @@
 Vectors compare only within a group (equal labels, equal length). Equal vectors are
 one node with a count. Centroids are fitted by spherical k-means on at most ``sample``
 nodes (smallest hash), about one for every ``per_cell`` vectors of the largest group
-and at most ``most_cells``. Every node lies in its nearest cell. For a cosine of at
-least c two vectors are at most an angle t apart, sin t = sqrt(1 - c*c); if their
-cells differ, each lies within sin t of the plane between the two centroids. So each
-node is a guest of every cell of a smaller number whose plane is that near, and each
-pair over the threshold meets in exactly one cell: no link is lost.
+and at most ``most_cells``. Every node lies in the shell of its nearest cell that its angle to
+the centroid gives, ``SHELL`` degrees thick. For a cosine of at least c two vectors are at most an
+angle t apart, sin t = sqrt(1 - c*c). So a node is a guest of a shell of a smaller
+number only if
 
-Cells are cut into blocks of at most ``block`` nodes by hash, and pairs of blocks are
+* it lies within sin t of the plane between its own centroid and the shell's, and
+* its angle to the shell's centroid is within t of the shell's angles,
+
+and each pair over the threshold meets in exactly one shell: no link is lost. How much
+this prunes depends on the vectors. Those with clusters meet few shells; evenly spread ones in many
+dimensions meet many, as they do by any exact bound.
+
+Shells are cut into blocks of at most ``block`` nodes by hash, and pairs of blocks are
 compared by one matrix product each, in double precision. A pair of blocks returns
 how many vectors each node links with and a spanning forest of its links, never the
 links themselves, so a large group of near copies costs rows in proportion to it.
 
 Defined results: vectors that are null or zero or hold null or non-finite components,
 and rows with a null label or id, link with nothing (``component_id`` is the own id,
-``kept`` is true); a row that repeats an id and vector counts as another vector; an
-empty table gives an empty result. Other columns are ignored.
+``kept`` is true); a row that repeats an id counts as another vector, with links and a
+component of its own; an empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +39,11 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, small_batches, store
 from .graph import connected_components
 
-THRESHOLD, SAMPLE, PER_CELL, MOST_CELLS, BLOCK, ROUNDS = 0.93, 20_000, 2_000, 4_096, 1_024, 8
+THRESHOLD, SAMPLE, PER_CELL, MOST_CELLS, BLOCK, ROUNDS = 0.93, 20_000, 1_000, 4_096, 1_024, 8
+#: Degrees; cells have up to ``SHELLS`` shells.
+SHELL, SHELLS = 3.0, 61
+#: In how many parts rows of equal vectors are dealt.
+SALTS = 8
 
 
 def unit(rows: pd.Series) -> np.ndarray:
@@ -48,7 +58,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 11
     rng = np.random.default_rng(seed)
     centroids = x[rng.permutation(len(x))[: max(1, k)]]
     for _ in range(rounds):
-        nearest = (x @ centroids.T).argmax(1)
+        nearest = np.concatenate([(x[at : at + 2_048] @ centroids.T).argmax(1) for at in range(0, len(x), 2_048)])
         sums = np.zeros_like(centroids)
         np.add.at(sums, nearest, x)
         size = np.sqrt((sums * sums).sum(1, keepdims=True))
@@ -56,15 +66,26 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 11
     return centroids
 
 
-def homes_and_guests(x: np.ndarray, centroids: np.ndarray, threshold: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The nearest cell of each row, and the smaller-numbered cells that a partner of it may lie in."""
+def homes(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The shell (cell times ``SHELLS`` plus its number in the cell) of each row."""
     near = x @ centroids.T
     home = near.argmax(1)
-    apart = np.sqrt(np.maximum(2 - 2 * centroids @ centroids.T, 0))[home]
-    reach = np.sqrt(1 - threshold * threshold) + 1e-9
+    angle = np.degrees(np.arccos(np.clip(near[np.arange(len(x)), home], -1, 1)))
+    return home * SHELLS + (angle / SHELL).astype(np.int64)
+
+
+def guests(x: np.ndarray, centroids: np.ndarray, shells: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """The smaller-numbered ones of ``shells`` (those that hold a row) that a partner of each row may lie in."""
+    near = x @ centroids.T
+    own = homes(x, centroids)
+    home, reach = near.argmax(1), np.sqrt(1 - threshold * threshold) + 1e-9
+    apart = np.sqrt(np.maximum(2 - 2 * centroids[home] @ centroids.T, 0))
     close = near[np.arange(len(x)), home][:, None] - near <= reach * apart
-    close &= np.arange(len(centroids))[None, :] < home[:, None]
-    return home, [np.flatnonzero(c) for c in close]
+    angle, least = np.degrees(np.arccos(np.clip(near, -1, 1))), (shells % SHELLS) * SHELL
+    wide = np.degrees(np.arccos(threshold)) + 1e-6
+    cell = shells // SHELLS
+    met = close[:, cell] & (angle[:, cell] >= least - wide) & (angle[:, cell] <= least + SHELL + wide) & (shells < own[:, None])
+    return [shells[m] for m in met]
 
 
 def _compare(group: pd.DataFrame, threshold: float) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -104,10 +125,13 @@ def link_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     sound &= F.coalesce(F.exists("v", lambda e: e != 0), F.lit(False))
     plain = F.transform("v", lambda e: e + F.lit(0.0))  # no negative zeros
     marked = source.select("vec_id", "label", sound.alias("sound"), F.when(sound, plain).alias("v"))
-    marked = marked.withColumn("key", F.when(F.col("sound"), F.sha2(F.to_json(F.struct("label", "v")), 256)))
-    usable = marked.filter("sound")
-    nodes = store(usable.groupBy("key").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("label").alias("label")), "nodes")
-    # Two vectors may share an id; a node is then the id and stands for both.
+    usable = marked.filter("sound").withColumns({"k1": F.xxhash64("label", "v"), "k2": F.xxhash64("v", F.lit(1), "label")})
+    key = ["k1", "k2"]
+    named = store(usable.groupBy(*key).agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("v").alias("v"), F.first("label").alias("label")), "vectors")
+    # A node is named by its smallest id; vectors that share that id by a hash of theirs.
+    shared = store(named.groupBy("vec_id").agg(F.count("*").alias("m")).filter("m > 1").select("vec_id", F.lit(True).alias("shared")), "shared-ids")
+    nodes = named.join(shared, "vec_id", "left").withColumn("node", F.when(F.col("shared"), F.col("k1")).otherwise(F.col("vec_id")))
+    nodes = store(nodes, "nodes")
     grouped = nodes.withColumn("part", F.concat_ws(":", F.size("v"), "label"))
     sizes = grouped.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"))
     centroids = {}
@@ -115,19 +139,28 @@ def link_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
         k = int(min(max(row["n"] / row["labels"] / per_cell, 1), most_cells))
         rows = bounded_sample(nodes.filter(F.size("v") == row["length"]).select("node", "v"), F.col("node"), sample).toPandas()
         centroids[row["length"]] = spherical_kmeans(unit(rows["v"]), k)
-    cells = "part string, cell int, guest boolean, node long, n long, v array<double>"
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lie(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for length, same in batch.groupby(batch["v"].map(len)):
-                home, guests = homes_and_guests(unit(same["v"]), centroids[length], threshold)
-                many = np.array([1 + len(g) for g in guests])
-                out = same.loc[np.repeat(same.index, many), ["part", "node", "n", "v"]]
-                first = np.zeros(len(out), bool)
-                first[np.cumsum(many) - many] = True
-                yield out.assign(cell=np.concatenate([np.concatenate([[h], g]) for h, g in zip(home, guests)]), guest=~first)[["part", "cell", "guest", "node", "n", "v"]]
-
-    placed = store(grouped.select("part", "node", "n", "v").mapInPandas(assign, cells), "cells")
+                yield same.assign(cell=homes(unit(same["v"]), centroids[length]))[["part", "cell", "node", "n", "v"]]
+
+    at_home = store(grouped.select("part", "node", "n", "v").mapInPandas(lie, "part string, cell long, node long, n long, v array<double>"), "homes")
+    used: dict[int, list[int]] = {}  # at most ``SHELLS`` times ``most_cells`` for each length
+    for row in at_home.select(F.size("v").alias("length"), "cell").distinct().toLocalIterator():
+        used.setdefault(row["length"], []).append(row["cell"])
+    shells = {length: np.array(sorted(cells)) for length, cells in used.items()}
+
+    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for length, same in batch.groupby(batch["v"].map(len)):
+                found = guests(unit(same["v"]), centroids[length], shells[length], threshold)
+                out = same.loc[np.repeat(same.index, list(map(len, found))), ["part", "node", "n", "v"]]
+                yield out.assign(cell=np.concatenate(found))[["part", "cell", "node", "n", "v"]]
+
+    visits = at_home.mapInPandas(visit, at_home.schema)
+    placed = at_home.withColumn("guest", F.lit(False)).unionByName(visits.withColumn("guest", F.lit(True)))
+    placed = store(placed, "cells")
     loads = placed.groupBy("part", "cell").agg(F.count_if(~F.col("guest")).alias("homes"), F.count_if("guest").alias("guests"))
     loads = loads.select("part", "cell", F.ceil(F.col("homes") / block).cast("int").alias("hb"), F.ceil(F.col("guests") / block).cast("int").alias("gb")).filter("hb > 0")
     spot = lambda n: F.pmod(F.xxhash64("node", "cell"), F.greatest(n, F.lit(1))).cast("int")
@@ -165,8 +198,15 @@ def link_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     found = store(dealt.mapInPandas(compare, "node long, n long, a long, b long"), "links")
     counts = found.filter("node is not null").groupBy("node").agg(F.sum("n").alias("links"))
     components = connected_components(found.filter("a is not null").select("a", "b"))
-    facts = nodes.select("key", "node", "n").join(counts, "node", "left").join(components, "node", "left")
-    facts = facts.select("key", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    out = marked.select("vec_id", "key").join(facts, "key", "left")
+    facts = nodes.select(*key, "vec_id", "shared", "node", "n").join(counts, "node", "left").join(components, "node", "left")
+    facts = facts.filter("n > 1 or links is not null or shared").withColumn("component", F.coalesce("component", "node"))
+    facts = store(facts.select(*key, "vec_id", "shared", "component", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "facts")
+    # Components with a node that is named by a hash take their smallest id; all others are named by it.
+    hashed = store(facts.filter("shared").select("component").distinct(), "hashed")
+    least = facts.join(hashed, "component", "left_semi").groupBy("component").agg(F.min("vec_id").alias("least"))
+    facts = facts.join(least, "component", "left").select(*key, "n_links", F.coalesce("least", "component").alias("component_id"))
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = usable.select("vec_id", *key).withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"], "left")
+    out = out.select("vec_id", "n_links", "component_id").unionByName(marked.filter("not sound").select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id")))
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
