@@ -564,3 +564,40 @@ def test_codes_longer_than_the_limit_where_symbols_need_them():
     assert lengths.max() == 7 and (2.0**-lengths).sum() <= 1
     with pytest.raises(ValueError):
         tokenbin.write_tokens(None, "", "", every=0)
+
+
+@pytest.mark.parametrize("options", [{}, {"per_cell": 2, "block": 4, "sample": 40}])
+def test_vectors_of_repeated_ids(spark, options):
+    rng = np.random.default_rng(15)
+    base = rng.normal(size=(12, 6))
+    rows = [(int(rng.integers(0, 25)), [float(x) for x in base[k % 12] + rng.normal(size=6) * 0.1], 1) for k in range(60)]
+    rows += [(100, [1.0, 0.0], 0), (100, [0.0, 1.0], 0), (101, [1.0, 0.01], 0), (102, [0.01, 1.0], 0), (100, [1.0, 0.0], 0)]
+    got = neardup_vec.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), **options).collect()
+    norm = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    links = [{j for j in range(len(rows)) if j != i and len(norm[i]) == len(norm[j]) and norm[i] @ norm[j] >= 0.93} for i in range(len(rows))]
+    expected = []
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        low = min(rows[j][0] for j in seen)
+        expected.append((rows[i][0], len(links[i]), low, low == rows[i][0]))
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def test_no_partner_lies_outside_the_shells_visited():
+    rng = np.random.default_rng(16)
+    for spread in (0.05, 0.4):
+        centers = rng.normal(size=(30, 16))
+        x = centers[rng.integers(0, 30, 1500)] + rng.normal(size=(1500, 16)) * spread
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        centroids = neardup_vec.spherical_kmeans(x[:800], 40)
+        own = neardup_vec.homes(x, centroids)
+        shells = np.unique(own)
+        met = [set(g.tolist()) for g in neardup_vec.guests(x, centroids, shells, 0.93)]
+        a, b = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+        assert len(a) and all(own[i] == own[j] or own[min((i, j), key=lambda k: own[k])] in met[max((i, j), key=lambda k: own[k])] for i, j in zip(a, b))
+        if spread < 0.1:
+            assert sum(map(len, met)) < 0.5 * len(x) * len(shells) / 2
