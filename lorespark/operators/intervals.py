@@ -1,103 +1,65 @@
-"""Repair of a talk's segments into a partition of its length."""
+"""Repair of a talk's segments into a partition of its length.
 
-from __future__ import annotations
+Who owns a second follows from the segments that cover it, and from nothing else: the
+first by start, end and position has the claim; another takes it over if it ends no
+later than the one that has it and is not a lecture. Seconds that none covers belong to
+the owner before them, those before the first segment to that. Runs of one owner are
+spans; lectures shorter than ``FRAGMENT`` join the span before them, the first one that after it.
 
-from collections.abc import Sequence
-from dataclasses import dataclass, replace
+Owners change only at bounds of segments, so a talk is cut at all of them and the pieces
+are matched to segments by a range join: all of it is joins and windows.
+"""
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from __future__ import annotations
 
-SNAP, FRAGMENT, LECTURE = 45, 20, "lecture"
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from .sequences import nearest, range_join
 
-@dataclass(frozen=True)
-class Span:
-    start: int
-    end: int
-    label: str
-    summary: str
+SNAP, FRAGMENT, LECTURE, BUCKET = 45, 20, "lecture", 300
 
 
-def _place(done: list[Span], new: Span, strict: bool) -> None:
-    """Add ``new`` to a gapless row of spans: gaps go to the span before, overlaps to the earlier claim.
+def _owner(covering: Column) -> Column:
+    """Of segments in order, the one that has the claim."""
+    takes_over = lambda had, new: (new["end_sec"] <= had["end_sec"]) & ~new["label"].eqNullSafe(LECTURE)
+    return F.aggregate(covering, F.get(covering, F.lit(0)), lambda had, new: F.when(takes_over(had, new), new).otherwise(had))
 
-    A span inside the last one splits it, unless it is a lecture, which adds nothing.
-    With ``strict`` only one that starts after the last one's start counts as inside.
-    """
-    if not done:
-        done.append(new)
-        return
-    last = done[-1]
-    if new.start >= last.end:
-        done[-1] = replace(last, end=new.start)
-        done.append(new)
-    elif new.end <= last.end and (last.start < new.start or not strict):
-        if new.label == LECTURE:
-            return
-        done.pop()
-        if last.start < new.start:
-            done.append(replace(last, end=new.start))
-        done.append(new)
-        if new.end < last.end:
-            done.append(replace(last, start=new.end))
-    elif last.end < new.end:
-        done.append(replace(new, start=last.end))
 
-
-def partition(spans: Sequence[Span], duration: int) -> list[Span]:
-    """Sorted spans that cover 0 to ``duration`` without gap or overlap; short lectures join the span before them."""
-    spans = sorted(spans, key=lambda s: (s.start, s.end))
-    if not spans:
-        return []
-    spans[0] = replace(spans[0], start=0)
-    for strict in (False, True):
-        done: list[Span] = []
-        for span in spans:
-            _place(done, span, strict)
-        done[-1] = replace(done[-1], end=duration)
-        while done and done[-1].end <= done[-1].start:
-            done.pop()
-            if done:
-                done[-1] = replace(done[-1], end=duration)
-        if not done:
-            return []
-        spans = sorted(done, key=lambda s: (s.start, s.end))
-    spans[0], spans[-1] = replace(spans[0], start=0), replace(spans[-1], end=duration) if len(spans) > 1 else replace(spans[0], start=0, end=duration)
-    merged: list[Span] = []
-    for span in spans:
-        short = span.label == LECTURE and span.end - span.start < FRAGMENT
-        if merged and short:
-            merged[-1] = replace(merged[-1], end=span.end)
-        else:
-            merged.append(span)
-    if len(merged) > 1 and merged[0].label == LECTURE and merged[0].end - merged[0].start < FRAGMENT:
-        merged[1] = replace(merged[1], start=merged[0].start)
-        merged.pop(0)
-    return merged
+def _with_ends(spans: DataFrame, key: str) -> DataFrame:
+    """``spans`` with ``end_sec``: where the next one starts, or the talk ends."""
+    return spans.withColumn("end_sec", F.coalesce(F.lead("start_sec").over(W.partitionBy(key).orderBy("start_sec")), F.col("duration")))
 
 
 def repaired_segments(segments: DataFrame, points: DataFrame, key: str) -> DataFrame:
     """(key, pos, start_sec, end_sec, label, summary): each talk's segments as a partition of its ``duration``.
 
     ``segments`` has key, pos, start_sec, end_sec, label, summary and duration, ``points`` key
-    and start_sec. Bounds are clamped and snap to the nearest point within ``SNAP`` seconds,
-    in Spark; only the walk over one talk's segments is Python, and a talk has few.
+    and start_sec. Bounds are clamped and snap to the nearest point within ``SNAP`` seconds;
+    segments that are then empty, and those of a null key or duration, go.
     """
-    from .sequences import nearest
-
     clamp = lambda c: F.least(F.greatest(F.col(c), F.lit(0)), F.col("duration"))
-    out = segments.filter("duration > 0")
+    out = segments.select(key, "pos", "start_sec", "end_sec", "label", "summary", "duration").filter(F.col(key).isNotNull() & (F.col("duration") > 0))
     for bound in ("start_sec", "end_sec"):
         out = nearest(out.withColumn(bound, clamp(bound)), points.select(key, F.col("start_sec").cast("long").alias("point")), [key], bound, "point", SNAP).withColumn(bound, F.col("snapped")).drop("snapped")
-    out = out.filter("end_sec > start_sec")
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        spans = [Span(int(r.start_sec), int(r.end_sec), r.label, r.summary) for r in group.itertuples()]
-        done = partition(spans, int(group["duration"].iloc[0]))
-        return pd.DataFrame([(group[key].iloc[0], i, s.start, s.end, s.label, s.summary) for i, s in enumerate(done)], columns=[key, "pos", "start_sec", "end_sec", "label", "summary"])
-
-    kind = segments.schema[key].dataType.simpleString()
-    return out.groupBy(key).applyInPandas(walk, f"{key} {kind}, pos int, start_sec long, end_sec long, label string, summary string")
+    out = out.filter("end_sec > start_sec").withColumns({c: F.col(c).cast("long") for c in ("start_sec", "end_sec", "duration")})
+    first = F.row_number().over(W.partitionBy(key).orderBy("start_sec", "end_sec", "pos")) == 1
+    out = out.withColumn("start_sec", F.when(first, 0).otherwise(F.col("start_sec")).cast("long"))
+
+    bounds = out.select(key, "duration", F.explode(F.array("start_sec", "end_sec")).alias("at")).filter("at < duration").distinct()
+    covered = range_join(bounds, out.drop("duration"), [key], "at", "start_sec", "end_sec", BUCKET)
+    covering = F.array_sort(F.collect_list(F.struct("start_sec", "end_sec", "pos", "label", "summary")))
+    owners = covered.groupBy(key, "at").agg(covering.alias("covering")).select(key, "at", _owner(F.col("covering")).alias("own"))
+    along = W.partitionBy(key).orderBy("at")
+    pieces = bounds.join(owners, [key, "at"], "left").withColumn("own", F.last("own", ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, 0)))
+    starts = pieces.withColumn("before", F.lag("own.pos").over(along)).filter("before is null or before <> own.pos")
+    spans = _with_ends(starts.select(key, "duration", F.col("at").alias("start_sec"), "own.label", "own.summary"), key)
+
+    order = W.partitionBy(key).orderBy("start_sec")
+    short = F.col("label").eqNullSafe(LECTURE) & (F.col("end_sec") - F.col("start_sec") < FRAGMENT)
+    number = F.row_number().over(order)
+    spans = _with_ends(spans.withColumn("n", number).filter(~short | (F.col("n") == 1)).drop("end_sec"), key)
+    spans = spans.withColumn("n", number).filter(~short | (F.col("n") > 1) | (F.col("end_sec") == F.col("duration")))
+    place = number - 1
+    return spans.select(key, place.cast("int").alias("pos"), F.when(place == 0, 0).otherwise(F.col("start_sec")).cast("long").alias("start_sec"), "end_sec", "label", "summary")

@@ -44,16 +44,103 @@ def test_interval_repair(spark):
     assert repaired(spark, [(700, 800, "L")], 600) == []
 
 
-def test_partition_covers(spark):
+def owners(spans, duration):
+    """The owner of each second, by looking at every segment that covers it."""
+    kept = sorted((max(0, min(a, duration)), max(0, min(b, duration)), i, k) for i, (a, b, k) in enumerate(spans))
+    kept = [s for s in kept if s[0] < s[1]]
+    if not kept:
+        return []
+    kept[0] = (0, *kept[0][1:])
+    out = []
+    for second in range(duration):
+        had = None
+        for s in kept:
+            if s[0] <= second < s[1]:
+                had = s if had is None or (s[1] <= had[1] and s[3] != "L") else had
+        out.append(had or out[-1])
+    return out
+
+
+def test_interval_repair_by_owners_of_seconds(spark):
     import random
+    from itertools import groupby
 
     rng = random.Random(3)
-    for _ in range(300):
+    talks = {}
+    for talk in range(120):
         duration = rng.randint(1, 300)
-        spans = [intervals.Span(a := rng.randint(0, duration - 1), rng.randint(a + 1, duration), rng.choice(["lecture", "qa", "tips"]), "") for _ in range(rng.randint(1, 7))]
-        out = intervals.partition(spans, duration)
-        assert out[0].start == 0 and out[-1].end == duration
-        assert all(a.end == b.start and a.start < a.end for a, b in zip(out, out[1:]))
+        talks[talk] = duration, [(rng.randint(-20, duration), rng.randint(0, duration + 30), rng.choice("LQT")) for _ in range(rng.randint(1, 7))]
+    kind = {"L": "lecture", "Q": "qa", "T": "tips"}
+    rows = [(t, i, a, b, kind[k], str(i), d) for t, (d, spans) in talks.items() for i, (a, b, k) in enumerate(spans)]
+    df = spark.createDataFrame([*rows, (None, 0, 0, 9, "qa", "", 10), (999, 0, 0, 9, "qa", "", None)], "video_id int, pos int, start_sec long, end_sec long, label string, summary string, duration long")
+    pts = spark.createDataFrame([], "video_id int, start_sec long")
+    got = {}
+    for r in intervals.repaired_segments(df, pts, "video_id").orderBy("video_id", "pos").collect():
+        got.setdefault(r["video_id"], []).append((r["start_sec"], r["end_sec"], int(r["summary"])))
+    for t, (duration, spans) in talks.items():
+        runs, at = [], 0
+        for owner, seconds in groupby(owners(spans, duration)):
+            length = len(list(seconds))
+            runs.append([at, at + length, owner[2]])
+            at += length
+        merged = []
+        for run in runs:
+            if merged and spans[run[2]][2] == "L" and run[1] - run[0] < 20:
+                merged[-1][1] = run[1]
+            else:
+                merged.append(run)
+        if len(merged) > 1 and spans[merged[0][2]][2] == "L" and merged[0][1] - merged[0][0] < 20:
+            merged[1][0] = 0
+            merged.pop(0)
+        assert got.get(t, []) == [tuple(m) for m in merged], (spans, duration)
+
+
+def test_anchor_chunks_of_null_keys_and_starts(spark):
+    big = (1 << 60) + 1
+    rows = spark.createDataFrame([(None, 0, 0), (None, 1, 5), (None, 2, 40), (big, 0, None), (big, 1, 7), (big, 2, 30), (big, 3, 40), (big - 1, 0, 3)], "k long, pos int, at long")
+    before = rows.schema.simpleString()
+    for _ in range(2):
+        got = sorted((tuple(r) for r in seq.anchor_chunks(rows, ["k"], ["pos"], "at", 30).collect()), key=str)
+    assert rows.schema.simpleString() == before
+    expected = [(None, 0, 0, 0, 0), (None, 1, 5, 0, 0), (None, 2, 40, 1, 40), (big, 0, None, 0, None), (big, 1, 7, 0, 7), (big, 2, 30, 0, 7), (big, 3, 40, 1, 40), (big - 1, 0, 3, 0, 3)]
+    assert got == sorted(expected, key=str)
+
+
+def test_unique_paths_never_meet(spark):
+    rows = [("d", i, b) for i, b in enumerate(["x", "x", "x-2", "x-2", "x", "y", "y", "x-2-2", "-2", "-2", "z-9"])] + [("e", 99, "x-2")]
+    got = {r["pos"]: r["path"] for r in seq.unique_paths(spark.createDataFrame(rows, "f string, pos int, base string"), "f", "base", ["pos"], "md").collect()}
+    taken = set()
+    for folder, pos, base in rows:
+        name, n = f"{folder}/{base}.md", 1
+        while name in taken:
+            n += 1
+            name = f"{folder}/{base}-{n}.md"
+        taken.add(name)
+        assert got[pos] == name
+
+
+def test_nearest_of_many_rows_of_one_key(spark):
+    import time
+
+    rows = spark.range(40_000).select(F.lit("k").alias("k"), (F.col("id") * 10).alias("at"))
+    began = time.perf_counter()
+    found = seq.nearest(rows, rows.select("k", (F.col("at") + 4).alias("t")), ["k"], "at", "t", 4.0)
+    assert found.filter("snapped = at + 4").count() == 40_000 and time.perf_counter() - began < 60
+
+
+def test_write_cache_twice(spark, tmp_path):
+    path = f"{tmp_path}/cache"
+    entries = spark.createDataFrame([("aa", 2, "late"), ("aa", 1, "early"), ("bb", 1, "b"), (None, 1, "x")], "key string, pos int, value string")
+    writers.write_cache(entries, path, "pos")
+    writers.write_cache(entries.unionByName(spark.createDataFrame([("cc", 1, "c"), ("aa", 0, "newer")], entries.schema)), path, "pos")
+    assert sorted((r["key"], r["value"]) for r in spark.read.parquet(path).collect()) == [("aa", "early"), ("bb", "b"), ("cc", "c")]
+
+
+def test_fidelity_refuses_a_spelling_of_two_terms(spark):
+    texts = spark.createDataFrame([("v", "Spark ｓｐａｒｋ")], "video_id string, text string")
+    with pytest.raises(ValueError):
+        rollups.fidelity(texts, "video_id", "text", [("Spark", ["sprak"]), ("Spork", ["ＳＰＲＡＫ"])], 20)
+    assert rollups.fidelity(texts, "video_id", "text", [("Spark", ["ｓｐａｒｋ"])], 20).count() == 0
 
 
 def test_topic_merge(spark):
