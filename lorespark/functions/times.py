@@ -14,6 +14,7 @@ LANGUAGES = {
     ".sql": "sql", ".yaml": "yaml", ".yml": "yaml", ".toml": "toml", ".json": "json", ".md": "markdown", ".html": "html", ".css": "css",
     ".scss": "scss", ".c": "c", ".h": "c", ".cpp": "cpp", ".hpp": "cpp", ".cs": "csharp", ".php": "php", ".lua": "lua", ".dockerfile": "dockerfile", ".tf": "hcl",
 }
+#: Extensions of video files.
 EXTENSION = "(mp4|mkv|webm|mov|m4v|avi)"
 
 
@@ -79,7 +80,7 @@ def code_urls(text: Column, most: int = 10) -> Column:
     """File, snippet and repository URLs in that order, each once; a repository only without a file of it."""
     everything = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     blobs = everything(r"(?i)https://github\.com/[\w.-]+/[\w.-]+/blob/[^\s)#]+")
-    gists = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)https://gist\.github\.com/(?:[\w.-]+/)?([0-9a-f]{8,})"), F.lit(1)), lambda g: F.concat(F.lit("https://gist.github.com/"), g))
+    gists = F.transform(F.regexp_extract_all(text, F.lit(r"(?i)https://gist\.github\.com/(?:[\w.-]+/)?([0-9a-f]{6,40})"), F.lit(1)), lambda g: F.concat(F.lit("https://gist.github.com/"), g))
     repos = F.regexp_extract_all(text, F.lit(r"(?i)(https://github\.com/[\w.-]+/[\w.-]+)(?:[/\s)#]|$)"), F.lit(1))
     repos = F.filter(repos, lambda r: ~F.exists(blobs, lambda b: b.startswith(F.concat(r, F.lit("/blob/")))))
     return F.slice(F.array_distinct(F.concat(blobs, gists, repos)), 1, most)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 from lorespark.functions.text import collapse, word_pattern
 
 
+def folded(term: str) -> str:
+    """The key under which spellings of a glossary's term are one."""
+    return unicodedata.normalize("NFKC", term).casefold().strip()
+
+
 def category(count: Column) -> Column:
     return F.when(count >= 3, "core").when(count == 2, "supporting").otherwise("unique")
 
@@ -44,19 +50,38 @@ def call_totals(calls: DataFrame, keys: Sequence[str], counters: Sequence[str],
 def merged_topics(topics: DataFrame, label: str, order: Sequence[str], source: str, alias: str, summary: str) -> DataFrame:
     """One row for each label without regard to case and outer space: the first spelling, all sources and aliases in order of appearance.
 
-    ``topic_id`` counts topics by first appearance, which is a count over all topics (not rows).
+    Sources and aliases are reduced to their first appearance before they are collected, so
+    a topic's rows never meet in one place. ``topic_id`` counts topics by first appearance.
     """
-    key = F.lower(F.trim(label))
-    at = F.struct(*order)
+    key, at = F.lower(F.trim(label)), F.struct(*order)
     keyed = topics.withColumn("_key", key).filter("_key <> ''")
-    distinct = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(*order, c))), lambda s: s[c]))
-    out = keyed.groupBy("_key").agg(
-        F.min(at).alias("_first"), F.min_by(label, at).alias("label"), distinct(source).alias("source_videos"), distinct(alias).alias("aliases"),
-        F.min_by(summary, F.when(F.col(summary) != "", at)).alias("summary"),
-    )
+
+    def distinct(column: str, name: str) -> DataFrame:
+        firsts = keyed.groupBy("_key", F.col(column).alias("_value")).agg(F.min(at).alias("_at"))
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_value"))), lambda s: s["_value"])
+        return firsts.filter("_value is not null").groupBy("_key").agg(listed.alias(name))
+
+    out = keyed.groupBy("_key").agg(F.min(at).alias("_first"), F.min_by(label, at).alias("label"), F.min_by(summary, F.when(F.col(summary) != "", at)).alias("summary"))
+    out = out.join(distinct(source, "source_videos"), "_key", "left").join(distinct(alias, "aliases"), "_key", "left")
+    none = F.array().cast("array<string>")
+    out = numbered(out.withColumns({"source_videos": F.coalesce("source_videos", none), "aliases": F.coalesce("aliases", none)}), F.col("_first")[order[0]], ["_first"], "_number")
     n = F.size("source_videos")
-    number = F.row_number().over(W.orderBy("_first"))
-    return out.select(F.format_string("t%03d", number).alias("topic_id"), "label", "aliases", "source_videos", n.cast("long").alias("duplication_count"), category(n).alias("category"), F.coalesce("summary", F.lit("")).alias("summary"))
+    return out.select(F.format_string("t%03d", "_number").alias("topic_id"), "label", "aliases", "source_videos", n.cast("long").alias("duplication_count"), category(n).alias("category"), F.coalesce("summary", F.lit("")).alias("summary"))
+
+
+def numbered(rows: DataFrame, lead: Column, order: Sequence[str], name: str, parts: int = 256) -> DataFrame:
+    """``rows`` with ``name``: 1, 2, ... over all of them in ``order``, which must be total and begin with the number ``lead``.
+
+    In two steps over ``parts`` ranges of ``lead``: their counts, a row each, give what a range's own numbers start from.
+    """
+    number = lead.cast("double")
+    low, high = rows.agg(F.min(number), F.max(number)).first()
+    width = ((high or 0.0) - (low or 0.0)) / parts or 1.0
+    ranged = rows.withColumn("_range", F.coalesce(F.floor((number - F.lit(low or 0.0)) / F.lit(width)), F.lit(-1)))
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + own).drop("_range", "_start")
 
 
 def coverage(known: DataFrame, used: DataFrame, key: str) -> DataFrame:
@@ -76,8 +101,17 @@ def fidelity(texts: DataFrame, key: str, text: str, glossary: Sequence[tuple[str
 
     One row for each text and canonical term that it misspells: the spellings in order of
     first appearance joined by ``、``, at most ``most`` terms a text in order of first appearance.
+    Spellings are told apart by their fold (NFKC, then case); one that two terms have is an error.
     """
-    index = {alias.lower(): canonical for canonical, aliases in glossary for alias in aliases if alias.lower() != canonical.lower()}
+    index: dict[str, str] = {}
+    owner: dict[str, str] = {}
+    for canonical, aliases in glossary:
+        for surface in (canonical, *aliases):
+            if owner.setdefault(folded(surface), canonical) != canonical:
+                raise ValueError(f"{surface!r} belongs to {owner[folded(surface)]!r} and to {canonical!r}")
+        index |= {alias.lower(): canonical for alias in aliases if folded(alias) and folded(alias) != folded(canonical)}
+    if not index:
+        return texts.select(key, F.lit("").alias("canonical"), F.lit("").alias("surfaces"), F.lit(0).cast("long").alias("rank")).limit(0)
     found_by = "(?iu)" + "|".join(map(word_pattern, sorted(index, key=len, reverse=True)))
     lookup = F.create_map(*[F.lit(x) for pair in index.items() for x in pair])
     met = texts.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(found_by), F.lit(0))).alias("pos", "surface"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,28 +16,32 @@ from lorespark.functions.text import collapse
 def anchor_chunks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, width: float) -> DataFrame:
     """``rows`` with ``chunk`` (0, 1, ...) and ``chunk_start``: a chunk ends where a row starts ``width`` or more after its first.
 
-    Rows are taken in the order given, never sorted by start, which may fall. Spark
-    deals and sorts them by key; each task walks its rows once and holds one batch, so
-    a key may have any number of rows.
+    Rows are taken in the order given, never sorted by start, which may fall. Rows whose
+    key is null are those of one more key; a row without a start belongs to the chunk
+    it is met in. Spark deals and sorts rows by key; each task walks its rows once and
+    holds one batch, so a key may have any number of rows.
     """
     if width <= 0:
         raise ValueError("width must be positive")
-    keys, schema = list(keys), rows.schema.add("chunk", T.LongType()).add("chunk_start", rows.schema[start].dataType)
+    keys = list(keys)
+    schema = T.StructType([*rows.schema.fields, T.StructField("chunk", T.LongType()), T.StructField("chunk_start", rows.schema[start].dataType)])
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, chunk, anchor = None, 0, None
         for batch in batches:
             chunks, anchors = [], []
-            for key, at in zip(zip(*[batch[k] for k in keys]), batch[start]):
+            for key, at in zip(zip(*[batch[k].to_pylist() for k in keys]), batch[start].to_pylist()):
                 if key != last:
                     last, chunk, anchor = key, 0, at
-                elif at >= anchor + width:
+                elif anchor is None:
+                    anchor = at
+                elif at is not None and at >= anchor + width:
                     chunk, anchor = chunk + 1, at
                 chunks.append(chunk)
                 anchors.append(anchor)
-            yield batch.assign(chunk=chunks, chunk_start=anchors)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunks, pa.int64()), pa.array(anchors, batch[start].type)], [*batch.schema.names, "chunk", "chunk_start"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walk, schema)
 
 
 def joined_text(text: str, order: Sequence[str]) -> Column:
@@ -66,14 +70,14 @@ def range_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str
 def nearest(rows: DataFrame, targets: DataFrame, keys: Sequence[str], at: str, target: str, tolerance: float) -> DataFrame:
     """``rows`` with ``snapped``: the nearest target within ``tolerance``, the smaller of two as near; else the own value.
 
-    One pass over both tables in order, instead of a join of all pairs.
+    Both tables are read in order once upwards and once downwards, instead of a join of all pairs.
     """
     points = targets.select(*keys, F.col(target).alias("_t")).distinct()
     both = rows.withColumn("_at", F.col(at)).withColumn("_t", F.lit(None).cast(points.schema["_t"].dataType))
     both = both.unionByName(points.withColumn("_at", F.col("_t")), allowMissingColumns=True).withColumn("_row", F.col("_t").isNull())
-    order = W.partitionBy(*keys).orderBy("_at", "_row")
-    below = F.last("_t", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    above = F.first("_t", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
+    own = W.partitionBy(*keys)
+    so_far = lambda *order: F.last("_t", ignorenulls=True).over(own.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    below, above = so_far("_at", "_row"), so_far(F.desc("_at"), "_row")
     found = both.withColumns({"_below": below, "_above": above}).filter("_row")
     down, up = F.col(at) - F.col("_below"), F.col("_above") - F.col(at)
     best = F.when(F.col("_above").isNull() | (down <= up), F.col("_below")).otherwise(F.col("_above"))
@@ -158,10 +162,38 @@ def image_names(outcomes: DataFrame, key: str, order: Sequence[str], ok: str) ->
 
 
 def unique_paths(files: DataFrame, folder: str, base: str, order: Sequence[str], extension: str) -> DataFrame:
-    """``files`` with ``path``: base.ext, then base-2.ext, base-3.ext and so on within a folder."""
+    """``files`` with ``path``: in order, base.ext or else the first of base-2.ext, base-3.ext and so on that is still free in its folder.
+
+    Bases can only meet if they differ in numbers at their end. Where a folder has one such
+    base, its files are numbered by a window; the others, which are few, are walked in order,
+    with the names that a task's present folder and bases have taken.
+    """
+    stem = F.regexp_replace(F.col(base), r"(-\d+)+\z", "")
+    named = files.withColumn("_stem", F.when(stem == "", F.col(base)).otherwise(stem))
+    group = W.partitionBy(folder, "_stem")
+    named = named.withColumn("_mixed", F.min(base).over(group) != F.max(base).over(group))
     n = F.row_number().over(W.partitionBy(folder, base).orderBy(*order))
-    name = F.concat(F.col(base), F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(""), F.lit("." + extension))
-    return files.withColumn("path", F.concat_ws("/", folder, name))
+    plain = named.filter("not _mixed").withColumn("_name", F.concat(F.col(base), F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise("")))
+    mixed = named.filter("_mixed").withColumn("_name", F.lit(None).cast("string"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, taken, following = None, set(), {}
+        for batch in batches:
+            names = []
+            for *key, wanted in zip(batch[folder].to_pylist(), batch["_stem"].to_pylist(), batch[base].to_pylist()):
+                if key != last:
+                    last, taken, following = key, set(), {}
+                name, number = wanted, following.get(wanted, 2)
+                while name in taken:
+                    name, number = f"{wanted}-{number}", number + 1
+                taken.add(name)
+                following[wanted] = number
+                names.append(name)
+            yield batch.set_column(batch.schema.names.index("_name"), "_name", pa.array(names, pa.string()))
+
+    walked = mixed.repartition(folder, "_stem").sortWithinPartitions(folder, "_stem", *order).mapInArrow(walk, mixed.schema)
+    out = plain.unionByName(walked)
+    return out.withColumn("path", F.concat_ws("/", F.col(folder), F.concat("_name", F.lit("." + extension)))).drop("_stem", "_mixed", "_name")
 
 
 def repaired_plan(steps: DataFrame, known: DataFrame, keys: Sequence[str], order: str, start: str, end: str, ids: str, duration: str, most: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,9 +24,25 @@ def sanitize_alerts(rows: DataFrame, key: str, column: str, context: str) -> Dat
     return found.select(key, "context", "before_len", F.char_length("safe.text").alias("after_len"), F.col("safe.removed").alias("removed"), "sample")
 
 
-def write_cache(entries: DataFrame, path: str, key: str = "key") -> None:
-    """Cache entries by content key, in a folder for each first two characters of it; the first of equal keys."""
-    first_rows(entries, [key], [key]).withColumn("shard", F.left(key, F.lit(2))).write.mode("append").partitionBy("shard").parquet(path)
+def write_alerts(rows: DataFrame, path: str, key: str, column: str, context: str) -> None:
+    """A line of JSON for each alert."""
+    sanitize_alerts(rows, key, column, context).write.mode("append").json(path)
+
+
+def write_cache(entries: DataFrame, path: str, order: str, key: str = "key") -> None:
+    """Cache entries by content key, in a folder for each first two characters of it; of equal keys the first by ``order``.
+
+    Keys that the cache has already are left as they are, so a second run adds nothing.
+    """
+    new = first_rows(entries.filter(F.col(key).isNotNull()), [key], [order]).withColumn("shard", F.left(key, F.lit(2)))
+    spark = entries.sparkSession
+    try:
+        held = spark.read.schema(new.schema).parquet(path).select(key)
+    except AnalysisException:  # no cache yet
+        held = None
+    if held is not None:
+        new = new.join(held, key, "left_anti")
+    new.write.mode("append").partitionBy("shard").parquet(path)
 
 
 def write_notes(notes: DataFrame, path: str) -> None:
