@@ -43,7 +43,7 @@ from .words import GOLDEN, jaccard, mix, unpack, windows, word_hashes
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 24, 6, 5, 0.8
 #: Most rows of either side of a block in which documents of a bucket are compared.
-BLOCK = 512
+BLOCK = 256
 #: In how many parts keys of unknown weight are split, and how many members of a bucket meet their leader in one part.
 SALTS, MEETING = 8, 256
 #: Poisson distribution of mean 1: how many darts a unit of area gets.
