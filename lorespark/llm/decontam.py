@@ -5,15 +5,18 @@ items are seeds, all of them: common ones too, as those may be all that an edite
 copy still has. Documents look them up with their own n-grams and with those that
 skip the word before the last.
 
-At a threshold of one half, three-word seeds miss no copy of an item of L > 8 words: a
-score of L/2 from m matched words allows m - L/2 edits, which cut the matches into m - L/2 + 1 runs at most. If
-no run has three words, then m <= 2 (m - L/2 + 1), so m >= L - 2: the copy holds all of the item but two words, and an edit, nearly
-always one word put in, after every second; the n-grams that skip a word find it.
+How many seeds a copy over the threshold still has follows from its score. Let an alignment take p of an item's L
+words and score s >= t L. Its p - 2 three-word runs are seeds; a word put in costs 1 of p - s and takes at most one seed
+(that with the gap before its last word is found by skipping), several put in at one place take two and cost two or more, a
+word changed or left out costs 2 and takes three. So at least p - 2 - 1.5 (p - t L) >= (1.5 t - 0.5) L - 2 seeds are left.
+Pairs of a passage and an item with fewer seeds in common, counted as often as the item has them, are no copies.
+Items too short for this to leave a seed (up to 8 words at a threshold of one half) have two-word seeds, one of which any copy holds.
 
 Items go by length into few classes, each up to four times as long as the
 last. One pass over the corpus cuts documents, for each class, into overlapping
 passages, long enough that any alignment over the threshold lies whole in one of
-them, and keeps those with a seed. Seeds join passages to items; a pair with too few words in common to reach the threshold is dropped, and
+them, and notes the seeds of those that have enough of them. Seeds join passages to items; only then are the words of
+the documents with candidates read again. A pair with too few words in common to reach the threshold is dropped, and
 local alignment over words (match 1, mismatch and gap -1) scores the others; a score
 of at least ``threshold`` times the item's length is contamination. Items are
 aligned whole, whatever their length; classes set only how long passages are.
@@ -22,7 +25,7 @@ Executors get a Bloom filter of each class's seeds, of ``BITS_A_SEED`` bits for
 ``MOST_BITS`` in all (128 MB, 67 million seeds); what passes by chance falls out at the join.
 
 Defined results: null, empty and wordless texts and items match nothing; items
-shorter than a seed are one seed of all their words; repeated items and documents
+shorter than two words are one seed; repeated items and documents
 repeat their pairs once for each distinct id; null ids match nothing; empty tables
 give an empty result. Other columns are ignored by :func:`contamination` and carried
 by :func:`decontaminate`.
@@ -119,7 +122,7 @@ def _words32(text: str | None) -> np.ndarray:
 
 
 def _class(length: int) -> int:
-    """0 for up to ``CLASS_WORDS`` words, 1 for up to four times as many, and so on."""
+    """0 for up to ``CLASS_WORDS`` words, 1 for up to four times as many, and so on; items with shorter seeds are a class of their own."""
     return (((length - 1) // CLASS_WORDS).bit_length() + 1) // 2
 
 
@@ -139,6 +142,16 @@ def _skipping(h: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+def least_seeds(length: int, n: int, threshold: float) -> int:
+    """How many of an item's ``n``-word seeds, counted by place, a copy over the threshold has at least; 0 if it may have none."""
+    return max(0, math.ceil((1.5 * threshold - 0.5) * length - 2 - 1e-9)) if n == 3 else 0
+
+
+def seed_words(length: int, n: int, threshold: float) -> int:
+    """Of how many words an item's seeds are."""
+    return min(length, n if n != 3 or least_seeds(length, n, threshold) else 2)
+
+
 def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SEED_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score): contaminated pairs, ``score`` the best alignment as a share of the item's words."""
     small_batches(docs.sparkSession)
@@ -149,19 +162,27 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
             for key, t in zip(batch["item_id"], batch["text"]):
                 h = _words32(t)
                 if len(h):
-                    out.append((key, _class(len(h)), h.astype(np.uint32).tobytes(), len(h), np.unique(_seeds(h, n))))
-            yield pd.DataFrame(out, columns=["item_id", "class", "words", "length", "seeds"])
+                    k = seed_words(len(h), n, threshold)
+                    seeds, times = np.unique(_seeds(h, k), return_counts=True)
+                    need = max(1, least_seeds(len(h), k, threshold))
+                    # How many different seeds it takes to have that many places.
+                    kinds = int(np.searchsorted(np.cumsum(np.sort(times)[::-1]), need)) + 1
+                    out.append((key, _class(len(h)) if k == n else -1, k, h.astype(np.uint32).tobytes(), len(h), need, kinds, [{"seed": int(a), "times": int(b)} for a, b in zip(seeds, times)]))
+            yield pd.DataFrame(out, columns=["item_id", "class", "k", "words", "length", "need", "kinds", "seeds"])
 
     named = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null")
-    cut = store(named.mapInPandas(cut_items, "item_id long, class long, words binary, length long, seeds array<long>"), "items")
-    kept = store(cut.select("item_id", "class", F.explode("seeds").alias("seed")).distinct(), "seeds")
+    cut = store(named.mapInPandas(cut_items, "item_id long, class long, k long, words binary, length long, need long, kinds long, seeds array<struct<seed:long,times:long>>"), "items")
+    # Items that repeat an id are each an item; seeds of both count for either.
+    kept = cut.select("item_id", "class", F.inline("seeds")).groupBy("item_id", "class", "seed").agg(F.sum("times").alias("times"))
+    kept = store(kept, "seeds")
     counts = {r["class"]: r["n"] for r in kept.groupBy("class").agg(F.count_distinct("seed").alias("n")).collect()}
     classes = [
-        (r["class"], min(r["shortest"], n), max(1, math.ceil((2 - threshold) * r["longest"])), _bloom(kept.filter(F.col("class") == r["class"]).select("seed").distinct(), counts[r["class"]]))
-        for r in cut.groupBy("class").agg(F.min("length").alias("shortest"), F.max("length").alias("longest")).collect()
+        (r["class"], r["k"], r["kinds"], max(1, math.ceil((2 - threshold) * r["longest"])), _bloom(kept.filter(F.col("class") == r["class"]).select("seed").distinct(), counts[r["class"]]))
+        for r in cut.groupBy("class").agg(F.min("k").alias("k"), F.max("length").alias("longest"), F.min("kinds").alias("kinds")).collect()
     ]
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
+    spans = {c[0]: c[3] for c in classes}
 
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Passages of twice ``span`` words, each beginning ``span`` words after the last.
@@ -175,23 +196,36 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
                 h = _words32(t)
                 grams = [(k, _seeds(h, k)) for k in range(min((c[1] for c in classes), default=n), n + 1) if len(h) >= k]
                 grams.append((n + 1, _skipping(h, n)))
-                for c, shortest, span, chosen in classes:
-                    hit: dict[int, list[int]] = {}
+                for c, shortest, kinds, span, chosen in classes:
+                    hit: dict[int, set[int]] = {}
                     for k, s in grams:
-                        for at in chosen.has(s.view(np.uint64)).tolist() if k >= shortest else ():
-                            own = at // span
-                            hit.setdefault(own, []).append(int(s[at]))
-                            if own and at + k <= (own + 1) * span:
-                                hit.setdefault(own - 1, []).append(int(s[at]))
-                    for p, found in hit.items():
-                        out.append((key, c, p, h[p * span : (p + 2) * span].astype(np.uint32).tobytes(), sorted(set(found))))
-            yield pd.DataFrame(out, columns=["doc_id", "class", "passage", "words", "seeds"])
-
-    near = source.mapInPandas(passages, "doc_id long, class long, passage long, words binary, seeds array<long>")
-    near = store(near, "passages")
-    pairs = near.select("doc_id", "class", "passage", F.explode("seeds").alias("seed")).join(kept, ["class", "seed"]).select("doc_id", "class", "passage", "item_id").distinct()
-    own = near.select("doc_id", "class", "passage", F.col("words").alias("passage_words"))
-    tried = pairs.join(own, ["doc_id", "class", "passage"]).join(cut.select("item_id", "class", "words", "length"), ["item_id", "class"])
+                        at = chosen.has(s.view(np.uint64)) if k >= shortest else np.zeros(0, np.int64)
+                        for own, inside, seed in zip((at // span).tolist(), (at % span + k <= span).tolist(), s[at].tolist()):
+                            hit.setdefault(own, set()).add(seed)
+                            if own and inside:
+                                hit.setdefault(own - 1, set()).add(seed)
+                    out += [(key, c, p, sorted(found)) for p, found in hit.items() if len(found) >= kinds]
+            yield pd.DataFrame(out, columns=["doc_id", "class", "passage", "seeds"])
+
+    place = ["doc_id", "class", "passage"]
+    near = store(source.mapInPandas(passages, "doc_id long, class long, passage long, seeds array<long>"), "passages")
+    met = near.select(*place, F.explode("seeds").alias("seed")).join(kept, ["class", "seed"]).groupBy(*place, "item_id").agg(F.sum("times").alias("times"))
+    needs = cut.groupBy("item_id", "class").agg(F.min("need").alias("need"))
+    pairs = store(met.join(needs, ["item_id", "class"]).filter("times >= need").select(*place, "item_id"), "candidates")
+    wanted = store(pairs.groupBy("doc_id").agg(F.collect_set(F.struct("class", "passage")).alias("places")), "wanted")
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for key, t, places in zip(batch["doc_id"], batch["text"], batch["places"]):
+                h = _words32(t).astype(np.uint32)
+                for q in places:
+                    span = spans[q["class"]]
+                    out.append((key, q["class"], q["passage"], h[q["passage"] * span : (q["passage"] + 2) * span].tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "class", "passage", "passage_words"])
+
+    own = source.join(wanted, "doc_id").mapInPandas(read, "doc_id long, class long, passage long, passage_words binary").filter("length(passage_words) > 0")
+    tried = pairs.join(own, place).join(cut.select("item_id", "class", "words", "length"), ["item_id", "class"])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

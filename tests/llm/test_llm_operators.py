@@ -601,3 +601,23 @@ def test_no_partner_lies_outside_the_shells_visited():
         assert len(a) and all(own[i] == own[j] or own[min((i, j), key=lambda k: own[k])] in met[max((i, j), key=lambda k: own[k])] for i, j in zip(a, b))
         if spread < 0.1:
             assert sum(map(len, met)) < 0.5 * len(x) * len(shells) / 2
+
+
+def test_no_copy_over_the_threshold_has_fewer_seeds():
+    rng = np.random.default_rng(21)
+    for _ in range(4000):
+        length = int(rng.integers(3, 40))
+        item = rng.integers(1, 60, length).tolist()
+        text = item[int(rng.integers(0, max(1, length // 3))) :]
+        for _ in range(int(rng.integers(0, length // 2 + 1))):
+            at, kind = int(rng.integers(0, len(text) + 1)), rng.integers(3)
+            if kind == 0:
+                text.insert(at, int(rng.integers(1000, 2000)))
+            elif at < len(text) and len(text) > 1:
+                text[at : at + 1] = [int(rng.integers(1000, 2000))] if kind == 1 else []
+        if brute_alignment(item, text) < 0.5 * length:
+            continue
+        a, b = np.array(item, np.uint64), np.array(text, np.uint64)
+        k = decontam.seed_words(length, 3, 0.5)
+        found = set(decontam._seeds(b, k).tolist()) | set(decontam._skipping(b, k).tolist())
+        assert sum(s in found for s in decontam._seeds(a, k).tolist()) >= max(1, decontam.least_seeds(length, k, 0.5))
