@@ -34,7 +34,7 @@ def capture_pairs(text: Column) -> Column:
 
 def embeds(text: Column) -> Column:
     """The distinct embedded files of a text, stripped, in order."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(EMBED), F.lit(1)), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(EMBED), F.lit(1)), lambda v: F.trim(v)))
 
 
 def clamped(value: Column, allowed: tuple[str, ...], default: str) -> Column:

@@ -92,7 +92,7 @@ def note_base(ts: Column, title: Column) -> Column:
 
 def folder_name(ts: Column, playlist: Column) -> Column:
     """Date, time and the last non-empty part of a playlist's title between slashes."""
-    parts = F.filter(F.transform(F.split(playlist, "/"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(playlist, "/"), lambda v: F.trim(v)), lambda p: p != "")
     return F.concat_ws(" ", F.date_format(ts, "yyyy-MM-dd-HHmm"), F.try_element_at(parts, F.lit(-1)))
 
 

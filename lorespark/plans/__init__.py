@@ -1,6 +1,6 @@
 """Registered queries over the driver tables, with their SQL."""
 
-from . import python, rollups, scalars, timeline
+from . import notes, python, replies, rollups, scalars, timeline
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "python", "rollups", "scalars", "timeline"]
+__all__ = ["ORACLES", "QUERIES", "notes", "python", "replies", "rollups", "scalars", "timeline"]
