@@ -8,10 +8,13 @@ The schedule's integral is the demand that has accumulated by a time; inverting
 it at a document's place on the word axis gives the time at which the document
 is trained on, and documents are range-sorted by that time.
 
+The pseudo-random order is that of a hash of the id and a digest of the text, so
+reruns agree also where ids repeat or are null.
+
 Defined results: a null or empty text has size 0, is never taken and has no
-position; a null source is a source of its own, last in order; a null doc_id
-sorts first among equals; repeated rows are separate documents; an empty table
-gives an empty mix. Columns other than the ones named are carried along.
+position; a null source is a source of its own, last in order; repeated rows are
+separate documents; an empty table gives an empty mix. Columns other than the ones
+named are carried along. Sources are tens or thousands: targets sort one row a source.
 """
 
 from __future__ import annotations
@@ -75,13 +78,17 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = 3) ->
     return ranked.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(share * F.col("weight"))).select("source", "source_size", "rank", "target")
 
 
-def plan(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", size: str, weights: tuple = WEIGHTS, max_repeats: int = 3, curricula: tuple = CURRICULA) -> DataFrame:
+def digest(text: Column) -> Column:
+    return F.coalesce(F.md5(text), F.lit(""))
+
+
+def plan(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", size: str, text_digest: str, weights: tuple = WEIGHTS, max_repeats: int = 3, curricula: tuple = CURRICULA) -> DataFrame:
     """Adds ``_mix``: struct(source_size, target, taken, passes: array of struct(take, position)).
 
     The running sum over a source, which may hold any share of the rows, is made in
     two steps: over 4096 hash buckets, then within each bucket.
     """
-    key = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    key = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.col(text_digest)))
     named = F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n"))
     keyed = docs.withColumns({"_mix_key": key, "_mix_source": named, "_mix_bucket": F.substring(key, 1, 3)})
     buckets = keyed.groupBy("_mix_source", "_mix_bucket").agg(F.sum(size).alias("_mix_words"))
@@ -92,7 +99,7 @@ def plan(docs: DataFrame, *, doc_id: str = "doc_id", source: str = "source", siz
     goals = targets(sources.select("source", "source_size"), weights, max_repeats)
     goals = goals.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("_mix_source"), F.struct("source_size", "rank", "target").alias("_mix_goal"))
     offsets = offsets.join(goals, "_mix_source")
-    within = W.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_key", doc_id, size).rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_key", size).rowsBetween(W.unboundedPreceding, 0)
     placed = keyed.join(offsets, ["_mix_source", "_mix_bucket"]).withColumn("_mix_start", F.col("_mix_offset") + F.sum(size).over(within) - F.col(size))
     total, target = F.col("_mix_goal.source_size"), F.col("_mix_goal.target")
 
@@ -120,8 +127,9 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     A pass that the end of the target cuts is taken whole if the mix takes at least half of it.
     """
-    sized = docs.withColumn("_mix_size", word_count(F.col(options.pop("text", "text"))))
-    planned = plan(sized, size="_mix_size", **options)
+    text = F.col(options.pop("text", "text"))
+    sized = docs.withColumns({"_mix_size": word_count(text), "_mix_digest": digest(text)})
+    planned = plan(sized, size="_mix_size", text_digest="_mix_digest", **options)
     whole = F.filter("_mix.passes", lambda p: 2 * p["take"] >= F.col("_mix_size"))
     exploded = planned.select(*docs.columns, F.explode(whole).alias("_mix_pass")).withColumn("_mix_position", F.col("_mix_pass.position"))
     return range_sort(exploded, "_mix_position", options.get("doc_id", "doc_id")).select(*docs.columns)
@@ -133,7 +141,7 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
 
     doc_id, source = options.get("doc_id", "doc_id"), options.get("source", "source")
     text = options.pop("text", "text")
-    sized = store(docs.select(doc_id, source, word_count(F.col(text)).alias("size")), "sizes")
-    planned = plan(sized, size="size", **options)
-    flat = planned.select(doc_id, "size", "_mix.source_size", "_mix.target", "_mix.taken", F.round(F.get("_mix.passes", F.lit(0))["position"], 6).alias("position"))
-    return range_sort(flat, "position", doc_id)
+    sized = store(docs.select(doc_id, source, word_count(F.col(text)).alias("size"), digest(F.col(text)).alias("_digest")), "sizes")
+    planned = plan(sized, size="size", text_digest="_digest", **options)
+    flat = planned.select(doc_id, "size", "_mix.source_size", "_mix.target", "_mix.taken", F.get("_mix.passes", F.lit(0))["position"].alias("position"))
+    return range_sort(flat, "position", doc_id).withColumn("position", F.round("position", 6))

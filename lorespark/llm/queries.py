@@ -82,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 OP1_SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(md5(text), '')) AS h,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
   FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
@@ -103,7 +103,7 @@ goals AS (
   FROM capped),
 placed AS (
   SELECT s.doc_id, s.size, g.source_size, g.target, g.rank, CAST(floor(g.target) AS BIGINT) AS budget,
-         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.doc_id NULLS FIRST, s.size ROWS UNBOUNDED PRECEDING) - s.size AS begin
+         sum(s.size) OVER (PARTITION BY s.source ORDER BY s.h, s.size ROWS UNBOUNDED PRECEDING) - s.size AS begin
   FROM sized s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source),
 taken AS (
   SELECT *, CAST(greatest(0, least(size, budget - begin)) AS BIGINT) AS first_take,
