@@ -39,10 +39,10 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, small_batches, store
 from .graph import connected_components
 
-THRESHOLD, SAMPLE, PER_CELL, MOST_CELLS, BLOCK, ROUNDS = 0.93, 20_000, 1_000, 4_096, 1_024, 8
-#: Degrees; cells have up to ``SHELLS`` shells.
-SHELL, SHELLS = 3.0, 61
-#: In how many parts rows of equal vectors are dealt.
+THRESHOLD, SAMPLE, PER_CELL, MOST_CELLS, BLOCK, ROUNDS = 0.93, 20_000, 2_500, 4_096, 1_024, 8
+#: Degrees; cells have up to ``SHELLS`` shells. Thin shells prune more pairs, but a visit to one costs about as much as a thousand products.
+SHELL, SHELLS = 6.0, 31
+#: In how many parts rows of equal vectors, and of one shell, are dealt.
 SALTS = 8
 
 
@@ -164,7 +164,9 @@ def link_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     loads = placed.groupBy("part", "cell").agg(F.count_if(~F.col("guest")).alias("homes"), F.count_if("guest").alias("guests"))
     loads = loads.select("part", "cell", F.ceil(F.col("homes") / block).cast("int").alias("hb"), F.ceil(F.col("guests") / block).cast("int").alias("gb")).filter("hb > 0")
     spot = lambda n: F.pmod(F.xxhash64("node", "cell"), F.greatest(n, F.lit(1))).cast("int")
-    own = placed.join(loads, ["part", "cell"])
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    dealt = placed.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SALTS)).cast("int"))
+    own = dealt.join(loads.withColumn("salt", salts), ["part", "cell", "salt"]).drop("salt")
     own = own.withColumn("at", F.when(F.col("guest"), F.col("hb") + spot(F.col("gb"))).otherwise(spot(F.col("hb"))))
     # Home block i meets every home block j >= i and every guest block; a guest block meets home blocks only.
     every = F.sequence(F.lit(0), F.col("hb") + F.col("gb") - 1)
@@ -205,7 +207,7 @@ def link_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     hashed = store(facts.filter("shared").select("component").distinct(), "hashed")
     least = facts.join(hashed, "component", "left_semi").groupBy("component").agg(F.min("vec_id").alias("least"))
     facts = facts.join(least, "component", "left").select(*key, "n_links", F.coalesce("least", "component").alias("component_id"))
-    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = facts.withColumn("salt", salts)
     out = usable.select("vec_id", *key).withColumn("salt", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"], "left")
     out = out.select("vec_id", "n_links", "component_id").unionByName(marked.filter("not sound").select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id")))
     component = F.coalesce("component_id", "vec_id")
