@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
+_stored: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lorespark/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, below one folder for each application."""
+    return f"{shared_dir(spark)}/lorespark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame, name: str) -> DataFrame:
@@ -37,7 +40,25 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _stored[out] = path
+    return out
+
+
+def drop(*stored: DataFrame) -> None:
+    """Delete tables of :func:`store` that nothing reads any more."""
+    for df in stored:
+        _delete(df.sparkSession, _stored.pop(df))
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that operators have stored for this application; results that were not written elsewhere can no longer be read."""
+    _delete(spark, new_path(spark, "").rpartition("/")[0])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 250) -> None:
