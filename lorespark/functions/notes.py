@@ -8,10 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .parsing import RANGE
-from .text import yaml_quoted
+from .text import collapse, yaml_quoted
+from .times import hms
 
 #: Fixed values of the note format: headings that a summary must have, and most characters of the kinds of notes.
 SUMMARY_HEADINGS = ("## 全体サマリ", "## 要点タイムライン")
+#: Fixed values of the note format: fields that a note's frontmatter may have beside date, title and URL.
+EXTRA_FIELDS = ("playlist", "video_id", "reviewed", "one_liner", "chapter", "category", "sources")
 MOST = {"script": 400_000, "summary": 50_000, "learning": 50_000}
 
 
@@ -39,3 +42,26 @@ def summary_error(body: Column, headings: Sequence[str] = SUMMARY_HEADINGS) -> C
     """What is wrong with a cleaned summary: its length, the first heading it lacks, or that it has no time range; else null."""
     missing = [F.when(~body.contains(h), F.lit(f"heading missing: {h}")) for h in headings]
     return F.coalesce(too_long(body, "summary"), *missing, F.when(~body.rlike(RANGE), F.lit("no time range")))
+
+
+def note_head(ts: Column, title: Column, url: Column, tags: Sequence[str] = ("memo", "youtube"), extra: dict[str, Column] | None = None) -> Column:
+    """A note's frontmatter: date, title, URL, the fields of ``extra`` that are not null, tags; a field outside of ``EXTRA_FIELDS`` is an error."""
+    unknown = sorted(set(extra or {}) - set(EXTRA_FIELDS))
+    if unknown:
+        raise ValueError(f"fields not allowed: {', '.join(unknown)}")
+    named = {"title": title, "URL": url, **(extra or {})}
+    lines = [F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), yaml_quoted(v), F.lit("\n"))).otherwise("") for k, v in named.items()]
+    listed = f"tags: [{', '.join(tags)}]\n" if tags else ""
+    return F.concat(F.lit("---\ndate: "), F.date_format(ts, "yyyy-MM-dd HH:mm"), F.lit("\n"), *lines, F.lit(f"{listed}---\n"))
+
+
+def woven_in(body: Column, start: Column) -> Column:
+    """Whether a body holds a time in brackets; a bare one could be part of a longer time."""
+    return body.contains(F.concat(F.lit("["), hms(start), F.lit("]")))
+
+
+def callout(label: Column, start: Column, summary: Column, quote: Column) -> Column:
+    """One line for a question or a tip that a body lacks: its summary, else its quote."""
+    said = F.coalesce(F.nullif(summary, F.lit("")), F.nullif(quote, F.lit("")), F.lit("(内容未取得)"))
+    kind = F.when(label == "qa", "> [!question] Q&Aより [").otherwise("> [!tip] Tips [")
+    return F.concat(kind, hms(start), F.lit("]: "), collapse(said))

@@ -107,3 +107,14 @@ def cost_micros(tokens_in: Column, cache_write: Column, cache_read: Column, toke
     d = lambda x: F.lit(x).cast("decimal(4,2)")
     cost = n(tokens_in) * price_in + n(cache_write) * price_in * d("1.25") + n(cache_read) * price_in * d("0.10") + n(tokens_out) * price_out
     return F.round(cost, 0).cast("long")
+
+
+def clip_start(start: Column, end: Column, window: float = 3.5) -> Column:
+    """Where a clip of ``window`` seconds around the middle of a range begins; never before 0."""
+    return F.greatest(F.lit(0.0), (start + end) / 2 - window / 2)
+
+
+def synthesis_timeouts(videos: Column, override: Column | None = None, most: int = 600) -> Column:
+    """struct(alpha, beta, leader) of seconds: 300 and 60 a video unless ``override`` says otherwise; beta's share is at most ``most``."""
+    heavy = (F.lit(300) + 60 * videos) if override is None else F.coalesce(override, F.lit(300) + 60 * videos)
+    return F.struct(heavy.alias("alpha"), F.least(heavy, F.lit(most)).alias("beta"), heavy.alias("leader"))

@@ -93,3 +93,23 @@ def merged_glossaries(base: DataFrame, new: DataFrame, key: str = "book") -> Dat
 
     kind = base.schema[key].dataType.simpleString()
     return base.select(key, *columns).groupBy(key).cogroup(new.select(key, *columns).groupBy(key)).applyInPandas(merge, f"{key} {kind}, {ENTRIES}")
+
+
+def surfaces(entries: DataFrame, key: str = "book") -> DataFrame:
+    """(key, fold, canonical, is_alias): every spelling of a glossary, once for each canonical it belongs to."""
+    own = entries.select(key, "canonical", F.col("canonical").alias("surface"), F.lit(False).alias("is_alias"))
+    rows = own.unionByName(entries.select(key, "canonical", F.explode("aliases").alias("surface"), F.lit(True).alias("is_alias"))).withColumn("fold", fold_term(F.col("surface")))
+    return rows.filter("fold <> ''").groupBy(key, "fold", "canonical").agg(F.min("is_alias").alias("is_alias"))
+
+
+def conflicts(entries: DataFrame, key: str = "book") -> DataFrame:
+    """(key, fold, canonicals): spellings that belong to more than one canonical; a sound glossary has none."""
+    owners = surfaces(entries, key).groupBy(key, "fold").agg(F.array_sort(F.collect_set("canonical")).alias("canonicals"))
+    return owners.filter(F.size("canonicals") > 1)
+
+
+def canonical_terms(terms: DataFrame, entries: DataFrame, term: str = "term", key: str = "book") -> DataFrame:
+    """``terms`` with ``canonical`` (null for unknown ones) and ``is_variant``: known, but not under its canonical spelling."""
+    found = surfaces(entries, key).drop("is_alias")
+    rows = terms.withColumn("fold", fold_term(F.col(term))).join(found, [key, "fold"], "left").drop("fold")
+    return rows.withColumn("is_variant", F.coalesce(F.col("canonical") != F.col(term), F.lit(False)))

@@ -122,6 +122,11 @@ def fidelity(texts: DataFrame, key: str, text: str, glossary: Sequence[tuple[str
     return out.withColumn("rank", rank).filter(F.col("rank") <= most).drop("first_pos")
 
 
+def finding_ids(found: DataFrame, lead: str, order: Sequence[str]) -> DataFrame:
+    """``found`` with ``finding_id``: f001, f002, ... over all rows in ``order``, which begins with the number ``lead``."""
+    return numbered(found, F.col(lead), order, "_number").withColumn("finding_id", F.format_string("f%03d", "_number")).drop("_number")
+
+
 def preflight(bodies: DataFrame, group: str, text: str, budget: int) -> DataFrame:
     """Characters of a group's bodies, the share of ``budget`` for each, and how many that share cuts."""
     counted = bodies.select(group, F.char_length(text).cast("long").alias("_n")).withColumn("_limit", F.floor(F.lit(budget) / F.count("*").over(W.partitionBy(group))))

@@ -90,3 +90,13 @@ def step_embeds(outcomes: DataFrame, steps: DataFrame, keys: Sequence[str]) -> D
     """
     named = outcomes.filter("image is not null").select(*keys, "pos", F.concat_ws("/", "folder", "image").alias("embed"))
     return steps.select(*keys, "pos", "index").join(named, [*keys, "pos"]).select(*keys, "index", "embed")
+
+
+def insight_links(insights: DataFrame, steps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``insights`` with ``link``: that of the step which names the insight; null without one.
+
+    ``steps``: keys, index, insight_ids, link; of several steps the last one counts.
+    """
+    named = steps.select(*keys, "index", "link", F.explode("insight_ids").alias("insight_id"))
+    chosen = named.groupBy(*keys, "insight_id").agg(F.max_by("link", "index").alias("link"))
+    return insights.join(chosen, [*keys, "insight_id"], "left")

@@ -87,3 +87,25 @@ def candidate_folders(folders: DataFrame, unit_date: str, canonical: str, title:
     wanted = F.to_date(F.lit(unit_date))
     tier = F.when(F.col(name) == canonical, 0).when((F.col("day") == wanted) & rest.contains(title), 1).when((F.col("day") < wanted) & (rest == title), 2)
     return dated.withColumn("tier", tier).filter("tier is not null").withColumn("rank", F.row_number().over(W.orderBy("tier", F.desc(name)))).orderBy("rank")
+
+
+def playlist_videos(extracts: DataFrame) -> DataFrame:
+    """Videos of extracted playlists or single videos, as rows of ``VIDEOS`` with the playlist's position; entries without an id go.
+
+    ``extracts``: playlist_title, and entries, an array of struct(id, title, url, duration, channel, uploader, upload_date). Titles stay as they are.
+    """
+    rows = extracts.select("playlist_title", F.posexplode("entries").alias("pos", "e")).filter(F.coalesce("e.id", F.lit("")) != "")
+    url = F.coalesce(F.nullif(F.col("e.url"), F.lit("")), times.watch_url(F.col("e.id")))
+    channel = F.coalesce(F.nullif(F.col("e.channel"), F.lit("")), F.col("e.uploader"))
+    title = F.coalesce("e.title", F.lit(""))
+    return rows.select("pos", F.col("e.id").alias("video_id"), title.alias("title"), url.alias("url"), F.col("e.duration").cast("int").alias("duration"), channel.alias("channel"), F.col("e.upload_date").alias("upload_date"), "playlist_title")
+
+
+def video_chapters(details: DataFrame, chapters: str = "chapters") -> DataFrame:
+    """(video_id, pos, title, start_seconds) of the chapters in a JSON list; one that is malformed goes, the others stay."""
+    listed = F.try_variant_get(F.try_parse_json(chapters), "$", "array<variant>")
+    rows = details.select("video_id", F.posexplode(listed).alias("pos", "c")).filter(F.schema_of_variant("c").startswith("OBJECT"))
+    begin = F.try_variant_get("c", "$.start_time", "variant")
+    number = F.when(begin.isNull() | (F.schema_of_variant(begin) == "VOID"), F.lit(0.0)).otherwise(F.try_variant_get("c", "$.start_time", "string").try_cast("double"))
+    named = rows.select("video_id", "pos", text.strip_space(F.try_variant_get("c", "$.title", "string")).alias("title"), number.alias("start_seconds"))
+    return named.filter("title <> '' and start_seconds is not null and not isnan(start_seconds)")

@@ -132,3 +132,30 @@ def test_functions_without_a_query(spark, tmp_path):
     assert [tuple(r)[:3] for r in readers.read_glossary(spark, str(tmp_path / "g.json")).collect()] == [(0, "A", ["a1"])]
     terms = spark.createDataFrame([("v", " a  b", 0), ("v", "a b", 1), ("v", " ", 2)], "v string, term string, pos int")
     assert [r["term"] for r in rollups.term_dedup(terms, ["v"], "term", "pos").collect()] == ["a b"]
+
+
+def test_heads_stamps_and_callouts(spark):
+    head = notes.note_head(F.lit("2024-05-06 07:08:00").cast("timestamp"), F.col("t"), F.lit("u"), extra={"video_id": F.lit("x"), "chapter": F.lit(None).cast("string")})
+    assert one(spark, head, t='a "b"') == '---\ndate: 2024-05-06 07:08\ntitle: "a \\"b\\""\nURL: "u"\nvideo_id: "x"\ntags: [memo, youtube]\n---\n'
+    with pytest.raises(ValueError):
+        notes.note_head(F.lit(None), F.lit("t"), F.lit("u"), extra={"evil": F.lit("x")})
+    assert one(spark, notes.woven_in(F.col("b"), F.lit(300)), b="at [1:05:00]") is False and one(spark, notes.woven_in(F.col("b"), F.lit(300)), b="at [05:00]") is True
+    assert one(spark, notes.callout(F.lit("qa"), F.lit(3900), F.col("s"), F.lit("two\n words")), s="") == "> [!question] Q&Aより [1:05:00]: two words"
+    assert one(spark, times.clip_start(F.lit(0), F.lit(2)), s="") == 0.0 and one(spark, times.clip_start(F.lit(10), F.lit(20)), s="") == 13.25
+    assert tuple(one(spark, times.synthesis_timeouts(F.lit(16)), s="")) == (1260, 600, 1260)
+
+
+def test_playlists_chapters_and_surfaces(spark):
+    entry = "struct<id:string,title:string,url:string,duration:double,channel:string,uploader:string,upload_date:string>"
+    rows = [("P", [("a", None, None, 9.0, None, "up", None), None, ("", "x", None, None, None, None, None), ("b", "B", "u", None, "ch", "up", "20240101")])]
+    got = readers.playlist_videos(spark.createDataFrame(rows, f"playlist_title string, entries array<{entry}>"))
+    assert [tuple(r) for r in got.orderBy("pos").collect()] == [(0, "a", "", "https://www.youtube.com/watch?v=a", 9, "up", None, "P"), (3, "b", "B", "u", None, "ch", "20240101", "P")]
+    details = spark.createDataFrame([("v", '[{"title": " A ", "start_time": "1.5"}, 3, {"title": "", "start_time": 2}, {"title": "B"}, {"title": "C", "start_time": "x"}]'), ("w", "no"), ("x", None)], "video_id string, chapters string")
+    assert [tuple(r) for r in readers.video_chapters(details).orderBy("pos").collect()] == [("v", 0, "A", 1.5), ("v", 3, "B", 0.0)]
+    entries = spark.createDataFrame([("g", 0, "Claude", ["Claud", "CLAUDE"], "", ""), ("g", 1, "Other", ["ｃｌａｕｄ"], "", "")], f"book string, {glossary.ENTRIES}")
+    assert [tuple(r) for r in glossary.conflicts(entries).collect()] == [("g", "claud", ["Claude", "Other"])]
+    terms = spark.createDataFrame([("g", "claude"), ("g", "Claude"), ("g", "none")], "book string, term string")
+    assert sorted((r["term"], r["canonical"], r["is_variant"]) for r in glossary.canonical_terms(terms, entries).collect()) == [("Claude", "Claude", False), ("claude", "Claude", True), ("none", None, False)]
+    steps = spark.createDataFrame([("v", 1, ["q1", "q2"], "[[01_a]]"), ("v", 2, ["q2"], "[[02_b]]")], "v string, index int, insight_ids array<string>, link string")
+    insights = spark.createDataFrame([("v", "q1"), ("v", "q2"), ("v", "q3")], "v string, insight_id string")
+    assert sorted(tuple(r) for r in runs.insight_links(insights, steps, ["v"]).collect()) == [("v", "q1", "[[01_a]]"), ("v", "q2", "[[02_b]]"), ("v", "q3", None)]
