@@ -2,9 +2,8 @@
 
 Vectors compare only within a group (equal labels, equal length). Equal vectors are
 one node with a count. Centroids are fitted by spherical k-means on at most ``sample``
-nodes (smallest hash), about one for every ``per_cell`` vectors of the largest group
-and at most ``most_cells``. Every node lies in the shell of its nearest cell that its angle to
-the centroid gives, ``SHELL`` degrees thick. For a cosine of at least c two vectors are at most an
+nodes (smallest hash). Every node lies in the shell of its nearest cell that its angle to
+the centroid gives. For a cosine of at least c two vectors are at most an
 angle t apart, sin t = sqrt(1 - c*c). So a node is a guest of a shell of a smaller
 number only if
 
@@ -12,8 +11,11 @@ number only if
 * its angle to the shell's centroid is within t of the shell's angles,
 
 and each pair over the threshold meets in exactly one shell: no link is lost. How much
-this prunes depends on the vectors. Those with clusters meet few shells; evenly spread ones in many
-dimensions meet many, as they do by any exact bound.
+this prunes depends on the vectors: those with clusters meet few shells, evenly spread
+ones in many dimensions meet most, as they do by any exact bound. So the number of
+cells (1, 4, 16, ... up to ``most_cells``), and whether cells have shells at all, are those that the sample finds cheapest:
+the sum over the shells that a node visits of their sizes, ``block`` at least. The
+choice sets the work, never the result.
 
 Shells are cut into blocks of at most ``block`` nodes by hash, and pairs of blocks are
 compared by one matrix product each, in double precision. A pair of blocks returns
@@ -29,6 +31,7 @@ component of its own; an empty table gives an empty result. Other columns are ig
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
@@ -39,9 +42,9 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, small_batches, store
 from .graph import connected_components
 
-THRESHOLD, SAMPLE, PER_CELL, MOST_CELLS, BLOCK, ROUNDS = 0.93, 20_000, 2_500, 4_096, 1_024, 8
-#: Degrees; cells have up to ``SHELLS`` shells. Thin shells prune more pairs, but a visit to one costs about as much as a thousand products.
-SHELL, SHELLS = 6.0, 31
+THRESHOLD, SAMPLE, PER_CELL, MOST_CELLS, BLOCK, ROUNDS, PROBE = 0.93, 20_000, 100, 4_096, 1_024, 8, 1_024
+#: Degrees: cells have one shell, or up to ``SHELLS`` shells.
+THICKNESSES, SHELLS = (180.0, 6.0), 31
 #: In how many parts rows of equal vectors, and of one shell, are dealt.
 SALTS = 8
 
@@ -66,26 +69,51 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 11
     return centroids
 
 
-def homes(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """The shell (cell times ``SHELLS`` plus its number in the cell) of each row."""
-    near = x @ centroids.T
-    home = near.argmax(1)
-    angle = np.degrees(np.arccos(np.clip(near[np.arange(len(x)), home], -1, 1)))
-    return home * SHELLS + (angle / SHELL).astype(np.int64)
-
-
-def guests(x: np.ndarray, centroids: np.ndarray, shells: np.ndarray, threshold: float) -> list[np.ndarray]:
-    """The smaller-numbered ones of ``shells`` (those that hold a row) that a partner of each row may lie in."""
-    near = x @ centroids.T
-    own = homes(x, centroids)
-    home, reach = near.argmax(1), np.sqrt(1 - threshold * threshold) + 1e-9
-    apart = np.sqrt(np.maximum(2 - 2 * centroids[home] @ centroids.T, 0))
-    close = near[np.arange(len(x)), home][:, None] - near <= reach * apart
-    angle, least = np.degrees(np.arccos(np.clip(near, -1, 1))), (shells % SHELLS) * SHELL
-    wide = np.degrees(np.arccos(threshold)) + 1e-6
-    cell = shells // SHELLS
-    met = close[:, cell] & (angle[:, cell] >= least - wide) & (angle[:, cell] <= least + SHELL + wide) & (shells < own[:, None])
-    return [shells[m] for m in met]
+@dataclass(frozen=True)
+class Cells:
+    centroids: np.ndarray
+    thickness: float
+
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        """The shell (cell times ``SHELLS`` plus its number in the cell) of each row."""
+        near = x @ self.centroids.T
+        home = near.argmax(1)
+        angle = np.degrees(np.arccos(np.clip(near[np.arange(len(x)), home], -1, 1)))
+        return home * SHELLS + (angle / self.thickness).astype(np.int64)
+
+    def guests(self, x: np.ndarray, shells: np.ndarray, threshold: float) -> list[np.ndarray]:
+        """The smaller-numbered ones of ``shells`` (those that hold a row) that a partner of each row may lie in."""
+        wide, reach = np.degrees(np.arccos(threshold)) + 1e-6, np.sqrt(1 - threshold * threshold) + 1e-9
+        cell, least = shells // SHELLS, (shells % SHELLS) * self.thickness
+        out: list[np.ndarray] = []
+        for at in range(0, len(x), 64):
+            part = x[at : at + 64]
+            near, own = part @ self.centroids.T, self.homes(part)
+            home = near.argmax(1)
+            apart = np.sqrt(np.maximum(2 - 2 * self.centroids[home] @ self.centroids.T, 0))
+            close = near[np.arange(len(part)), home][:, None] - near <= reach * apart
+            angle = np.degrees(np.arccos(np.clip(near, -1, 1)))
+            met = close[:, cell] & (angle[:, cell] >= least - wide) & (angle[:, cell] <= least + self.thickness + wide) & (shells < own[:, None])
+            out += [shells[m] for m in met]
+        return out
+
+
+def cheapest_cells(x: np.ndarray, n: int, threshold: float, per_cell: int, most_cells: int, block: int = BLOCK) -> Cells:
+    """The cells in which ``n`` vectors like the sample ``x``, in random order, are compared at the least cost."""
+    best, least, k = None, np.inf, 1
+    while k == 1 or k <= min(most_cells, n // per_cell, len(x) // 4):
+        centroids = spherical_kmeans(x, k)
+        for thickness in THICKNESSES:
+            cells = Cells(centroids, thickness)
+            shells, counts = np.unique(cells.homes(x), return_counts=True)
+            size = np.maximum(counts * (n / len(x)), block)
+            probe = x[:PROBE]
+            visited = sum(size[np.searchsorted(shells, g)].sum() for g in cells.guests(probe, shells, threshold))
+            cost = (visited + size[np.searchsorted(shells, cells.homes(probe))].sum() / 2) / len(probe)
+            if cost < least:
+                best, least = cells, cost
+        k *= 4
+    return best
 
 
 def _compare(group: pd.DataFrame, threshold: float) -> tuple[pd.DataFrame, pd.DataFrame]:
@@ -134,27 +162,26 @@ def link_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     nodes = store(nodes, "nodes")
     grouped = nodes.withColumn("part", F.concat_ws(":", F.size("v"), "label"))
     sizes = grouped.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n"), F.count_distinct("label").alias("labels"))
-    centroids = {}
+    cells: dict[int, Cells] = {}
     for row in sizes.toLocalIterator():
-        k = int(min(max(row["n"] / row["labels"] / per_cell, 1), most_cells))
         rows = bounded_sample(nodes.filter(F.size("v") == row["length"]).select("node", "v"), F.col("node"), sample).toPandas()
-        centroids[row["length"]] = spherical_kmeans(unit(rows["v"]), k)
+        cells[row["length"]] = cheapest_cells(unit(rows["v"]), row["n"] // row["labels"], threshold, per_cell, most_cells, block)
 
     def lie(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for length, same in batch.groupby(batch["v"].map(len)):
-                yield same.assign(cell=homes(unit(same["v"]), centroids[length]))[["part", "cell", "node", "n", "v"]]
+                yield same.assign(cell=cells[length].homes(unit(same["v"])))[["part", "cell", "node", "n", "v"]]
 
     at_home = store(grouped.select("part", "node", "n", "v").mapInPandas(lie, "part string, cell long, node long, n long, v array<double>"), "homes")
     used: dict[int, list[int]] = {}  # at most ``SHELLS`` times ``most_cells`` for each length
     for row in at_home.select(F.size("v").alias("length"), "cell").distinct().toLocalIterator():
         used.setdefault(row["length"], []).append(row["cell"])
-    shells = {length: np.array(sorted(cells)) for length, cells in used.items()}
+    shells = {length: np.array(sorted(found)) for length, found in used.items()}
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for length, same in batch.groupby(batch["v"].map(len)):
-                found = guests(unit(same["v"]), centroids[length], shells[length], threshold)
+                found = cells[length].guests(unit(same["v"]), shells[length], threshold)
                 out = same.loc[np.repeat(same.index, list(map(len, found))), ["part", "node", "n", "v"]]
                 yield out.assign(cell=np.concatenate(found))[["part", "cell", "node", "n", "v"]]
 
