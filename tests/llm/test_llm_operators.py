@@ -587,16 +587,18 @@ def test_vectors_of_repeated_ids(spark, options):
     assert sorted(map(tuple, got)) == sorted(expected)
 
 
-def test_no_partner_lies_outside_the_shells_visited():
+@pytest.mark.parametrize("thickness", [180.0, 6.0, 20.0])
+def test_no_partner_lies_outside_the_shells_visited(thickness):
     rng = np.random.default_rng(16)
     for spread in (0.05, 0.4):
         centers = rng.normal(size=(30, 16))
         x = centers[rng.integers(0, 30, 1500)] + rng.normal(size=(1500, 16)) * spread
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         centroids = neardup_vec.spherical_kmeans(x[:800], 40)
-        own = neardup_vec.homes(x, centroids)
+        cells = neardup_vec.Cells(centroids, thickness)
+        own = cells.homes(x)
         shells = np.unique(own)
-        met = [set(g.tolist()) for g in neardup_vec.guests(x, centroids, shells, 0.93)]
+        met = [set(g.tolist()) for g in cells.guests(x, shells, 0.93)]
         a, b = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
         assert len(a) and all(own[i] == own[j] or own[min((i, j), key=lambda k: own[k])] in met[max((i, j), key=lambda k: own[k])] for i, j in zip(a, b))
         if spread < 0.1:
@@ -621,3 +623,13 @@ def test_no_copy_over_the_threshold_has_fewer_seeds():
         k = decontam.seed_words(length, 3, 0.5)
         found = set(decontam._seeds(b, k).tolist()) | set(decontam._skipping(b, k).tolist())
         assert sum(s in found for s in decontam._seeds(a, k).tolist()) >= max(1, decontam.least_seeds(length, k, 0.5))
+
+
+def test_cells_suit_the_vectors():
+    rng = np.random.default_rng(17)
+    even = rng.normal(size=(3000, 64))
+    centers = rng.normal(size=(60, 64))
+    clustered = centers[rng.integers(0, 60, 3000)] + 0.2 * even
+    even, clustered = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (even, clustered))
+    assert len(neardup_vec.cheapest_cells(even, 5_000, 0.93, 100, 4_096).centroids) == 1
+    assert len(neardup_vec.cheapest_cells(clustered, 200_000, 0.93, 100, 4_096).centroids) >= 16
