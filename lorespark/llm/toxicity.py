@@ -176,6 +176,9 @@ def offending(docs: DataFrame, model: Model, *, doc_id: str = "doc_id", text: st
     def located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [(key, *span) for key, t in zip(batch["doc_id"], batch["text"]) for span in shared.value.locate(t, least)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "probability"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "probability"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(located, "doc_id long, start long, end long, probability double")
+    # Ids pass as strings, as pandas has no whole numbers beside nulls.
+    source = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
+    found = source.mapInPandas(located, "doc_id string, start long, end long, probability double")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
