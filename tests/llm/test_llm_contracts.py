@@ -152,8 +152,9 @@ def test_language_is_the_plain_loop_over_pieces():
 
 def test_toxicity_finds_the_sentence_it_scores(spark):
     model = toxicity.Model({"=vile": 9.0}, -6.0)
-    docs = spark.createDataFrame([(1, "Fine. A vile one! Fine."), (2, "Fine."), (3, None)], "doc_id long, text string")
-    assert [(r["doc_id"], r["start"], r["end"]) for r in toxicity.offending(docs, model).collect()] == [(1, 5, 17)]
+    big = (1 << 60) + 1
+    docs = spark.createDataFrame([(big, "Fine. A vile one! Fine."), (2, "Fine."), (3, None), (None, "vile")], "doc_id long, text string")
+    assert sorted(((r["doc_id"], r["start"], r["end"]) for r in toxicity.offending(docs, model).collect()), key=str) == [(big, 5, 17), (None, 0, 4)]
 
 
 # The pipeline
