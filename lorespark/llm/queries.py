@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlmain, langid, mixing, neardup_text, neardup_vec, quality, secrets, tokenbin, toxicity
+from . import decontam, htmlmain, langid, mixing, neardup_text, neardup_vec, quality, resample, secrets, tokenbin, toxicity
 from .common import remainder, small_batches
 
 
@@ -76,8 +76,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OPERATORS = (
+    op1_mixing, op2_token_binary, op3_embedding_near_dedup, op4_secret_scan, op5_toxicity, op6_decontamination, op7_language_id,
+    op8_minhash_near_dedup, op9_html_extraction, op10_quality, op13_importance_resampling,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_token_binary, op3_embedding_near_dedup, op4_secret_scan, op5_toxicity, op6_decontamination, op7_language_id, op8_minhash_near_dedup, op9_html_extraction, op10_quality)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 OP1_SQL = r"""
@@ -122,5 +132,41 @@ FROM shares
 """
 
 
+OP13_SQL = r"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS r(i))),
+docs AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+doc_words AS (
+  SELECT row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM docs),
+target_words AS (
+  SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+vocabulary AS (SELECT word FROM doc_words UNION SELECT word FROM target_words),
+bytes AS (SELECT word, list_transform(regexp_extract_all(hex(word), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM vocabulary),
+buckets AS (
+  SELECT word, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM bytes, crc_table),
+s AS (SELECT bucket, count(*) AS s FROM doc_words JOIN buckets USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM target_words JOIN buckets USING (word) GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(s), 0) FROM s)::DOUBLE + 10000)
+         / ((s + 1.0::DOUBLE) * ((SELECT coalesce(sum(t), 0) FROM t)::DOUBLE + 10000)))) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+sums AS (
+  SELECT row, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight
+  FROM doc_words JOIN buckets USING (word) JOIN gains USING (bucket) GROUP BY row),
+scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM docs LEFT JOIN sums USING (row)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS r,
+         count(*) FILTER (n_features >= 20) OVER () AS n
+  FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * n // 100 THEN r END AS rank FROM ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL}
+    return {"op1_mixing": OP1_SQL, "op13_importance_resampling": OP13_SQL}
