@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlmain, langid, mixing, neardup_text, neardup_vec, quality, resample, secrets, tokenbin, toxicity
+from . import decontam, htmlmain, langid, mixing, neardup_text, neardup_vec, quality, resample, secrets, substrings, tokenbin, toxicity
 from .common import remainder, small_batches
 
 
@@ -76,13 +76,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_report(table(spark, sf_dir, "documents"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 OPERATORS = (
     op1_mixing, op2_token_binary, op3_embedding_near_dedup, op4_secret_scan, op5_toxicity, op6_decontamination, op7_language_id,
-    op8_minhash_near_dedup, op9_html_extraction, op10_quality, op13_importance_resampling,
+    op8_minhash_near_dedup, op9_html_extraction, op10_quality, op12_substring_dedup, op13_importance_resampling,
 )
 
 
@@ -132,6 +136,21 @@ FROM shares
 """
 
 
+OP12_SQL = r"""
+WITH docs AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+starts AS (SELECT row, doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM docs WHERE doc_id IS NOT NULL AND len(words) >= 50),
+windows AS MATERIALIZED (SELECT row, doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h FROM starts),
+owners AS (SELECT h, min(doc_id) AS owner FROM windows GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+gone AS MATERIALIZED (SELECT DISTINCT row, unnest(range(i, i + 50)) AS k FROM windows JOIN owners USING (h) WHERE owner < doc_id),
+removed AS (SELECT row, count(*) AS n FROM gone GROUP BY row),
+spread AS (SELECT row, unnest(range(1, len(words) + 1)) AS k, unnest(words) AS word FROM docs WHERE row IN (SELECT row FROM removed)),
+kept AS (SELECT row, sha256(string_agg(word, ' ' ORDER BY k)) AS h FROM spread ANTI JOIN gone USING (row, k) GROUP BY row)
+SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed,
+       CASE WHEN n IS NULL THEN sha256(array_to_string(words, ' ')) ELSE coalesce(h, sha256('')) END AS kept_sha256
+FROM docs LEFT JOIN removed USING (row) LEFT JOIN kept USING (row)
+"""
+
 OP13_SQL = r"""
 WITH crc_table AS (
   SELECT list(c ORDER BY i) AS t FROM (
@@ -169,4 +188,4 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL, "op13_importance_resampling": OP13_SQL}
+    return {"op1_mixing": OP1_SQL, "op12_substring_dedup": OP12_SQL, "op13_importance_resampling": OP13_SQL}

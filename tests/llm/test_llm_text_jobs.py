@@ -13,7 +13,7 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from lorespark.llm import queries as llm
-from lorespark.llm import resample
+from lorespark.llm import resample, substrings
 
 DOCS = "doc_id long, text string"
 
@@ -61,6 +61,89 @@ def test_resampling_without_target_and_with_a_hot_source(spark):
     assert sorted((tuple(r) for r in resample.resample_report(frame, none).collect()), key=str) == drawn_by_hand(docs, [])
 
 
+# 12: substring repeats
+
+def split(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def gone_by_hand(docs, length):
+    """For each row the places of the words that go."""
+    owner = {}
+    for key, text in docs:
+        words = split(text)
+        for i in range(len(words) - length + 1 if key is not None else 0):
+            window = tuple(words[i : i + length])
+            owner[window] = min(owner.get(window, key), key)
+    out = []
+    for key, text in docs:
+        words = split(text)
+        starts = [i for i in range(len(words) - length + 1) if key is not None and owner[tuple(words[i : i + length])] < key]
+        out.append({k for i in starts for k in range(i, i + length)})
+    return out
+
+
+def passages(seed, n):
+    """Documents of few words, so that short windows repeat by chance, with shared passages, copies, near copies and one hot passage."""
+    rng = np.random.default_rng(seed)
+    hot, out = list(rng.choice(list("abcdef"), 14)), []
+    for k in range(n):
+        words = list(rng.choice(["a", "b", "c", "é", "Ab", "_", "x\u00a0y"], int(rng.integers(0, 40))))
+        if k % 3 == 0:
+            at = int(rng.integers(0, len(words) + 1))
+            words[at:at] = hot
+        if k % 7 == 0 and out:
+            words = split(out[int(rng.integers(0, len(out)))][1]) + words[:3]
+        if k % 11 == 0:
+            words = ["same"] * int(rng.integers(1, 30))
+        out.append((int(k), " ".join(words)))
+    out += [(7, out[7][1]), (7, "another text of an id " + " ".join(hot)), (None, " ".join(hot)), (None, None), (400, None), (401, ""), (402, " \t\n"), (403, "\n".join(hot) + "\x1f\x85 end"), (404, out[3][1]), (404, out[3][1])]
+    return out
+
+
+@pytest.mark.parametrize("seed,length,gram", [(1, 6, 3), (2, 8, 8), (3, 5, 1), (4, 12, 5)])
+def test_substring_repeats_are_the_plain_search(spark, seed, length, gram):
+    docs = passages(seed, 150)
+    frame = spark.createDataFrame(docs, DOCS).withColumns({c: F.lit("clash") for c in ("hash", "anchor", "words", "n_words", "owner", "windows", "value")}).repartition(5)
+    gone, rows, left, spans = gone_by_hand(docs, length), [], [], []
+    for (key, text), out in zip(docs, gone):
+        words = split(text)
+        kept = " ".join(w for k, w in enumerate(words) if k not in out)
+        rows.append((key, len(words), len(out), hashlib.sha256(kept.encode()).hexdigest()))
+        left.append((key, kept if out else text))
+    assert sorted((tuple(r) for r in substrings.repeat_report(frame, length=length, gram=gram).collect()), key=str) == sorted(rows, key=str)
+    shorter = substrings.remove_repeats(frame, length=length, gram=gram)
+    assert shorter.columns == frame.columns and sorted(((r["doc_id"], r["text"]) for r in shorter.collect()), key=str) == sorted(left, key=str)
+    covered = collections.defaultdict(set)
+    for r in substrings.repeats(frame, length=length, gram=gram).collect():
+        assert r["end"] - r["start"] >= length
+        covered[r["doc_id"]] |= set(range(r["start"], r["end"]))
+    assert all(covered[k] == out for (k, _), out in zip(docs, gone) if k not in (None, 7))
+
+
+def test_a_passage_that_a_third_of_all_documents_share(spark):
+    rng = np.random.default_rng(9)
+    passage = " ".join(f"p{k}" for k in range(60))
+    docs = [(k, " ".join(f"w{x}" for x in rng.integers(0, 10**9, 70)) + (f" {passage} tail{k}" if k % 3 == 0 else "")) for k in range(900)]
+    got = {r["doc_id"]: r["n_removed"] for r in substrings.repeat_report(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == {k: 60 if k % 3 == 0 and k else 0 for k in range(900)}
+
+
+def test_very_long_texts_repeat(spark):
+    long = " ".join(f"w{k * k % 100_003}" for k in range(200_000))
+    docs = [(1, long), (2, "begin " + long + " end"), (3, "x" * 1_000_000)]
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.repeat_report(spark.createDataFrame(docs, DOCS)).collect()} == {1: (200_000, 0), 2: (200_002, 200_000), 3: (1, 0)}
+
+
+def test_runs_are_equal_for_equal_words_only():
+    h = np.array([1, 2, 3, 1, 2, 3, 1, 2, 4], np.uint64)
+    for size in range(1, 11):
+        want = [tuple(h[i : i + size]) for i in range(len(h) - size + 1)]
+        got = substrings.runs(h, size).tolist()
+        assert len(got) == len(want) and len(set(got)) == len(set(want))
+        assert all((a == b) == (x == y) for a, x in zip(got, want) for b, y in zip(got, want))
+
+
 # SQL
 
 @pytest.mark.parametrize("name", [n for n in llm.oracle_sql() if n != "op1_mixing"])
