@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmlmain, langid, mixing, neardup_text, neardup_vec, quality, resample, secrets, substrings, tokenbin, toxicity
+from . import crosstok, decontam, htmlmain, langid, mixing, neardup_text, neardup_vec, quality, resample, secrets, substrings, tokenbin, toxicity
 from .common import remainder, small_batches
 
 
@@ -16,10 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +76,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.alignment_report(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeat_report(table(spark, sf_dir, "documents"))
 
@@ -86,7 +90,7 @@ def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_mixing, op2_token_binary, op3_embedding_near_dedup, op4_secret_scan, op5_toxicity, op6_decontamination, op7_language_id,
-    op8_minhash_near_dedup, op9_html_extraction, op10_quality, op12_substring_dedup, op13_importance_resampling,
+    op8_minhash_near_dedup, op9_html_extraction, op10_quality, op11_token_alignment, op12_substring_dedup, op13_importance_resampling,
 )
 
 

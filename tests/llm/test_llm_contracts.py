@@ -27,6 +27,7 @@ COLUMNS = {
     "op8_minhash_near_dedup": "doc_id bigint, class_id bigint, kept boolean",
     "op9_html_extraction": "page_id bigint, url string, text string, n_chars bigint",
     "op10_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op11_token_alignment": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
     "op12_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
     "op13_importance_resampling": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
 }

@@ -13,7 +13,8 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from lorespark.llm import queries as llm
-from lorespark.llm import resample, substrings
+from lorespark.llm import crosstok, resample, substrings
+from lorespark.llm.queries import tokenizer_path
 
 DOCS = "doc_id long, text string"
 
@@ -61,6 +62,73 @@ def test_resampling_without_target_and_with_a_hot_source(spark):
     assert sorted((tuple(r) for r in resample.resample_report(frame, none).collect()), key=str) == drawn_by_hand(docs, [])
 
 
+# 11: token alignment
+
+def aligned_by_hand(texts, path_a, path_b):
+    """Rows of the report without ids, groups of each text and the counts of id pairs, by the libraries and plain loops."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
+    a.encode_special_tokens = True
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in shown)}
+
+    def piece(name):
+        return bytes([int(name[3:5], 16)]) if re.fullmatch("<0x..>", name) else name.replace("\u2581", " ").encode()
+
+    counts, found = collections.Counter(), []
+    for text in texts:
+        ia = a.encode(" " + text, add_special_tokens=False) if text else None
+        ib = b.encode(text) if text else []
+        ta, tb = [bytes(letters.get(c, 0) for c in t) for t in ia.tokens] if ia else [], [piece(b.id_to_piece(k)) for k in ib]
+        ia = ia.ids if ia else []
+        if not text or not b"".join(ta) == b"".join(tb) == b" " + text.encode():
+            ia, ib, ta, tb = [], [], [], []
+        ends_a, ends_b = np.cumsum([len(t) for t in ta]).tolist(), np.cumsum([len(t) for t in tb]).tolist()
+        cuts = sorted(set(ends_a) & set(ends_b))
+        groups, low = [], 0
+        for cut in cuts:
+            groups.append(([k for k, e in zip(ia, ends_a) if low < e <= cut], [k for k, e in zip(ib, ends_b) if low < e <= cut]))
+            low = cut
+        links = [(ia[ends_a.index(c)], ib[ends_b.index(c)]) for c in cuts]
+        counts.update(links)
+        found.append((len(ia), len(ib), groups, links))
+    top = collections.Counter()
+    for (_, y), n in counts.items():
+        top[y] = max(top[y], n)
+    rows = []
+    for na, nb, groups, links in found:
+        spelled = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups)
+        rows.append((na, nb, len(groups), len(links), sum(counts[p] == top[p[1]] for p in links), sum(counts[p] for p in links), hashlib.sha256(spelled.encode()).hexdigest() if groups else ""))
+    return rows, [f[2] for f in found], {p: (n, n == top[p[1]]) for p, n in counts.items()}
+
+
+def test_alignment_is_the_plain_loop(spark):
+    paths = tokenizer_path(), tokenizer_path("piece_bpe_32k.model")
+    texts = [r["text"] for r in spark.read.parquet(str(DATA / "documents.parquet")).select("text").limit(60).collect()]
+    texts += [None, "", " ", "  two  blanks ", "line\nbreak\ttab", "naïve café", "日本語テキスト and more", "\U0001f600 smile", "a\u2581b", "<|endoftext|> </s> <unk> <0x41>", "same", "same", "don't won't", "x" * 3000, "\x00 nul", "ﬁ １ NFKC", "ა\u0800"]
+    docs = [(k, t) for k, t in enumerate(texts)] + [(None, "no id"), (5, "another text of an id")]
+    frame = spark.createDataFrame(docs, DOCS).withColumns({c: F.lit("clash") for c in ("row", "pair", "n", "best", "count")}).repartition(3)
+    rows, groups, pairs = aligned_by_hand([t for _, t in docs], *paths)
+    want = sorted(((key, *row) for (key, _), row in zip(docs, rows)), key=str)
+    for broadcast in (crosstok.BROADCAST, 0):
+        assert sorted((tuple(r) for r in crosstok.alignment_report(frame, *paths, broadcast=broadcast).collect()), key=str) == want
+    assert {(r["a_id"], r["b_id"]): (r["count"], r["best"]) for r in crosstok.id_pairs(frame, *paths).collect()} == pairs
+    for r in crosstok.groups(frame.filter("doc_id <> 5"), *paths).collect():
+        cut = lambda ids, ends: [ids[i:j] for i, j in zip([0, *ends], ends)]
+        assert list(zip(cut(r["a"], r["a_ends"]), cut(r["b"], r["b_ends"]))) == groups[r["doc_id"]]
+    assert crosstok.groups(frame.limit(0), *paths).count() == 0
+
+
+def test_tokens_without_bytes_are_linked_with_all_that_end_there():
+    sizes = np.array([0, 1, 2])
+    batch = crosstok.Batch(np.array([2, 0, 1]), np.array([1, 1, 0, 1]), sizes, sizes, np.array([3]), np.array([4]))
+    a, b, many = batch.links
+    assert list(zip(a.tolist(), b.tolist())) == [(2, 1), (2, 0), (0, 1), (0, 0), (1, 1)] and many.tolist() == [4, 1]
+    assert batch.per_text(many).tolist() == [5] and batch.per_text().tolist() == [2]
+
+
 # 12: substring repeats
 
 def split(text):
