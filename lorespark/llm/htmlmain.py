@@ -7,17 +7,20 @@ tags are always negative. Weights are learned from labelled pages: those whose m
 the main text (one ``article`` or ``main`` outside the parts below), at most ``sample`` of them. The
 two tags only label; they are no part of a word's kind, so pages that use them for something else, or
 not at all, are weighed like others. One linear scan
-finds the contiguous run with the largest sum. From its blocks of text those go that lie
+finds the contiguous run with the largest sum.
 
-* in elements that HTML itself sets beside the text (``nav``, ``aside``, ``form``, page headers and
-  footers, landmark roles, scripts and other content that is not text),
-* in elements with a class or id that labelled pages have shown ``HIDES`` or more in log-odds outside
-  the main text, on ``SEEN`` pages or more,
-* in elements whose class or id says nothing but that they are an advert, notice, menu, reader's comment
-  or the like: every word of the name must be one of ``BESIDE_WORDS`` or, beside such a one, of
-  ``FRAME_WORDS``. Labels cannot teach these, as adverts and comments also stand inside articles.
+Elements may be suspect: those that HTML itself sets beside the text (``nav``, ``aside``, ``form``, page headers and
+footers, landmark roles), those with a class or id that labelled pages have shown ``HIDES`` or more in
+log-odds outside the main text, on ``SEEN`` pages or more, and those whose class or id only has words for adverts, notices,
+menus, readers' comments or the like (labels cannot teach these, as adverts and comments also stand inside articles).
+Suspicion alone decides nothing. A word in a suspect element counts ``FAINT`` of its weight (``HALF`` if it lies
+in the only ``article`` or ``main`` there), and an element that still has more than half of what counts on the page
+is cleared, the outermost first, after which words are counted anew. So a form, a menu that is never closed or a
+``content-sidebar-wrap`` around the text is cleared and the side bar in it is not. Words of elements that stay suspect
+weigh what tags do in the scan, which may pass over them, and their blocks are no part of the text. A page's only ``h1`` is not
+left out for names around it.
 
-A name with any other word, such as ``form-guide`` or ``search-results-analysis``, hides nothing by itself.
+Only one run comes out: of two articles far apart it is that with the larger sum.
 
 Defined results: null and empty pages, and pages without a word outside such
 elements, give an empty text; a page cut off in the middle is read to its end, and a
@@ -43,6 +46,8 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, small_batches
 
 SAMPLE, MARGIN, HIDES, SEEN = 600, 1.0, 3.0, 3
+#: What a word in a suspect element counts, and what it counts in the only article there.
+FAINT, HALF = 0.05, 0.5
 #: Fixed values of HTML: elements without content, elements whose content is no text, elements that do not break a line.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea title iframe select object canvas".split())
@@ -54,7 +59,7 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 BESIDE = frozenset("head nav footer aside form button dialog menu".split())
 BESIDE_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 SECTIONS = frozenset("article main section".split())
-#: Words of names that say that an element is not the main text, and words that say nothing about that.
+#: Words of names that make an element suspect, and words that say nothing about that.
 BESIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promoted promotion "
     "nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager topbar masthead footer sidebar aside "
@@ -81,8 +86,9 @@ class Element:
     name: str
     parent: int  # place among the page's elements, -1 for none
     names: tuple[str, ...] = ()  # of class and id, but for those that an element around it has too
-    beside: bool = False  # lies beside the main text, by HTML or by its names
-    main: bool = False  # lies in a ``MAIN`` element
+    suspect: bool = False  # by its element, role or place
+    named: bool = False  # suspect by its names
+    article: bool = False  # a ``MAIN`` element, but for readers' comments
     section: bool = False  # lies in a ``SECTIONS`` element
     paragraph: int = -1  # depth of the paragraph that the next block would end, -1 for none
 
@@ -100,7 +106,38 @@ class Page:
     elements: list[Element] = field(default_factory=list)
     tokens: list[Token] = field(default_factory=list)
     blocks: list[tuple[int, str, int]] = field(default_factory=list)  # (first token, text, innermost block element)
-    mains: int = 0  # outermost ``MAIN`` elements that do not lie beside
+
+    def beside(self, weight: np.ndarray, hiding: frozenset[str] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each element lies in one that stays suspect, and in one that does so not only for its names; the last entry is for no element.
+
+        ``weight``: what the words of each element itself count.
+        """
+        elements = self.elements
+        suspect = np.array([e.suspect or e.named or not hiding.isdisjoint(e.names) for e in elements] + [False])
+        while suspect.any():
+            near, article, only = [-1] * (len(elements) + 1), [-1] * (len(elements) + 1), Counter()
+            for k, e in enumerate(elements):  # an element comes before those in it
+                near[k] = k if suspect[k] else near[e.parent]  # innermost suspect element around it
+                article[k] = -1 if suspect[k] else article[e.parent]  # outermost article around it in that
+                if e.article and not suspect[k] and article[k] < 0:
+                    article[k] = k
+                    only[near[k]] += 1
+            share = [1.0 if s < 0 else HALF if article[k] >= 0 and only[s] == 1 else FAINT for k, s in enumerate(near)]
+            held = weight * share
+            for k in range(len(elements) - 1, -1, -1):
+                held[elements[k].parent] += held[k]  # elements without parent add to the last entry
+            cleared = -1
+            for k in np.flatnonzero(suspect[:-1]).tolist():
+                above = near[elements[k].parent]
+                if held[k] > held[-1] / 2 and (above < 0 or above == cleared and held[k] >= 0.9 * held[above]):
+                    cleared, suspect[k] = k, False
+            if cleared < 0:
+                break
+        plain = suspect & [*(e.suspect for e in elements), False]
+        for k, e in enumerate(elements):
+            suspect[k] |= suspect[e.parent]
+            plain[k] |= plain[e.parent]
+        return suspect, plain
 
 
 def _names(attributes: str) -> tuple[list[str], list[str]]:
@@ -178,7 +215,7 @@ def parse(source: str | None) -> Page:
             end = ENDS[name].search(raw, at)
             at = end.start() if end else len(raw)
             stack.append(len(elements))
-            elements.append(Element(name, stack[-2] if len(stack) > 1 else -1, beside=True))
+            elements.append(Element(name, stack[-2] if len(stack) > 1 else -1))
             open_tags[name] += 1
         elif name not in VOID:
             above = elements[top()] if stack else Element("", -1)
@@ -187,11 +224,10 @@ def parse(source: str | None) -> Page:
                 above = elements[top()] if stack else Element("", -1)
             names, roles = _names(attributes)
             page_part = (name == "header" or bool(HEADERS.intersection(names))) and not above.section
-            whole = name in ("html", "body") or (name in MAIN and not any(n.endswith(("comment", "comments")) for n in names))
-            hidden = name in BESIDE or page_part or (not whole and (any(map(_says_beside, names)) or bool(BESIDE_ROLES.intersection(roles))))
-            opens_main = name in MAIN and not (above.beside or hidden)
-            page.mains += opens_main and not above.main
-            element = Element(name, top(), tuple(n for n in names if not open_names[n]), above.beside or hidden, above.main or opens_main, above.section or name in SECTIONS)
+            article = name in MAIN and not any(n.endswith(("comment", "comments")) for n in names)
+            whole = name in ("html", "body") or article
+            suspect = name in BESIDE or page_part or (not whole and bool(BESIDE_ROLES.intersection(roles)))
+            element = Element(name, top(), tuple(n for n in names if not open_names[n]), suspect, not whole and any(map(_says_beside, names)), article, above.section or name in SECTIONS)
             element.paragraph = len(stack) if name == "p" else above.paragraph if name in INLINE else -1
             stack.append(len(elements))
             elements.append(element)
@@ -209,12 +245,21 @@ class Weights:
 
     def __init__(self, pages: list[Page]):
         inside, outside, seen = Counter(), Counter(), Counter()
-        for page in (p for p in pages if p.mains == 1):
+        for page in pages:
+            counts = np.zeros(len(page.elements) + 1)
+            for t in page.tokens:
+                counts[t.element] += t.words
+            beside, _ = page.beside(counts)
+            main, mains = [False] * (len(page.elements) + 1), 0
+            for k, e in enumerate(page.elements):
+                main[k] = main[e.parent] or (e.article and not beside[k])
+                mains += main[k] and not main[e.parent]
+            if mains != 1:
+                continue
             words = np.zeros((len(page.elements) + 1, 2), np.int64)  # outside and inside, of each element; the last row has none
             for t in page.tokens:
-                e = page.elements[t.element] if t.element >= 0 else Element("", -1)
-                label = e.main and not e.beside
-                if e.main and e.beside and t.tag is None:
+                label = main[t.element] and not beside[t.element]
+                if main[t.element] and beside[t.element] and t.tag is None:
                     continue  # an advert in an article says nothing about the names around it
                 for part in [("tag", t.tag)] if t.tag else [("word", a) for a in t.around] or [("word", "")]:
                     (inside if label else outside)[part] += max(t.words, 1)
@@ -230,21 +275,21 @@ class Weights:
         self.odds = {k: float(np.clip(np.log((inside[k] + 1) / (total_in + 2)) - np.log((outside[k] + 1) / (total_out + 2)), -4, 4)) for k in {*inside, *outside}}
         self.hiding = frozenset(n for (kind, n), k in seen.items() if k >= SEEN and self.odds[kind, n] <= -HIDES)
 
-    def of(self, page: Page) -> tuple[np.ndarray, np.ndarray]:
-        """(score of each token, whether each element lies beside the main text)."""
-        best, beside = np.zeros(len(page.elements) + 1), np.zeros(len(page.elements) + 1, bool)
+    def of(self, page: Page) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score of each token, and :meth:`Page.beside`)."""
+        best, counts = np.zeros(len(page.elements) + 1), np.zeros(len(page.elements) + 1)
         best[-1] = -np.inf
         for k, e in enumerate(page.elements):
             best[k] = max(best[e.parent], *[self.odds.get(("name", n), 0.0) for n in e.names]) if e.names else best[e.parent]
-            beside[k] = e.beside or beside[e.parent] or not self.hiding.isdisjoint(e.names)
         out = np.empty(len(page.tokens))
         for i, t in enumerate(page.tokens):
             if t.tag is None:
                 odds = max([best[t.element], *[self.odds.get(("word", a), 0.0) for a in t.around]])
                 out[i] = t.words * ((odds if odds > -np.inf else 0.0) + MARGIN)
+                counts[t.element] += max(out[i], 0)
             else:
                 out[i] = -0.1 - 0.3 * max(MARGIN - self.odds.get(("tag", t.tag), 0.0), 0)
-        return out, beside
+        return out, *page.beside(counts, self.hiding)
 
 
 def best_run(scores: np.ndarray) -> tuple[int, int]:
@@ -263,15 +308,17 @@ def best_run(scores: np.ndarray) -> tuple[int, int]:
 
 def main_text(source: str | None, weights: Weights) -> str:
     page = parse(source)
-    scores, beside = weights.of(page)
+    scores, beside, plain = weights.of(page)
+    headings = [k for k, e in enumerate(page.elements) if e.name == "h1"]
+    out = [bool(plain[at] if headings == [at] else beside[at]) for _, _, at in page.blocks]
     hidden = np.zeros(len(scores), bool)
     # Words of a block that goes anyway count as tags do: a run may pass over them, at a cost.
     bounds = [b[0] for b in page.blocks] + [len(scores)]
-    for (first, _, element), after in zip(page.blocks, bounds[1:]):
-        hidden[first:after] = beside[element]
+    for first, after, goes in zip(bounds, bounds[1:], out):
+        hidden[first:after] = goes
     scores = np.where(hidden, np.minimum(scores, -0.1), scores)
     start, end = best_run(scores)
-    return "\n".join(t for (first, t, element), after in zip(page.blocks, bounds[1:]) if not beside[element] and first < end and after > start)
+    return "\n".join(t for (_, t, _), first, after, goes in zip(page.blocks, bounds, bounds[1:], out) if not goes and first < end and after > start)
 
 
 def fit(pages: DataFrame, *, page_id: str = "page_id", source: str = "html", sample: int = SAMPLE) -> Weights:

@@ -472,6 +472,36 @@ def test_extraction_leaves_out_what_lies_beside(part):
     assert htmlmain.main_text(f"<body><article><p>{story}</p>{part}<p>The end of the story</p></article></body>", weights) == story + "\nThe end of the story"
 
 
+WRAPPERS = [
+    '<form id="aspnetForm">{}</form>', '<div class="content-sidebar-wrap">{}<div class="sidebar"><p>Side bar</p></div></div>', '<div class="banner-content">{}</div>',
+    "<nav><ul><li><a>Home</a></li></ul>{}", '<form><div class="content-sidebar-wrap"><div class="banner-block">{}</div><aside>More of it</aside></div></form>', '<div role="search">{}</div>',
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("tag", ["article", "div", 'div class="entry"'])
+def test_extraction_keeps_a_text_in_a_wrapper_that_looks_hidden(wrapper, tag):
+    story = " ".join(f"Word{k}" for k in range(80))
+    inner = f"<{tag}><h1>Title</h1><p>{story}</p><div class='ad'>Buy now</div><p>The end</p><div class='comments'><p>{'a reader says ' * 20}</p></div></{tag.split()[0]}>"
+    page = f"<html><head><title>T</title></head><body><div class='cookie-notice'>We use cookies</div>{wrapper.format(inner)}<footer>me and all of us</footer></body></html>"
+    for weights in (htmlmain.Weights([htmlmain.parse(PAGE)] * 3), htmlmain.Weights([htmlmain.parse(page)] * 3)):
+        assert htmlmain.main_text(page, weights) == f"Title\n{story}\nThe end"
+
+
+def test_extraction_leaves_out_more_comments_than_text():
+    weights = htmlmain.Weights([htmlmain.parse(PAGE)] * 3)
+    story = " ".join(f"Word{k}" for k in range(60))
+    remarks = "".join(f"<li><article class='comment-body'><p>{sentence(k, 40)}</p></article></li>" for k in range(10))
+    for page in (f"<body><div class='post'><p>{story}</p></div><ol class='comments'>{remarks}</ol></body>", f"<body><article><p>{story}</p><section id='comments'>{remarks}</section></article></body>"):
+        assert htmlmain.main_text(page, weights) == story
+
+
+def test_extraction_keeps_the_only_heading_under_a_banner():
+    story = " ".join(f"Word{k}" for k in range(60))
+    page = f"<body><div class='banner'><p>Sale today</p><h1>A title of six words here</h1></div><div class='post'><p>{story}</p></div></body>"
+    assert htmlmain.main_text(page, htmlmain.Weights([])) == "A title of six words here\n" + story
+
+
 def test_extraction_learns_names_beside_the_text():
     pages = [htmlmain.parse(f"<body><article><p class='lead'>{sentence(i, 90)}</p></article><div class='xyzzy'><p>{sentence(i + 50, 60)}</p></div></body>") for i in range(8)]
     weights = htmlmain.Weights(pages)
@@ -489,7 +519,7 @@ def test_extraction_of_broken_quotes_and_deep_pages():
         htmlmain.main_text(page, weights)
         return time.process_time() - began
 
-    for unit in ('<div class="c">w ', "<b>w ", "<p><li><b>w ", '<a ">"'):
+    for unit in ('<div class="c">w ', '<form class="ad">w ', "<b>w ", "<p><li><b>w ", '<a ">"'):
         small, large = seconds(unit * 5_000 + "'" + "<div></div>" * 5_000), seconds(unit * 50_000 + "'" + "<div></div>" * 50_000)
         assert large < 40 * small + 2, unit
 
