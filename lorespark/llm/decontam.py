@@ -9,23 +9,25 @@ How many seeds a copy over the threshold still has follows from its score. Let a
 words and score s >= t L. Its p - 2 three-word runs are seeds; a word put in costs 1 of p - s and takes at most one seed
 (that with the gap before its last word is found by skipping), several put in at one place take two and cost two or more, a
 word changed or left out costs 2 and takes three. So at least p - 2 - 1.5 (p - t L) >= (1.5 t - 0.5) L - 2 seeds are left.
-Pairs of a passage and an item with fewer seeds in common, counted as often as the item has them, are no copies.
-Items too short for this to leave a seed (up to 8 words at a threshold of one half) have two-word seeds, one of which any copy holds.
-
-Items go by length into few classes, each up to four times as long as the
-last. One pass over the corpus cuts documents, for each class, into overlapping
-passages, long enough that any alignment over the threshold lies whole in one of
-them, and notes the seeds of those that have enough of them. Seeds join passages to items; only then are the words of
-the documents with candidates read again. A pair with too few words in common to reach the threshold is dropped, and
-local alignment over words (match 1, mismatch and gap -1) scores the others; a score
+Items of up to ``SHORT`` words have two-word seeds: a word put in costs 1 and takes one, a word changed or left out costs
+2 and takes two, so p - 1 - (p - s) = s - 1 of them are left. Pairs of a passage and an item with fewer seeds in common,
+counted as often as the item has them, are no copies.
+
+Items go by length into classes, each up to a quarter longer than the last, so that one item sets no bound for much longer ones.
+One pass over the corpus cuts documents, for each class, into overlapping passages, long enough that any alignment over the threshold
+lies whole in one of them, and notes the seeds of those that have enough of them. Of an item with n seeds, of which a copy has m at
+least, any n - m + 1 must meet a copy; the n - m + 1 that are rarest in the corpus are looked up, so that what
+is frequent in the corpus joins nothing as long as an item has enough else, and rows of one seed are dealt by a salt. The pairs found are checked for
+all seeds that they share; only then are the words of the documents with candidates read again. A pair with too few words in common to reach the
+threshold is dropped, and local alignment over words (match 1, mismatch and gap -1) scores the others; a score
 of at least ``threshold`` times the item's length is contamination. Items are
 aligned whole, whatever their length; classes set only how long passages are.
 
-Executors get a Bloom filter of each class's seeds, of ``BITS_A_SEED`` bits for each up to
-``MOST_BITS`` in all (128 MB, 67 million seeds); what passes by chance falls out at the join.
+Executors get a Bloom filter of each class's seeds, and one of all seeds of a width, which most words fail at once, of ``BITS_A_SEED`` bits for each up to
+``MOST_BITS`` (128 MB, 67 million seeds) a filter; what passes by chance falls out at the join.
 
-Defined results: null, empty and wordless texts and items match nothing; items
-shorter than two words are one seed; repeated items and documents
+Defined results: null, empty and wordless texts and items match nothing; items of
+one or two words are one seed and found whole only; repeated items and documents
 repeat their pairs once for each distinct id; null ids match nothing; empty tables
 give an empty result. Other columns are ignored by :func:`contamination` and carried
 by :func:`decontaminate`.
@@ -39,15 +41,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches, store
+from .common import drop, small_batches, store
 from .words import GOLDEN, mix, windows, word_hashes
 
 SEED_WORDS, THRESHOLD = 3, 0.5
 BITS_A_SEED, LEAST_BITS, MOST_BITS, FILTER_HASHES = 16, 1 << 16, 1 << 30, 3
-#: Items of the first class have up to so many words.
-CLASS_WORDS = 64
+#: Items of up to so many words (and those of the same class) have seeds of two words.
+SHORT = 16
+#: In how many parts rows of a seed are dealt.
+SALTS = 8
 #: Cells in one row of the matrices that are aligned together.
 CELLS = 1 << 18
 
@@ -76,18 +81,24 @@ class Bloom:
         return left
 
 
-def _bloom(seeds: DataFrame, n: int) -> Bloom:
-    """Filters of parts of the seeds, made on executors and joined on the driver."""
+def _blooms(seeds: DataFrame, counts: dict[tuple[int, int], int]) -> dict[tuple[int, int], Bloom]:
+    """A filter of each (class, width) and, under (-1, width), of each width; parts are made on executors and joined on the driver."""
+    sizes = dict(counts)
+    for (_, k), n in counts.items():
+        sizes[-1, k] = sizes.get((-1, k), 0) + n
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Bloom(n)
+        own: dict[tuple[int, int], Bloom] = {}
         for batch in batches:
-            own.add(batch["seed"].to_numpy(np.int64).view(np.uint64))
-        yield pd.DataFrame({"bits": [own.bits.tobytes()]})
-
-    out = Bloom(n)
-    for row in seeds.select("seed").coalesce(8).mapInPandas(part, "bits binary").toLocalIterator():
-        out.bits |= np.frombuffer(row["bits"], np.uint8)
+            for (c, k), rows in batch.groupby(["class", "k"]):
+                for name in ((c, k), (-1, k)):
+                    own.setdefault(name, Bloom(sizes[name])).add(rows["seed"].to_numpy(np.int64).view(np.uint64))
+        for (c, k), found in own.items():
+            yield pd.DataFrame({"class": [c], "k": [k], "bits": [found.bits.tobytes()]})
+
+    out = {name: Bloom(n) for name, n in sizes.items()}
+    for row in seeds.select("class", "k", "seed").coalesce(8).mapInPandas(part, "class long, k long, bits binary").toLocalIterator():
+        out[row["class"], row["k"]].bits |= np.frombuffer(row["bits"], np.uint8)
     return out
 
 
@@ -121,9 +132,12 @@ def _words32(text: str | None) -> np.ndarray:
     return (word_hashes(text) | np.uint64(1)) & np.uint64(0xFFFFFFFF)
 
 
-def _class(length: int) -> int:
-    """0 for up to ``CLASS_WORDS`` words, 1 for up to four times as many, and so on; items with shorter seeds are a class of their own."""
-    return (((length - 1) // CLASS_WORDS).bit_length() + 1) // 2
+def _class(length: int) -> tuple[int, int]:
+    """(number, least length) of the class of items of so many words; each class reaches up to a quarter beyond its least length."""
+    number, low = 0, 1
+    while (above := max(low + 1, low * 5 // 4 + 1)) <= length:
+        number, low = number + 1, above
+    return number, low
 
 
 def _seeds(h: np.ndarray, n: int) -> np.ndarray:
@@ -142,14 +156,16 @@ def _skipping(h: np.ndarray, n: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def least_seeds(length: int, n: int, threshold: float) -> int:
-    """How many of an item's ``n``-word seeds, counted by place, a copy over the threshold has at least; 0 if it may have none."""
-    return max(0, math.ceil((1.5 * threshold - 0.5) * length - 2 - 1e-9)) if n == 3 else 0
+def least_seeds(length: int, k: int, threshold: float) -> int:
+    """How many of an item's ``k``-word seeds, counted by place, a copy over the threshold has at least; 0 if it may have none."""
+    bound = {2: threshold * length - 1, 3: (1.5 * threshold - 0.5) * length - 2}.get(k, 0)
+    return max(0, math.ceil(bound - 1e-9))
 
 
 def seed_words(length: int, n: int, threshold: float) -> int:
-    """Of how many words an item's seeds are."""
-    return min(length, n if n != 3 or least_seeds(length, n, threshold) else 2)
+    """Of how many words an item's seeds are: ``n``, and of three only for items whose copies have some left."""
+    low = _class(length)[1]
+    return min(length, 2 if n == 3 and (low <= SHORT or not least_seeds(low, n, threshold)) else n)
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SEED_WORDS, threshold: float = THRESHOLD) -> DataFrame:
@@ -167,51 +183,70 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
                     need = max(1, least_seeds(len(h), k, threshold))
                     # How many different seeds it takes to have that many places.
                     kinds = int(np.searchsorted(np.cumsum(np.sort(times)[::-1]), need)) + 1
-                    out.append((key, _class(len(h)) if k == n else -1, k, h.astype(np.uint32).tobytes(), len(h), need, kinds, [{"seed": int(a), "times": int(b)} for a, b in zip(seeds, times)]))
+                    out.append((key, _class(len(h))[0], k, h.astype(np.uint32).tobytes(), len(h), need, kinds, [{"seed": int(a), "times": int(b)} for a, b in zip(seeds, times)]))
             yield pd.DataFrame(out, columns=["item_id", "class", "k", "words", "length", "need", "kinds", "seeds"])
 
     named = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null")
     cut = store(named.mapInPandas(cut_items, "item_id long, class long, k long, words binary, length long, need long, kinds long, seeds array<struct<seed:long,times:long>>"), "items")
     # Items that repeat an id are each an item; seeds of both count for either.
-    kept = cut.select("item_id", "class", F.inline("seeds")).groupBy("item_id", "class", "seed").agg(F.sum("times").alias("times"))
+    kept = cut.select("item_id", "class", "k", F.inline("seeds")).groupBy("item_id", "class", "k", "seed").agg(F.sum("times").alias("times"))
     kept = store(kept, "seeds")
-    counts = {r["class"]: r["n"] for r in kept.groupBy("class").agg(F.count_distinct("seed").alias("n")).collect()}
+    filters = _blooms(kept.select("class", "k", "seed").distinct(), {(r["class"], r["k"]): r["n"] for r in kept.groupBy("class", "k").agg(F.count_distinct("seed").alias("n")).collect()})
     classes = [
-        (r["class"], r["k"], r["kinds"], max(1, math.ceil((2 - threshold) * r["longest"])), _bloom(kept.filter(F.col("class") == r["class"]).select("seed").distinct(), counts[r["class"]]))
-        for r in cut.groupBy("class").agg(F.min("k").alias("k"), F.max("length").alias("longest"), F.min("kinds").alias("kinds")).collect()
+        (r["class"], r["k"], r["kinds"], max(1, math.ceil((2 - threshold) * r["longest"])))
+        for r in cut.groupBy("class", "k").agg(F.max("length").alias("longest"), F.min("kinds").alias("kinds")).collect()
     ]
 
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
     spans = {c[0]: c[3] for c in classes}
 
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Passages of twice ``span`` words, each beginning ``span`` words after the last.
-
-        An alignment over the threshold has at most ``span`` words of the document. Seeds
-        are of ``n`` words and, if there are items so short, of fewer.
-        """
+        """Passages of twice ``span`` words, each beginning ``span`` words after the last; an alignment over the threshold has at most ``span`` words of the document."""
         for batch in batches:
             out = []
             for key, t in zip(batch["doc_id"], batch["text"]):
                 h = _words32(t)
-                grams = [(k, _seeds(h, k)) for k in range(min((c[1] for c in classes), default=n), n + 1) if len(h) >= k]
-                grams.append((n + 1, _skipping(h, n)))
-                for c, shortest, kinds, span, chosen in classes:
+                grams = {}  # by width, (place, width with the skipped word, seed) of those that any item may have
+                for k in {c[1] for c in classes}:
+                    both = [(k, _seeds(h, k) if len(h) >= k else _seeds(h[:0], 1)), (k + 1, _skipping(h, k) if k == 3 else _seeds(h[:0], 1))]
+                    at = [filters[-1, k].has(s.view(np.uint64)) for _, s in both]
+                    grams[k] = np.concatenate(at), np.repeat([w for w, _ in both], [len(x) for x in at]), np.concatenate([s[x] for (_, s), x in zip(both, at)])
+                for c, k, kinds, span in classes:
+                    places, widths, seeds = grams[k]
+                    if len(seeds) < kinds:
+                        continue
+                    own = filters[c, k].has(seeds.view(np.uint64))
                     hit: dict[int, set[int]] = {}
-                    for k, s in grams:
-                        at = chosen.has(s.view(np.uint64)) if k >= shortest else np.zeros(0, np.int64)
-                        for own, inside, seed in zip((at // span).tolist(), (at % span + k <= span).tolist(), s[at].tolist()):
-                            hit.setdefault(own, set()).add(seed)
-                            if own and inside:
-                                hit.setdefault(own - 1, set()).add(seed)
+                    for at, width, seed in zip(places[own].tolist(), widths[own].tolist(), seeds[own].tolist()):
+                        hit.setdefault(at // span, set()).add(seed)
+                        if at >= span and at % span + width <= span:
+                            hit.setdefault(at // span - 1, set()).add(seed)
                     out += [(key, c, p, sorted(found)) for p, found in hit.items() if len(found) >= kinds]
             yield pd.DataFrame(out, columns=["doc_id", "class", "passage", "seeds"])
 
     place = ["doc_id", "class", "passage"]
     near = store(source.mapInPandas(passages, "doc_id long, class long, passage long, seeds array<long>"), "passages")
-    met = near.select(*place, F.explode("seeds").alias("seed")).join(kept, ["class", "seed"]).groupBy(*place, "item_id").agg(F.sum("times").alias("times"))
-    needs = cut.groupBy("item_id", "class").agg(F.min("need").alias("need"))
-    pairs = store(met.join(needs, ["item_id", "class"]).filter("times >= need").select(*place, "item_id"), "candidates")
+    spread = near.select(*place, F.explode("seeds").alias("seed"))
+    # The rarest seeds of an item, so many that a copy has one of them.
+    needs = cut.groupBy("item_id", "class", "k").agg(F.min("need").alias("need"))
+    ranked = kept.join(spread.groupBy("class", "seed").agg(F.count("*").alias("n")), ["class", "seed"], "left").join(needs, ["item_id", "class", "k"])
+    item = W.partitionBy("item_id", "class", "k")
+    before = F.sum("times").over(item.orderBy(F.coalesce("n", F.lit(0)), "seed")) - F.col("times")
+    probes = ranked.withColumns({"before": before, "all": F.sum("times").over(item)}).filter("before <= all - need and n is not null").select("class", "seed", "item_id", "k")
+    probes = store(probes, "probes").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = spread.withColumn("salt", F.pmod(F.xxhash64("doc_id", "passage"), F.lit(SALTS)).cast("int")).join(probes, ["class", "seed", "salt"])
+    met = store(met.select(*place, "item_id", "k").distinct(), "met")
+
+    def enough(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pairs that share as many seeds as a copy must."""
+        for batch in batches:
+            shared = [int(np.asarray(times)[np.isin(own, found)].sum()) for own, times, found in zip(batch["own"], batch["times"], batch["seeds"])]
+            yield batch.loc[np.array(shared, np.int64) >= batch["need"].to_numpy(), [*place, "item_id"]]
+
+    lists = kept.groupBy("item_id", "class", "k").agg(F.collect_list("seed").alias("own"), F.collect_list("times").alias("times")).join(needs, ["item_id", "class", "k"])
+    tried = met.join(near, place).join(lists, ["item_id", "class", "k"]).select(*place, "item_id", "own", "times", "seeds", "need")
+    pairs = store(tried.mapInPandas(enough, "doc_id long, class long, passage long, item_id long").distinct(), "candidates")
+    drop(near, met)
     wanted = store(pairs.groupBy("doc_id").agg(F.collect_set(F.struct("class", "passage")).alias("places")), "wanted")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
