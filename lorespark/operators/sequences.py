@@ -12,36 +12,8 @@ from pyspark.sql import types as T
 
 from lorespark.functions.text import collapse
 
-
-def anchor_chunks(rows: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, width: float) -> DataFrame:
-    """``rows`` with ``chunk`` (0, 1, ...) and ``chunk_start``: a chunk ends where a row starts ``width`` or more after its first.
-
-    Rows are taken in the order given, never sorted by start, which may fall. Rows whose
-    key is null are those of one more key; a row without a start belongs to the chunk
-    it is met in. Spark deals and sorts rows by key; each task walks its rows once and
-    holds one batch, so a key may have any number of rows.
-    """
-    if width <= 0:
-        raise ValueError("width must be positive")
-    keys = list(keys)
-    schema = T.StructType([*rows.schema.fields, T.StructField("chunk", T.LongType()), T.StructField("chunk_start", rows.schema[start].dataType)])
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, chunk, anchor = None, 0, None
-        for batch in batches:
-            chunks, anchors = [], []
-            for key, at in zip(zip(*[batch[k].to_pylist() for k in keys]), batch[start].to_pylist()):
-                if key != last:
-                    last, chunk, anchor = key, 0, at
-                elif anchor is None:
-                    anchor = at
-                elif at is not None and at >= anchor + width:
-                    chunk, anchor = chunk + 1, at
-                chunks.append(chunk)
-                anchors.append(anchor)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(chunks, pa.int64()), pa.array(anchors, batch[start].type)], [*batch.schema.names, "chunk", "chunk_start"])
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walk, schema)
+from .chunks import anchor_chunks as anchor_chunks
+from .scans import has_hot_key, running
 
 
 def joined_text(text: str, order: Sequence[str]) -> Column:
@@ -70,15 +42,14 @@ def range_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str
 def nearest(rows: DataFrame, targets: DataFrame, keys: Sequence[str], at: str, target: str, tolerance: float) -> DataFrame:
     """``rows`` with ``snapped``: the nearest target within ``tolerance``, the smaller of two as near; else the own value.
 
-    Both tables are read in order once upwards and once downwards, instead of a join of all pairs.
+    Both tables are read in order once upwards and once downwards, instead of a join of all pairs; the points of one key may be many.
     """
     points = targets.select(*keys, F.col(target).alias("_t")).distinct()
     both = rows.withColumn("_at", F.col(at)).withColumn("_t", F.lit(None).cast(points.schema["_t"].dataType))
     both = both.unionByName(points.withColumn("_at", F.col("_t")), allowMissingColumns=True).withColumn("_row", F.col("_t").isNull())
-    own = W.partitionBy(*keys)
-    so_far = lambda *order: F.last("_t", ignorenulls=True).over(own.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    below, above = so_far("_at", "_row"), so_far(F.desc("_at"), "_row")
-    found = both.withColumns({"_below": below, "_above": above}).filter("_row")
+    hot = has_hot_key(both, keys)
+    found = running(both, keys, ["_at", "_row"], {"_below": ("last", "_t")}, hot)
+    found = running(found, keys, [F.desc("_at"), F.asc("_row")], {"_above": ("last", "_t")}, hot).filter("_row")
     down, up = F.col(at) - F.col("_below"), F.col("_above") - F.col(at)
     best = F.when(F.col("_above").isNull() | (down <= up), F.col("_below")).otherwise(F.col("_above"))
     snapped = F.when(F.least(down, up) <= tolerance, best).otherwise(F.col(at))
@@ -94,14 +65,13 @@ def label_ids(rows: DataFrame, keys: Sequence[str], order: Sequence[str], label:
 
 def batches(rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: int) -> DataFrame:
     """``rows`` with ``batch``: 0 for the first ``size`` rows of a key, and so on."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1) / size))
+    return running(rows, keys, order, {"batch": ("number", None)}).withColumn("batch", F.floor((F.col("batch") - 1) / size))
 
 
 def shards(rows: DataFrame, keys: Sequence[str], order: Sequence[str], count: int) -> DataFrame:
     """``rows`` with ``shard``: contiguous parts of ceil(n / count) rows, the last ones smaller or missing."""
-    own = W.partitionBy(*keys)
-    number, n = F.row_number().over(own.orderBy(*order)) - 1, F.count("*").over(own)
-    return rows.withColumn("shard", F.floor(number / F.ceil(n / count)))
+    counted = running(rows, keys, order, {"shard": ("number", None), "_n": ("total", None)})
+    return counted.withColumn("shard", F.floor((F.col("shard") - 1) / F.ceil(F.col("_n") / count))).drop("_n")
 
 
 def coalesced_spans(rows: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, end: str, most: int) -> DataFrame:
@@ -138,14 +108,13 @@ def ranked_tracks(tracks: DataFrame, keys: Sequence[str], language: str, kind: s
 
 def evicted(files: DataFrame, keys: Sequence[str], size: str, used: str, tie: str, cap: int) -> DataFrame:
     """The files to delete, least recently used first, until those of a key total ``cap`` at most."""
-    own = W.partitionBy(*keys)
-    before = F.coalesce(F.sum(size).over(own.orderBy(used, tie).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return files.withColumn("_excess", F.sum(size).over(own) - F.lit(cap)).withColumn("_before", before).filter("_excess > 0 and _before < _excess").drop("_excess", "_before")
+    counted = running(files, keys, [used, tie], {"_excess": ("total", size), "_before": ("before", size)})
+    return counted.withColumn("_excess", F.col("_excess") - F.lit(cap)).filter("_excess > 0 and _before < _excess").drop("_excess", "_before")
 
 
 def filled_forward(rows: DataFrame, keys: Sequence[str], order: Sequence[str], column: str) -> DataFrame:
     """``rows`` with nulls of ``column`` replaced by the last value before them."""
-    return rows.withColumn(column, F.last(column, ignorenulls=True).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    return running(rows, keys, order, {"_filled": ("last", column)}).withColumn(column, F.col("_filled")).drop("_filled")
 
 
 def neighbours(rows: DataFrame, keys: Sequence[str], order: Sequence[str], column: str) -> DataFrame:
