@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorespark.functions.python import fold_term
 from lorespark.functions.text import strip_space
+from lorespark.shared import drop, store
 
-from .rollups import first_rows, folded
+from .rollups import first_rows
+from .scans import running
 
 ENTRIES = "entry_pos int, canonical string, aliases array<string>, reading string, category string"
 
@@ -63,36 +64,71 @@ def upserted_terms(sheet: DataFrame, terms: DataFrame, key: str = "path") -> Dat
     return sheet.join(videos, [key, "video_id"], "left_anti").select(*columns).unionByName(merged.select(*columns))
 
 
+UNDECIDED, STAYS, GOES = 0, 1, 2
+
+
+def _claims(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, entry, at, canonical, surface, fold, status): every spelling that an entry names, its canonical first; ``at`` goes up with the order in which they are named."""
+
+    def named(entries: DataFrame, added: bool) -> DataFrame:
+        entry = F.struct(F.lit(added).alias("added"), "entry_pos", "canonical")
+        spellings = F.concat(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))
+        long = entries.select(key, entry.alias("entry"), "canonical", F.posexplode(spellings).alias("place", "surface"))
+        status = F.lit(UNDECIDED if added else STAYS).alias("status")
+        return long.select(key, "entry", F.struct("entry", "place").alias("at"), "canonical", "surface", fold_term(F.col("surface")).alias("fold"), status)
+
+    every = named(base, False).unionByName(named(new, True))
+    empty = every.filter("fold = '' and entry.added and at.place = 0").select(key, "entry").distinct()
+    return every.filter("fold <> ''").join(empty, [key, "entry"], "left_anti")
+
+
+def _settled(claims: DataFrame, key: str) -> DataFrame:
+    """``claims`` of the entries that stay.
+
+    In a round, the earliest claim to each spelling by an entry that has not gone decides: a new entry stays if that is its own claim, or one of an entry that
+    stays and has the same canonical term; it goes if the entry that stays has another one. All others wait. Every round decides the earliest
+    entry that is left at least, so there are as many rounds as entries that wait for each other in a row.
+    """
+    open_claims = store(claims, "claims")
+    done = open_claims.filter(F.col("status") == STAYS)
+    while not (waiting := open_claims.filter(F.col("status") == UNDECIDED)).isEmpty():
+        heads = open_claims.groupBy(key, "fold").agg(F.min_by(F.struct("entry", "canonical", "status"), "at").alias("head"))
+        own = waiting.filter("at.place = 0").join(heads, [key, "fold"])
+        fate = F.when(F.col("head.entry") == F.col("entry"), STAYS).when(F.col("head.status") == STAYS, F.when(F.col("head.canonical") == F.col("canonical"), STAYS).otherwise(GOES)).otherwise(UNDECIDED)
+        fates = own.select(key, "entry", fate.alias("_fate")).distinct()
+        new = open_claims.join(fates, [key, "entry"], "left").withColumn("status", F.coalesce("_fate", "status")).drop("_fate").filter(F.col("status") != GOES)
+        before, open_claims = open_claims, store(new, "claims")
+        done = open_claims.filter(F.col("status") == STAYS)
+        drop(before)
+    return done
+
+
 def merged_glossaries(base: DataFrame, new: DataFrame, key: str = "book") -> DataFrame:
     """(key, then a glossary's columns): each book's glossary with new entries, which never take a spelling from another.
 
     Spellings belong, by their fold, to whoever names them first: base entries in order, then new ones. A new
-    entry whose canonical belongs to another goes as a whole, so who owns what
-    depends on all before it; a book, which is one document, is walked in order.
+    entry whose canonical term belongs to another goes as a whole, with all its claims, so who owns what depends on all entries before; that is settled
+    in rounds of joins over all spellings of all books (:func:`_settled`). New entries add the aliases that
+    they own to the entry of their term, which comes after the others if the base has none. Null aliases are none; entries of one place go by
+    their term, equal ones are one; rows of a null book go.
     """
     columns = [c.split()[0] for c in ENTRIES.split(", ")]
-
-    def merge(name: tuple, old: pd.DataFrame, added: pd.DataFrame) -> pd.DataFrame:
-        owner: dict[str, str] = {}
-        entries: dict[str, list] = {}
-        for e in old.sort_values("entry_pos").itertuples():
-            entries[e.canonical] = [list(e.aliases), e.reading, e.category]
-            for spelling in (e.canonical, *e.aliases):
-                owner.setdefault(folded(spelling), e.canonical)
-        owner.pop("", None)
-        for e in added.sort_values("entry_pos").itertuples():
-            if not folded(e.canonical) or owner.setdefault(folded(e.canonical), e.canonical) != e.canonical:
-                continue
-            kept = entries.setdefault(e.canonical, [[], e.reading, e.category])[0]
-            for alias in e.aliases:
-                if folded(alias) and folded(alias) not in owner:
-                    owner[folded(alias)] = e.canonical
-                    kept.append(alias)
-        rows = [(name[0], i, c, *rest) for i, (c, rest) in enumerate(entries.items())]
-        return pd.DataFrame(rows, columns=[key, *columns])
-
-    kind = base.schema[key].dataType.simpleString()
-    return base.select(key, *columns).groupBy(key).cogroup(new.select(key, *columns).groupBy(key)).applyInPandas(merge, f"{key} {kind}, {ENTRIES}")
+    base, new = (g.select(key, *columns).filter(F.col(key).isNotNull()) for g in (base, new))
+    stay = _settled(_claims(base, new, key), key)
+    owners = stay.groupBy(key, "fold").agg(F.min("at").alias("at"))
+    added = stay.filter("entry.added and at.place > 0").join(owners, [key, "fold", "at"]).groupBy(key, "canonical")
+    added = added.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "surface"))), lambda s: s["surface"]).alias("_more"))
+    rest = F.struct("aliases", "reading", "category")
+    old = base.groupBy(key, "canonical").agg(F.min("entry_pos").alias("_old"), F.max_by(rest, "entry_pos").alias("_base"))
+    first = stay.filter("entry.added and at.place = 0").groupBy(key, "canonical").agg(F.min("entry").alias("entry"))
+    fresh = first.join(new.withColumn("entry", F.struct(F.lit(True).alias("added"), "entry_pos", "canonical")).groupBy(key, "entry").agg(F.first(rest).alias("_new")), [key, "entry"])
+    fresh = fresh.select(key, "canonical", F.col("entry.entry_pos").alias("_fresh"), "_new")
+    none = F.array().cast("array<string>")
+    out = old.join(fresh, [key, "canonical"], "full").join(added, [key, "canonical"], "left")
+    out = out.withColumn("aliases", F.concat(F.coalesce("_base.aliases", none), F.coalesce("_more", none)))
+    chosen = [F.when(F.col("_old").isNotNull(), F.col(f"_base.{c}")).otherwise(F.col(f"_new.{c}")).alias(c) for c in ("reading", "category")]
+    placed = running(out, [key], [F.asc_nulls_last("_old"), "_fresh", "canonical"], {"entry_pos": ("number", None)})
+    return placed.select(key, (F.col("entry_pos") - 1).cast("int").alias("entry_pos"), "canonical", "aliases", *chosen)
 
 
 def surfaces(entries: DataFrame, key: str = "book") -> DataFrame:

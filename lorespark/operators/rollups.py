@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lorespark.functions.text import collapse, word_pattern
+from lorespark.functions.python import each
+from lorespark.functions.text import collapse
+from lorespark.functions.variants import Variants
 
-
-def folded(term: str) -> str:
-    """The key under which spellings of a glossary's term are one."""
-    return unicodedata.normalize("NFKC", term).casefold().strip()
+from .scans import numbered
 
 
 def category(count: Column) -> Column:
@@ -64,26 +62,11 @@ def merged_topics(topics: DataFrame, label: str, order: Sequence[str], source: s
     out = keyed.groupBy("_key").agg(F.min(at).alias("_first"), F.min_by(label, at).alias("label"), F.min_by(summary, F.when(F.col(summary) != "", at)).alias("summary"))
     out = out.join(distinct(source, "source_videos"), "_key", "left").join(distinct(alias, "aliases"), "_key", "left")
     none = F.array().cast("array<string>")
-    out = numbered(out.withColumns({"source_videos": F.coalesce("source_videos", none), "aliases": F.coalesce("aliases", none)}), F.col("_first")[order[0]], ["_first"], "_number")
+    out = numbered(out.withColumns({c: F.coalesce(c, none) for c in ("source_videos", "aliases")}), ["_first"], "_number")
     n = F.size("source_videos")
     return out.select(F.format_string("t%03d", "_number").alias("topic_id"), "label", "aliases", "source_videos", n.cast("long").alias("duplication_count"), category(n).alias("category"), F.coalesce("summary", F.lit("")).alias("summary"))
 
 
-def numbered(rows: DataFrame, lead: Column, order: Sequence[str], name: str, parts: int = 256) -> DataFrame:
-    """``rows`` with ``name``: 1, 2, ... over all of them in ``order``, which must be total and begin with the number ``lead``.
-
-    In two steps over ``parts`` ranges of ``lead``: their counts, a row each, give what a range's own numbers start from.
-    """
-    number = lead.cast("double")
-    low, high = rows.agg(F.min(number), F.max(number)).first()
-    width = ((high or 0.0) - (low or 0.0)) / parts or 1.0
-    ranged = rows.withColumn("_range", F.coalesce(F.floor((number - F.lit(low or 0.0)) / F.lit(width)), F.lit(-1)))
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    starts = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(W.partitionBy("_range").orderBy(*order))
-    return ranged.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + own).drop("_range", "_start")
-
-
 def coverage(known: DataFrame, used: DataFrame, key: str) -> DataFrame:
     """(key, covered): which of the known keys are used; used keys that are not known do not count."""
     seen = used.select(key).distinct().withColumn("_used", F.lit(True))
@@ -102,29 +85,22 @@ def fidelity(texts: DataFrame, key: str, text: str, glossary: Sequence[tuple[str
     One row for each text and canonical term that it misspells: the spellings in order of
     first appearance joined by ``、``, at most ``most`` terms a text in order of first appearance.
     Spellings are told apart by their fold (NFKC, then case); one that two terms have is an error.
+    Every text is read once, by an automaton of all spellings, and nothing is shuffled.
     """
-    index: dict[str, str] = {}
-    owner: dict[str, str] = {}
-    for canonical, aliases in glossary:
-        for surface in (canonical, *aliases):
-            if owner.setdefault(folded(surface), canonical) != canonical:
-                raise ValueError(f"{surface!r} belongs to {owner[folded(surface)]!r} and to {canonical!r}")
-        index |= {alias.lower(): canonical for alias in aliases if folded(alias) and folded(alias) != folded(canonical)}
-    if not index:
-        return texts.select(key, F.lit("").alias("canonical"), F.lit("").alias("surfaces"), F.lit(0).cast("long").alias("rank")).limit(0)
-    found_by = "(?iu)" + "|".join(map(word_pattern, sorted(index, key=len, reverse=True)))
-    lookup = F.create_map(*[F.lit(x) for pair in index.items() for x in pair])
-    met = texts.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(found_by), F.lit(0))).alias("pos", "surface"))
-    met = met.withColumn("canonical", F.try_element_at(lookup, F.lower("surface")))
-    spelled = F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "surface"))), lambda s: s["surface"])), "、")
-    out = met.groupBy(key, "canonical").agg(F.min("pos").alias("first_pos"), spelled.alias("surfaces"))
-    rank = F.row_number().over(W.partitionBy(key).orderBy("first_pos")).cast("long")
-    return out.withColumn("rank", rank).filter(F.col("rank") <= most).drop("first_pos")
-
-
-def finding_ids(found: DataFrame, lead: str, order: Sequence[str]) -> DataFrame:
-    """``found`` with ``finding_id``: f001, f002, ... over all rows in ``order``, which begins with the number ``lead``."""
-    return numbered(found, F.col(lead), order, "_number").withColumn("finding_id", F.format_string("f%03d", "_number")).drop("_number")
+    variants = Variants(glossary)
+
+    def terms(t: str) -> list[dict]:
+        found: dict[str, dict[str, None]] = {}
+        for start, end, canonical in variants.find(t):
+            found.setdefault(canonical, {})[t[start:end]] = None
+        return [{"canonical": c, "surfaces": "、".join(s), "rank": k} for k, (c, s) in enumerate(found.items(), 1)][:most]
+
+    return texts.select(key, F.inline(each(terms, "array<struct<canonical:string,surfaces:string,rank:bigint>>", F.col(text))))
+
+
+def finding_ids(found: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``found`` with ``finding_id``: f001, f002, ... over all rows in ``order``, which must be total; ``found`` is evaluated once."""
+    return numbered(found, order, "_number").withColumn("finding_id", F.format_string("f%03d", "_number")).drop("_number")
 
 
 def preflight(bodies: DataFrame, group: str, text: str, budget: int) -> DataFrame:

@@ -104,17 +104,18 @@ WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b(?:thee|tthe|t
 c AS (SELECT *, CASE WHEN lower(surface) IN ('thee', 'tthe', 'that') THEN 'THE' WHEN lower(surface) IN ('andd', 'of') THEN 'AND' WHEN lower(surface) = 'off' THEN 'Offf' ELSE 'Error' END AS canonical FROM w),
 s AS (SELECT doc_id, canonical, string_agg(surface, '、' ORDER BY pos) AS surfaces, min(pos) AS first FROM (SELECT doc_id, canonical, surface, min(pos) AS pos FROM c GROUP BY ALL) GROUP BY doc_id, canonical),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS rank FROM s)
-SELECT doc_id, canonical, surfaces, rank FROM r WHERE rank <= 20""")
+SELECT doc_id, canonical, surfaces, rank, printf('f%03d', row_number() OVER (ORDER BY doc_id, rank)) AS finding_id FROM r WHERE rank <= 20""")
 def fidelity_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents against a glossary of frequent words: which spellings they use instead of the canonical one."""
-    return ops.fidelity(table(spark, sf_dir, "documents").filter("text is not null"), "doc_id", "text", GLOSSARY, 20)
+    """Documents against a glossary of frequent words: which spellings they use instead of the canonical one, numbered over all of them."""
+    found = ops.fidelity(table(spark, sf_dir, "documents").filter("text is not null"), "doc_id", "text", GLOSSARY, 20)
+    return ops.finding_ids(found, ["doc_id", "rank"])
 
 
 @query("SELECT o_orderkey, o_orderpriority, printf('f%03d', row_number() OVER (ORDER BY o_orderkey)) AS finding_id FROM orders WHERE o_orderpriority = '1-URGENT'")
 def finding_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urgent orders as findings, numbered over all of them."""
     urgent = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_orderpriority")
-    return ops.finding_ids(urgent, "o_orderkey", ["o_orderkey"])
+    return ops.finding_ids(urgent, ["o_orderkey"])
 
 
 @query("""

@@ -73,6 +73,53 @@ def test_glossaries_merge_without_conflicts(spark):
     assert got == [("g", 0, "Claude", ["Claud", "Klaude"], "r", "c"), ("g", 1, "Python", ["Pyton"], "p", ""), ("h", 0, "Only", [], "", ""), ("k", 0, "New", ["n"], "", "")]
 
 
+def merged_by_hand(base, new):
+    """Of one book: rows (canonical, aliases, reading, category), by asking of each spelling who named it before."""
+    import unicodedata
+
+    fold = lambda t: unicodedata.normalize("NFKC", t).casefold().strip()
+    named = [(fold(t), e[1]) for e in sorted(base) for t in (e[1], *e[2]) if fold(t)]
+    holder = lambda f: next((c for g, c in named if g == f), None)
+    order = list(dict.fromkeys(e[1] for e in sorted(base)))
+    rows = {e[1]: (list(e[2]), *e[3:]) for e in sorted(base)}
+    for _, canonical, aliases, *rest in sorted(new):
+        own = fold(canonical)
+        if own and holder(own) in (None, canonical):
+            named.append((own, canonical))
+            if canonical not in rows:
+                order.append(canonical)
+                rows[canonical] = ([], *rest)
+            for alias in aliases:
+                if fold(alias) and holder(fold(alias)) is None:
+                    named.append((fold(alias), canonical))
+                    rows[canonical][0].append(alias)
+    return [(c, *rows[c]) for c in order]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_glossaries_merge_as_if_walked(spark, seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    terms = ["a", "A", "b", "ｂ", "c", "C ", "d", "D", "e", "f", "g", "", " "]
+    books = {}
+    for book in range(25):
+        entries = lambda n: [(k, str(rng.choice(terms[:11] if k % 9 else terms)), [str(t) for t in rng.choice(terms, int(rng.integers(0, 4)))], f"r{k}", f"c{k}") for k in range(n)]
+        books[f"b{book}"] = entries(int(rng.integers(0, 4))), entries(int(rng.integers(0, 14)))
+    schema = f"book string, {glossary.ENTRIES}"
+    base, new = (spark.createDataFrame([(b, *e) for b, of in books.items() for e in of[k]] + [(None, 0, "x", [], "", "")], schema) for k in (0, 1))
+    want = {(b, i, *row) for b, of in books.items() for i, row in enumerate((c, tuple(a), r, g) for c, a, r, g in merged_by_hand(*of))}
+    assert {(r[0], r[1], r[2], tuple(r[3]), r[4], r[5]) for r in glossary.merged_glossaries(base, new).collect()} == want
+
+
+def test_glossaries_merge_in_few_rounds_for_one_large_book(spark):
+    n = 100_000
+    base = spark.createDataFrame([("g", 0, "Base", ["t7", "t9"], "", "")], f"book string, {glossary.ENTRIES}")
+    new = spark.range(n).select(F.lit("g").alias("book"), F.col("id").cast("int").alias("entry_pos"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("canonical"), F.array(F.concat(F.lit("t"), (F.col("id") + n).cast("string")), F.lit("shared")).alias("aliases"), F.lit("").alias("reading"), F.lit("").alias("category"))
+    got = glossary.merged_glossaries(base, new).agg(F.count("*"), F.sum(F.size("aliases")), F.max("entry_pos"), F.count_distinct("entry_pos")).first()
+    assert tuple(got) == (n - 1, 2 + (n - 2) + 1, n - 2, n - 1)
+
+
 @pytest.mark.parametrize("note,expected", [
     ("body", "body"), ("---\nno end", "---\nno end"), ("---\na: 1\n---\nx", '---\na: 1\nk: "v\\"\\\\1"\n---\nx'), ('---\nk: old\nk: two\n---\nk: body', '---\nk: "v\\"\\\\1"\nk: two\n---\nk: body'),
     ("---\nkk: 1\n---", '---\nkk: 1\nk: "v\\"\\\\1"\n---'),
