@@ -50,7 +50,7 @@ from .words import GOLDEN, mix, windows, word_hashes
 SEED_WORDS, THRESHOLD = 3, 0.5
 BITS_A_SEED, LEAST_BITS, MOST_BITS, FILTER_HASHES = 16, 1 << 16, 1 << 30, 3
 #: Items of up to so many words (and those of the same class) have seeds of two words.
-SHORT = 16
+SHORT = 12
 #: In how many parts rows of a seed are dealt.
 SALTS = 8
 #: Cells in one row of the matrices that are aligned together.
@@ -58,14 +58,14 @@ CELLS = 1 << 18
 
 
 class Bloom:
-    """A Bloom filter over 64-bit hashes, of a size (a power of two) for about ``n`` of them."""
+    """A Bloom filter over well mixed 64-bit hashes, of a size (a power of two) for about ``n`` of them."""
 
     def __init__(self, n: int) -> None:
         self.size = 1 << (min(max(n * BITS_A_SEED, LEAST_BITS), MOST_BITS) - 1).bit_length()
         self.bits = np.zeros(self.size // 8, np.uint8)
 
     def places(self, h: np.ndarray, k: int) -> np.ndarray:
-        return mix(h ^ np.uint64(k * int(GOLDEN) % 2**64)) & np.uint64(self.size - 1)
+        return (mix(h ^ np.uint64(k * int(GOLDEN) % 2**64)) if k else h) & np.uint64(self.size - 1)
 
     def add(self, h: np.ndarray) -> None:
         for k in range(FILTER_HASHES):
@@ -168,6 +168,43 @@ def seed_words(length: int, n: int, threshold: float) -> int:
     return min(length, 2 if n == 3 and (low <= SHORT or not least_seeds(low, n, threshold)) else n)
 
 
+def near_passages(h: np.ndarray, classes: list[tuple[int, int, int, int]], filters: dict[tuple[int, int], Bloom]) -> list[tuple[int, int, list[int]]]:
+    """(class, passage, seeds) of the passages of a document that have enough different seeds of a class.
+
+    Passages have twice ``span`` words, each beginning ``span`` words after the last; an alignment over the threshold has at most ``span`` words of the
+    document. ``classes``: number, width of seeds, how many different ones it takes, and span.
+    """
+    grams, runs, run = {}, {}, mix(h + np.uint64(1))
+    for k in range(1, max(c[1] for c in classes) + 1 if classes else 1):  # as ``windows`` has it, each run one word longer than the last
+        runs[k] = run.view(np.int64)
+        run = mix(run[:-1] * GOLDEN + h[k:] + np.uint64(k + 1)) if len(run) > 1 else run[:0]
+    for k in {c[1] for c in classes}:
+        # Places, widths with the skipped word, and seeds of what any item of this width may have.
+        both = [(k, runs[k])]
+        if k == 3 and len(h) > 3:
+            both.append((4, mix(runs[2][: len(h) - 3].view(np.uint64) * GOLDEN + h[3:] + np.uint64(3)).view(np.int64)))
+        at = [filters[-1, k].has(s.view(np.uint64)) for _, s in both]
+        grams[k] = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, [np.full(len(x), w) for (w, _), x in zip(both, at)], [s[x] for (_, s), x in zip(both, at)])]
+    out = []
+    for c, k, kinds, span in classes:
+        places, widths, seeds = grams[k]
+        if len(seeds) < kinds:
+            continue
+        own = filters[c, k].has(seeds.view(np.uint64))
+        if len(own) < kinds:
+            continue
+        places, widths, seeds = places[own], widths[own], seeds[own]
+        passage = places // span
+        also = (passage > 0) & (places % span + widths <= span)
+        passage, seeds = np.append(passage, passage[also] - 1), np.append(seeds, seeds[also])
+        few = np.bincount(passage)[passage] < kinds
+        hit: dict[int, set[int]] = {}
+        for p, seed in zip(passage[~few].tolist(), seeds[~few].tolist()):
+            hit.setdefault(p, set()).add(seed)
+        out += [(c, p, sorted(found)) for p, found in hit.items() if len(found) >= kinds]
+    return out
+
+
 def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = SEED_WORDS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score): contaminated pairs, ``score`` the best alignment as a share of the item's words."""
     small_batches(docs.sparkSession)
@@ -201,27 +238,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     spans = {c[0]: c[3] for c in classes}
 
     def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Passages of twice ``span`` words, each beginning ``span`` words after the last; an alignment over the threshold has at most ``span`` words of the document."""
         for batch in batches:
-            out = []
-            for key, t in zip(batch["doc_id"], batch["text"]):
-                h = _words32(t)
-                grams = {}  # by width, (place, width with the skipped word, seed) of those that any item may have
-                for k in {c[1] for c in classes}:
-                    both = [(k, _seeds(h, k) if len(h) >= k else _seeds(h[:0], 1)), (k + 1, _skipping(h, k) if k == 3 else _seeds(h[:0], 1))]
-                    at = [filters[-1, k].has(s.view(np.uint64)) for _, s in both]
-                    grams[k] = np.concatenate(at), np.repeat([w for w, _ in both], [len(x) for x in at]), np.concatenate([s[x] for (_, s), x in zip(both, at)])
-                for c, k, kinds, span in classes:
-                    places, widths, seeds = grams[k]
-                    if len(seeds) < kinds:
-                        continue
-                    own = filters[c, k].has(seeds.view(np.uint64))
-                    hit: dict[int, set[int]] = {}
-                    for at, width, seed in zip(places[own].tolist(), widths[own].tolist(), seeds[own].tolist()):
-                        hit.setdefault(at // span, set()).add(seed)
-                        if at >= span and at % span + width <= span:
-                            hit.setdefault(at // span - 1, set()).add(seed)
-                    out += [(key, c, p, sorted(found)) for p, found in hit.items() if len(found) >= kinds]
+            out = [(key, *row) for key, t in zip(batch["doc_id"], batch["text"]) for row in near_passages(_words32(t), classes, filters)]
             yield pd.DataFrame(out, columns=["doc_id", "class", "passage", "seeds"])
 
     place = ["doc_id", "class", "passage"]

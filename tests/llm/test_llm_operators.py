@@ -296,6 +296,22 @@ def test_contamination_scores_long_items_whole(spark):
     assert {(r["doc_id"], r["item_id"]): r["score"] for r in got.collect()} == pytest.approx(expected)
 
 
+def test_near_passages_have_the_seeds_of_their_words():
+    h = np.random.default_rng(3).integers(1, 9, 300).astype(np.uint64)
+    for k, n in ((2, 1), (3, 3), (1, 2)):
+        every = np.concatenate([decontam._seeds(h, k), decontam._skipping(h, k) if k == 3 else decontam._seeds(h[:0], 1)])
+        bloom = decontam.Bloom(1000)
+        bloom.add(every.view(np.uint64))
+        got = decontam.near_passages(h, [(0, k, n, 40)], {(0, k): bloom, (-1, k): bloom})
+        want = {}
+        for p in range(8):
+            own = h[p * 40 : p * 40 + 80]
+            found = set(decontam._seeds(own, k).tolist()) | set(decontam._skipping(own, k).tolist() if k == 3 else ())
+            want[p] = found
+        assert {p for _, p, _ in got} == set(want) and all(set(s) >= want[p] for _, p, s in got)
+    assert decontam.near_passages(h[:0], [(0, 3, 1, 9)], {(0, 3): bloom, (-1, 3): bloom}) == [] and decontam.near_passages(h, [], {}) == []
+
+
 def test_short_items_add_no_candidates_for_others(spark, monkeypatch):
     common_words = [f"c{k}" for k in range(12)]
     rng = np.random.default_rng(31)
