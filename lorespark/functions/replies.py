@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .parsing import CATEGORIES, LABELS, clamped
+from .text import once
 
 #: Most items of a reply and of an item's lists, and most characters of a field and of a body.
 ITEMS, LISTED, FIELD, BODY = 500, 200, 4_000, 50_000
@@ -25,18 +26,31 @@ def _get(value: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(value, f"$.{path}", kind)
 
 
+def _bound(value: Column, of) -> Column:
+    """``of`` (value, its type), each evaluated once."""
+    return once(value, lambda v: once(_kind(v), lambda kind: of(v, kind)))
+
+
 def whole(value: Column) -> Column:
     """A variant as a whole number: numbers and numbers in strings lose their fraction; truth values and the rest are null."""
-    number = F.when(_kind(value) == "STRING", F.trim(F.try_variant_get(value, "$", "string")).try_cast("double")).when(_kind(value).rlike(r"\A(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(value, "$", "double"))
-    exact = F.when(_kind(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
-    return F.coalesce(exact, F.when(~F.isnan(number) & (F.abs(number) < 2.0**62), number.cast("bigint")))
+
+    def of(v: Column, kind: Column) -> Column:
+        number = F.when(kind == "STRING", F.trim(F.try_variant_get(v, "$", "string")).try_cast("double")).when(kind.rlike(r"\A(DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(v, "$", "double"))
+        cut = once(number, lambda n: F.when(~F.isnan(n) & (F.abs(n) < 2.0**62), n.cast("bigint")))
+        return F.when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint")).otherwise(cut)
+
+    return _bound(value, of)
 
 
 def said(value: Column, most: int = FIELD) -> Column:
     """A variant as text cut to ``most`` characters: strings as they are, empty for null, false and zero, all else as JSON."""
-    kind = _kind(value)
-    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).otherwise(F.to_json(value))
-    return F.left(F.coalesce(F.when(~text.isin("null", "false", "0", "0.0", "[]", "{}") | (kind == "STRING"), text), F.lit("")), F.lit(most))
+
+    def of(v: Column, kind: Column) -> Column:
+        other = once(F.to_json(v), lambda text: F.when(~text.isin("null", "false", "0", "0.0", "[]", "{}"), text))
+        text = F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).otherwise(other)
+        return F.left(F.coalesce(text, F.lit("")), F.lit(most))
+
+    return _bound(value, of)
 
 
 def _field(item: Column, name: str, most: int = FIELD) -> Column:
@@ -51,13 +65,22 @@ def _strings(item: Column, name: str) -> Column:
 
 def _items(payload: Column, name: str, of, most: int = ITEMS) -> Column:
     """``of`` (item, position) for each object of a list; an absent list is empty."""
-    reply = F.try_parse_json(payload)
-    listed = _get(reply, name, "variant")
-    # A list or nothing; a null, false, zero or empty value stands for nothing.
-    found = F.when(_kind(listed).startswith("ARRAY"), F.try_variant_get(listed, "$", "array<variant>")).when(listed.isNull() | (said(listed) == ""), F.array().cast("array<variant>"))
-    placed = F.transform(F.slice(found, 1, most), lambda v, i: F.struct(v.alias("v"), i.alias("i")))
-    objects = F.filter(placed, lambda p: _kind(p["v"]).startswith("OBJECT"))
-    return F.when(_kind(reply).startswith("OBJECT"), F.transform(objects, lambda p: of(p["v"], p["i"])))
+
+    def listed(value: Column, kind: Column) -> Column:
+        # A list or nothing; a null, false, zero or empty value stands for nothing.
+        empty = F.array().cast("array<variant>")
+        return F.when(kind.startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>")).when(value.isNull() | (said(value) == ""), empty)
+
+    def objects(values: Column) -> Column:
+        placed = F.transform(F.slice(values, 1, most), lambda v, i: F.struct(v.alias("v"), i.alias("i")))
+        found = F.filter(placed, lambda p: F.try_variant_get(p["v"], "$", "map<string,variant>").isNotNull())
+        return F.transform(found, lambda p: of(p["v"], p["i"]))
+
+    def items(reply: Column) -> Column:
+        named = once(_get(reply, name, "variant"), lambda v: once(_kind(v), lambda kind: listed(v, kind)))
+        return F.when(F.try_variant_get(reply, "$", "map<string,variant>").isNotNull(), objects(named))
+
+    return once(F.try_parse_json(payload), items)
 
 
 def _category(item: Column, default: Column) -> Column:
@@ -175,16 +198,31 @@ def corrections(raw: Column) -> Column:
 
     One item without a whole idx or a text that is a string makes the whole reply null.
     """
-    reply = F.try_parse_json(unfenced(raw))
-    bare = _kind(reply).startswith("ARRAY")
-    given = F.when(bare, reply).otherwise(_get(reply, "corrections", "variant"))
     none = F.array().cast("array<variant>")
-    listed = F.when(_kind(given).startswith("ARRAY"), F.try_variant_get(given, "$", "array<variant>")).when(_kind(reply).startswith("OBJECT") & given.isNull(), none)
-    good = lambda v: (_kind(_get(v, "idx", "variant")) == "BIGINT") & (_kind(_get(v, "text", "variant")) == "STRING")
-    whole_batch = F.forall(listed, lambda v: _kind(v).startswith("OBJECT") & F.coalesce(good(v), F.lit(False)))
-    entries = F.transform(listed, lambda v, i: F.struct(_get(v, "idx", "bigint").alias("idx"), _get(v, "text", "string").alias("text"), i.alias("i")))
-    last = F.filter(entries, lambda e: ~F.exists(entries, lambda o: (o["idx"] == e["idx"]) & (o["i"] > e["i"])))
-    mapping = F.map_from_entries(F.transform(last, lambda e: F.struct(e["idx"], e["text"])))
-    spoken = F.filter(F.coalesce(_get(reply, "terms", "array<variant>"), none), lambda v: _kind(v) == "STRING")
-    terms = F.filter(F.transform(spoken, lambda v: F.trim(F.try_variant_get(v, "$", "string"))), lambda t: t != "")
-    return F.when(whole_batch, F.struct(mapping.alias("corrections"), F.when(bare, F.array().cast("array<string>")).otherwise(terms).alias("terms")))
+
+    def entry(v: Column, i: Column) -> Column:
+        """idx, text and place of an item; idx is null without a whole one and a text."""
+        idx, text = once(_get(v, "idx", "variant"), lambda n: F.when(_kind(n) == "BIGINT", F.try_variant_get(n, "$", "bigint"))), _get(v, "text", "variant")
+        return F.struct(idx.alias("idx"), once(text, lambda t: F.when(_kind(t) == "STRING", F.try_variant_get(t, "$", "string"))).alias("text"), i.alias("i"))
+
+    def last_of_each(entries: Column) -> Column:
+        """Sorted by idx and place, an entry stays if the next has another idx."""
+        ordered = F.array_sort(F.transform(entries, lambda e: F.struct(e["idx"], e["i"], e["text"])))
+        return once(ordered, lambda o: F.filter(o, lambda e, k: ~F.coalesce(F.get(o, k + 1)["idx"] == e["idx"], F.lit(False))))
+
+    def read(reply: Column, kind: Column) -> Column:
+        bare = kind.startswith("ARRAY")
+        given = F.when(bare, reply).otherwise(_get(reply, "corrections", "variant"))
+        listed = once(given, lambda g: F.when(F.try_variant_get(g, "$", "array<variant>").isNotNull(), F.try_variant_get(g, "$", "array<variant>")).when(kind.startswith("OBJECT") & g.isNull(), none))
+        spoken = F.filter(F.coalesce(_get(reply, "terms", "array<variant>"), none), lambda v: _kind(v) == "STRING")
+        terms = F.filter(F.transform(spoken, lambda v: F.trim(F.try_variant_get(v, "$", "string"))), lambda t: t != "")
+        terms = F.when(bare, F.array().cast("array<string>")).otherwise(terms)
+
+        def result(entries: Column) -> Column:
+            good = F.forall(entries, lambda e: e["idx"].isNotNull() & e["text"].isNotNull())
+            mapping = F.map_from_entries(F.transform(last_of_each(entries), lambda e: F.struct(e["idx"], e["text"])))
+            return F.when(good, F.struct(mapping.alias("corrections"), terms.alias("terms")))
+
+        return once(F.transform(listed, entry), result)
+
+    return _bound(F.try_parse_json(unfenced(raw)), read)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import filename_title, strip_space
+
 #: Hosts of videos, and the paths that they may have.
 VIDEO_HOSTS = ("www.youtube.com", "youtube.com", "m.youtube.com", "youtu.be")
 #: The language that a code file's extension names.
@@ -87,13 +89,15 @@ def code_urls(text: Column, most: int = 10) -> Column:
 
 
 def note_base(ts: Column, title: Column) -> Column:
-    return F.concat_ws(" ", F.date_format(ts, "yyyy-MM-dd-HHmm"), F.nullif(title, F.lit("")))
+    """Date, time and the title as file names take it; without a title a space stands between date and time."""
+    safe = F.coalesce(filename_title(title), F.lit(""))
+    return F.when(safe == "", F.date_format(ts, "yyyy-MM-dd HHmm")).otherwise(F.concat_ws(" ", F.date_format(ts, "yyyy-MM-dd-HHmm"), safe))
 
 
 def folder_name(ts: Column, playlist: Column) -> Column:
-    """Date, time and the last non-empty part of a playlist's title between slashes."""
-    parts = F.filter(F.transform(F.split(playlist, "/"), lambda v: F.trim(v)), lambda p: p != "")
-    return F.concat_ws(" ", F.date_format(ts, "yyyy-MM-dd-HHmm"), F.try_element_at(parts, F.lit(-1)))
+    """Date, time and the last non-empty part of a playlist's title between slashes, as file names take it."""
+    parts = F.filter(F.transform(F.split(playlist, "/"), strip_space), lambda p: p != "")
+    return F.concat_ws(" ", F.date_format(ts, "yyyy-MM-dd-HHmm"), F.nullif(filename_title(F.try_element_at(parts, F.lit(-1))), F.lit("")))
 
 
 def llm_key(*parts: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorespark.functions.python import each
-from lorespark.functions.text import collapse
+from lorespark.functions.text import collapse, strip_space
 from lorespark.functions.variants import Variants
 
 from .scans import numbered
@@ -45,26 +45,38 @@ def call_totals(calls: DataFrame, keys: Sequence[str], counters: Sequence[str],
     return calls.groupBy(*keys).agg(*sums, F.max_by(text, order).alias(text), F.count("*").alias("attempts"))
 
 
-def merged_topics(topics: DataFrame, label: str, order: Sequence[str], source: str, alias: str, summary: str) -> DataFrame:
-    """One row for each label without regard to case and outer space: the first spelling, all sources and aliases in order of appearance.
+def merged_topics(topics: DataFrame, order: Sequence[str]) -> DataFrame:
+    """One row for each label without regard to case and outer space: the first spelling, what all its topics hold, and a new ``topic_id`` by first appearance.
 
-    Sources and aliases are reduced to their first appearance before they are collected, so
-    a topic's rows never meet in one place. ``topic_id`` counts topics by first appearance.
+    ``topics`` has label, aliases, source_videos, excerpts (arrays) and summary. The aliases are those of the first topic as they are, then others by
+    first appearance; sources are counted once each; excerpts of all topics follow each other; the summary is the first that is not empty. Null lists are
+    empty. Aliases and sources are reduced to their first appearance before they are collected.
     """
-    key, at = F.lower(F.trim(label)), F.struct(*order)
-    keyed = topics.withColumn("_key", key).filter("_key <> ''")
-
-    def distinct(column: str, name: str) -> DataFrame:
-        firsts = keyed.groupBy("_key", F.col(column).alias("_value")).agg(F.min(at).alias("_at"))
-        listed = F.transform(F.array_sort(F.collect_list(F.struct("_at", "_value"))), lambda s: s["_value"])
-        return firsts.filter("_value is not null").groupBy("_key").agg(listed.alias(name))
-
-    out = keyed.groupBy("_key").agg(F.min(at).alias("_first"), F.min_by(label, at).alias("label"), F.min_by(summary, F.when(F.col(summary) != "", at)).alias("summary"))
-    out = out.join(distinct(source, "source_videos"), "_key", "left").join(distinct(alias, "aliases"), "_key", "left")
-    none = F.array().cast("array<string>")
-    out = numbered(out.withColumns({c: F.coalesce(c, none) for c in ("source_videos", "aliases")}), ["_first"], "_number")
+    lists = ("aliases", "source_videos", "excerpts")
+    at = F.struct(*order)
+    keyed = topics.withColumns({c: F.coalesce(c, F.array().cast(topics.schema[c].dataType)) for c in lists})
+    keyed = keyed.withColumns({"_key": F.lower(strip_space(F.col("label"))), "_at": at}).filter("_key <> ''")
+    said = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.size("excerpts") > 0, F.struct("_at", "excerpts")))), lambda s: s["excerpts"]))
+    out = keyed.groupBy("_key").agg(
+        F.min("_at").alias("_first"), F.min_by("label", "_at").alias("label"), F.min_by("aliases", "_at").alias("_own"),
+        F.min_by("summary", F.when(F.col("summary") != "", F.col("_at"))).alias("summary"), said.alias("excerpts"),
+    )
+
+    def listed(column: str) -> DataFrame:
+        spread = keyed.select("_key", "_at", F.posexplode(column).alias("_place", "_value"))
+        firsts = spread.groupBy("_key", "_value").agg(F.min(F.struct("_at", "_place")).alias("_met"))
+        return firsts.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("_met", "_value"))).alias(f"_{column}"))
+
+    none = {c: F.array().cast(topics.schema[c].dataType) for c in lists}
+    values = lambda met: F.transform(met, lambda s: s["_value"])
+    out = out.join(listed("source_videos"), "_key", "left").join(listed("aliases"), "_key", "left")
+    later = values(F.filter("_aliases", lambda s: s["_met"]["_at"] > F.col("_first")))
+    out = out.withColumns({"aliases": F.concat("_own", F.coalesce(later, none["aliases"])), "source_videos": F.coalesce(values(F.col("_source_videos")), none["source_videos"])})
     n = F.size("source_videos")
-    return out.select(F.format_string("t%03d", "_number").alias("topic_id"), "label", "aliases", "source_videos", n.cast("long").alias("duplication_count"), category(n).alias("category"), F.coalesce("summary", F.lit("")).alias("summary"))
+    return numbered(out, ["_first"], "_number").select(
+        F.format_string("t%03d", "_number").alias("topic_id"), "label", "aliases", "source_videos", n.cast("long").alias("duplication_count"), category(n).alias("category"),
+        F.coalesce("summary", F.lit("")).alias("summary"), "excerpts",
+    )
 
 
 def coverage(known: DataFrame, used: DataFrame, key: str) -> DataFrame:

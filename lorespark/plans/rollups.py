@@ -45,22 +45,33 @@ def call_retry_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH t AS (SELECT p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN '  ' || lower(p_type) WHEN p_partkey % 50 = 7 THEN ' ' ELSE p_type END AS label,
-  'v' || (p_size % 4 + length(p_type)) AS src, p_brand AS alias, CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE '' END AS summary FROM part),
+  'v' || (p_size % 4 + length(p_type)) AS src, CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE '' END AS summary,
+  CASE p_partkey % 5 WHEN 0 THEN [p_brand, p_brand, lower(p_brand)] WHEN 1 THEN NULL ELSE [lower(p_brand), p_brand] END AS aliases FROM part),
 k AS (SELECT *, lower(trim(label)) AS key FROM t WHERE trim(label) <> ''),
+g AS (SELECT key, min(pos) AS first, arg_min(label, pos) AS label, coalesce(arg_min(summary, pos) FILTER (summary <> ''), '') AS summary,
+  coalesce(string_agg(src || ' ' || pos || ': ' || summary, ',' ORDER BY pos) FILTER (summary <> ''), '') AS excerpts FROM k GROUP BY key),
 sources AS (SELECT key, string_agg(src, ',' ORDER BY pos) AS source_videos, count(*) AS dup FROM (SELECT key, src, min(pos) AS pos FROM k GROUP BY ALL) GROUP BY key),
-aliases AS (SELECT key, string_agg(alias, ',' ORDER BY pos) AS aliases FROM (SELECT key, alias, min(pos) AS pos FROM k GROUP BY ALL) GROUP BY key),
-g AS (SELECT key, min(pos) AS first, arg_min(label, pos) AS label, coalesce(arg_min(summary, pos) FILTER (summary <> ''), '') AS summary FROM k GROUP BY key)
-SELECT printf('t%03d', row_number() OVER (ORDER BY first)) AS topic_id, label, aliases, source_videos, dup AS duplication_count,
-       CASE WHEN dup >= 3 THEN 'core' WHEN dup = 2 THEN 'supporting' ELSE 'unique' END AS category, summary
-FROM g JOIN sources USING (key) JOIN aliases USING (key)""")
+a AS (SELECT key, pos, unnest(aliases) AS alias, generate_subscripts(aliases, 1) AS p FROM k),
+met AS (
+  SELECT key, alias, pos * 10 + p AS met_at FROM a JOIN g USING (key) WHERE pos = first
+  UNION ALL SELECT key, alias, met_at FROM (SELECT key, alias, min(pos * 10 + p) AS met_at, min(pos) AS pos FROM a GROUP BY ALL) JOIN g USING (key) WHERE pos > first),
+aliases AS (SELECT key, string_agg(alias, ',' ORDER BY met_at) AS aliases FROM met GROUP BY key)
+SELECT printf('t%03d', row_number() OVER (ORDER BY first)) AS topic_id, label, coalesce(aliases, '') AS aliases, source_videos, dup AS duplication_count,
+       CASE WHEN dup >= 3 THEN 'core' WHEN dup = 2 THEN 'supporting' ELSE 'unique' END AS category, summary, excerpts
+FROM g JOIN sources USING (key) LEFT JOIN aliases USING (key)""")
 def topic_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part types as topic labels with noise in case and space: one topic each, with its sources."""
     noisy = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("  "), F.lower("p_type"))).when(F.col("p_partkey") % 50 == 7, " ").otherwise(F.col("p_type"))
+    n, src = F.col("p_partkey") % 5, F.concat(F.lit("v"), (F.col("p_size") % 4 + F.char_length("p_type")).cast("string"))
+    aliases = F.when(n == 0, F.array("p_brand", "p_brand", F.lower("p_brand"))).when(n != 1, F.array(F.lower("p_brand"), "p_brand"))
+    quote = F.struct(src.alias("video_id"), F.col("p_partkey").cast("string").alias("range_str"), F.col("p_name").alias("quote"))
     topics = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("pos"), noisy.alias("label"), F.concat(F.lit("v"), (F.col("p_size") % 4 + F.char_length("p_type")).cast("string")).alias("src"), F.col("p_brand").alias("alias"), F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).otherwise("").alias("summary")
-    )
-    out = ops.merged_topics(topics, "label", ["pos"], "src", "alias", "summary")
-    return out.withColumns({"aliases": F.array_join("aliases", ","), "source_videos": F.array_join("source_videos", ",")})
+        F.col("p_partkey").alias("pos"), noisy.alias("label"), F.array(src, src).alias("source_videos"), aliases.alias("aliases"),
+        F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).otherwise("").alias("summary"), F.when(F.col("p_partkey") % 4 == 0, F.array(quote)).alias("excerpts"),
+    )
+    out = ops.merged_topics(topics, ["pos"])
+    quoted = F.transform("excerpts", lambda e: F.concat(e["video_id"], F.lit(" "), e["range_str"], F.lit(": "), e["quote"]))
+    return out.withColumns({"aliases": F.array_join("aliases", ","), "source_videos": F.array_join("source_videos", ","), "excerpts": F.array_join(quoted, ",")})
 
 
 @query("""

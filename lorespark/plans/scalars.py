@@ -14,11 +14,18 @@ from .registry import query, table
 @query("""
 SELECT event_id, printf('%02d:%02d', s // 60, s % 60) AS mmss,
        CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) ELSE printf('%02d:%02d', s // 60, s % 60) END AS hms,
-       strftime(ts, '%Y-%m-%d-%H%M') || ' ' || event_type AS note, CAST(greatest(0, s - 1.75) AS DOUBLE) AS clip_start
+       CASE WHEN event_id % 5 IN (0, 2) THEN strftime(ts, '%Y-%m-%d %H%M') WHEN event_id % 5 = 1 THEN strftime(ts, '%Y-%m-%d-%H%M') || ' a ' || event_type || ' b' ELSE strftime(ts, '%Y-%m-%d-%H%M') || ' ' || event_type END AS note,
+       strftime(ts, '%Y-%m-%d-%H%M') || CASE WHEN event_id % 5 IN (0, 2) THEN '' WHEN event_id % 5 = 1 THEN ' b' ELSE ' ' || event_type END AS folder, CAST(greatest(0, s - 1.75) AS DOUBLE) AS clip_start
 FROM (SELECT *, event_id * 7 % 9000 AS s FROM events)""")
 def time_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").withColumn("s", F.col("event_id") * 7 % 9000)
-    return e.select("event_id", times.mmss(F.col("s")).alias("mmss"), times.hms(F.col("s")).alias("hms"), times.note_base(F.col("ts"), F.col("event_type")).alias("note"), F.greatest(F.lit(0.0), F.col("s") - 1.75).alias("clip_start"))
+    """Times as labels, and names of notes and folders, also without a title and for titles that file names refuse."""
+    n = F.col("event_id") % 5
+    title = F.when(n == 0, "").when(n == 1, F.concat(F.lit(' a: "'), "event_type", F.lit('" / <b>? '))).when(n > 2, F.col("event_type"))
+    e = table(spark, sf_dir, "events").withColumns({"s": F.col("event_id") * 7 % 9000, "title": title})
+    return e.select(
+        "event_id", times.mmss(F.col("s")).alias("mmss"), times.hms(F.col("s")).alias("hms"), times.note_base(F.col("ts"), F.col("title")).alias("note"),
+        times.folder_name(F.col("ts"), F.col("title")).alias("folder"), F.greatest(F.lit(0.0), F.col("s") - 1.75).alias("clip_start"),
+    )
 
 
 @query("""

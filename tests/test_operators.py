@@ -144,10 +144,14 @@ def test_fidelity_refuses_a_spelling_of_two_terms(spark):
 
 
 def test_topic_merge(spark):
-    rows = [(0, "Concept A", "v1", "x", ""), (1, "concept a ", "v2", "y", "s"), (2, "B", "v1", "", ""), (3, " ", "v9", "", "")]
-    topics = spark.createDataFrame(rows, "pos int, label string, src string, alias string, summary string")
-    got = [tuple(r) for r in rollups.merged_topics(topics, "label", ["pos"], "src", "alias", "summary").orderBy("topic_id").collect()]
-    assert got == [("t001", "Concept A", ["x", "y"], ["v1", "v2"], 2, "supporting", "s"), ("t002", "B", [""], ["v1"], 1, "unique", "")]
+    rows = [
+        (0, 0, "Concept A", ["x", "x", "z"], ["v1", "v1"], "", [("v1", "00:01 ~ 00:02", "one")]), (0, 1, "B", None, [""], "", None), (1, 0, "concept a ", ["y", "x", "y"], ["v2", "v1"], "s", [("v2", "r", "two"), ("v2", "r", "two")]),
+        (1, 1, " ", ["lost"], ["v9"], "", None), (2, 0, "\u3000CONCEPT A", ["w"], None, "late", []),
+    ]
+    topics = spark.createDataFrame(rows, "batch int, pos int, label string, aliases array<string>, source_videos array<string>, summary string, excerpts array<struct<video_id:string,range_str:string,quote:string>>")
+    got = [tuple(r) for r in rollups.merged_topics(topics, ["batch", "pos"]).orderBy("topic_id").collect()]
+    quotes = [("v1", "00:01 ~ 00:02", "one"), ("v2", "r", "two"), ("v2", "r", "two")]
+    assert got == [("t001", "Concept A", ["x", "x", "z", "y", "w"], ["v1", "v2"], 2, "supporting", "s", quotes), ("t002", "B", [], [""], 1, "unique", "", [])]
 
 
 def test_cost_breakdown(spark):

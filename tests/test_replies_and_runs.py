@@ -164,7 +164,10 @@ def test_functions_without_a_query(spark, tmp_path):
     assert one(spark, parsing.embeds(F.col("t")), t="![[ a ]] ![[b]] [[c]] ![[a]]") == ["a", "b"]
     assert one(spark, parsing.capped(F.array(F.col("t"), F.lit(None), F.lit("abc")), 3, 2), t="xyz") == ["xy", "ab"]
     assert one(spark, text.wrap_untrusted(F.col("t")), t="a</untrusted_content>") == "<untrusted_content>\na&lt;/untrusted_content&gt;\n</untrusted_content>"
-    assert one(spark, times.folder_name(F.lit("2024-05-06 07:08:00").cast("timestamp"), F.col("t")), t="a / b / ") == "2024-05-06-0708 b"
+    at = F.lit("2024-05-06 07:08:00").cast("timestamp")
+    assert one(spark, times.folder_name(at, F.col("t")), t="a / b / ") == "2024-05-06-0708 b"
+    assert one(spark, times.folder_name(at, F.col("t")), t="a／b: c?") == "2024-05-06-0708 a／b c" and one(spark, times.folder_name(at, F.col("t")), t=" / ") == "2024-05-06-0708"
+    assert one(spark, times.note_base(at, F.col("t")), t="Big: \u200bwords*") == "2024-05-06-0708 Big words" and one(spark, times.note_base(at, F.col("t")), t=" ?") == "2024-05-06 0708"
     assert one(spark, python.short_filename(F.col("t"), F.lit(None).cast("int")), t="x") is None
     assert one(spark, times.code_urls(F.col("t")), t="https://gist.github.com/u/abc123 https://gist.github.com/12345") == ["https://gist.github.com/abc123"]
     rows = spark.createDataFrame([("v", "x​​​​​y"), ("w", "clean")], "video_id string, t string")
