@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import notes as parts
 from lorespark.operators import glossary, runs
+from lorespark.operators import notes as files
+from lorespark.shared import new_path
+from lorespark.sources.files import read_note_files, write_note_files
 
 from .registry import query, table
 
@@ -140,3 +143,53 @@ def reviewed_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = notes.unionByName(found.select(F.lit("newest").alias("folder"), F.lit("a.md").alias("filename"), fresh.alias("content")).distinct())
     folders = found.select(F.col("event_type").alias("name"), rank.alias("rank")).distinct().unionByName(spark.createDataFrame([("newest", -1)], "name string, rank int"))
     return runs.reviewed_notes(notes, folders).select(F.substring("video_id", 2, 10).cast("long").alias("user_id"), "rank")
+
+
+@query("""
+SELECT source, sha256(string_agg('## VIDEO: v' || doc_id || ': ' || coalesce(nullif(lang, ''), 'Untitled') || chr(10) || chr(10) || left(text, CAST(400000 // n AS INT)), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY doc_id)) AS content_sha
+FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM documents WHERE source IS NOT NULL) GROUP BY source""")
+def materials_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a source as the videos of a playlist: one block of all their texts, which share a budget of characters."""
+    docs = table(spark, sf_dir, "documents").filter("source is not null").withColumnRenamed("source", "playlist")
+    videos = docs.select("playlist", F.col("doc_id").alias("pos"), F.concat(F.lit("v"), F.col("doc_id").cast("string")).alias("video_id"), F.col("lang").alias("title"))
+    bodies = docs.select("playlist", (F.col("doc_id") * 2).alias("pos"), F.coalesce("text", F.lit("")).alias("body"))
+    return files.materials(videos, bodies).select(F.col("playlist").alias("source"), F.sha2("content", 256).alias("content_sha"))
+
+
+@query(r"""
+SELECT unit, folder, filename, CAST(octet_length(encode(content)) AS BIGINT) AS size, sha256(content) AS content_sha FROM (
+  SELECT unit, 'base/' || dir || '/2024-05-06-0708 ' || p_brand AS folder, '2024-05-06-0708 ' || p_name || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.md' AS filename,
+         '---' || chr(10) || 'date: 2024-05-06 07:08' || chr(10) || 'title: "' || p_name || '"' || chr(10) || 'URL: "https://www.youtube.com/watch?v=' || vid || '"' || chr(10) || 'playlist: "' || p_type || '/' || p_brand || '"' || chr(10)
+         || 'video_id: "' || vid || '"' || chr(10) || CASE WHEN unit = 'summary' THEN 'reviewed: "false"' || chr(10) ELSE '' END || 'tags: [memo, youtube]' || chr(10) || '---' || chr(10) AS content
+  FROM (SELECT *, printf('v%010d', p_partkey) AS vid, row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) AS n FROM part)
+  CROSS JOIN (VALUES ('scripts', '01_Scripts_Processing_Unit'), ('summary', '02_Summary_Processing_Unit'), ('capture', '03_Capture_Processing_Unit')) AS u(unit, dir))""")
+def placeholder_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as videos: their first notes written as files to the shared folder and read back."""
+    videos = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("pos"), F.format_string("v%010d", "p_partkey").alias("video_id"), F.col("p_name").alias("title"), F.concat_ws("/", "p_type", "p_brand").alias("playlist_title")
+    )
+    path = new_path(spark, "notes")
+    write_note_files(files.placeholder_notes(videos, F.lit("2024-05-06 07:08:00").cast("timestamp"), "base"), path)
+    unit = F.when(F.col("folder").contains("/01_"), "scripts").when(F.col("folder").contains("/02_"), "summary").otherwise("capture")
+    return read_note_files(spark, path).select(unit.alias("unit"), "folder", "filename", "size", F.sha2("content", 256).alias("content_sha"))
+
+
+@query(r"""
+WITH f AS (SELECT o_custkey % 50 AS b, o_custkey % 3 + 1 AS it, o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'coverage' WHEN 1 THEN 'pedagogy' ELSE 'fidelity' END AS p, o_orderpriority = '1-URGENT' AS high FROM orders),
+lines AS (SELECT b, it, count(*) AS n, count(*) FILTER (high) AS h, count(*) FILTER (p = 'coverage') AS c, count(*) FILTER (p = 'pedagogy') AS d, count(*) FILTER (p = 'fidelity') AS e,
+  coalesce(string_agg(chr(10) || '  - [' || p || '] order ' || o_orderkey || ' (→ 05)', '' ORDER BY printf('f%09d', o_orderkey)) FILTER (high), '') AS l FROM f GROUP BY ALL)
+SELECT 'book' || b || '/_meta/evaluation/summary.md' AS path, sha256('# 評価サマリ' || chr(10) || chr(10) || '- ループ実行回数: ' || count(*) || string_agg(chr(10) || chr(10) || '## ループ ' || it || chr(10) || '- blocking(high): ' || h || ' / 全 finding: ' || n
+  || chr(10) || '- coverage: ' || c || ' / pedagogy: ' || d || ' / fidelity: ' || e || chr(10) || '- 04 再生成: v' || it || chr(10) || '- 05 再合成: ' || CASE WHEN it = 1 THEN 'あり' ELSE 'なし' END || l, '' ORDER BY it) || chr(10)) AS content_sha
+FROM lines GROUP BY b""")
+def evaluation_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as findings of evaluations in three loops: the report of each."""
+    n = F.col("o_orderkey") % 3
+    found = table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("book"), (F.col("o_custkey") % 50).cast("string")).alias("folder"), (F.col("o_custkey") % 3 + 1).cast("int").alias("iteration"), F.format_string("f%09d", "o_orderkey").alias("finding_id"),
+        F.when(n == 0, "coverage").when(n == 1, "pedagogy").otherwise("fidelity").alias("perspective"), F.when(F.col("o_orderpriority") == "1-URGENT", "high").otherwise("low").alias("severity"),
+        F.lit("05").alias("target_scope"), F.lit("").alias("target_video_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("description"),
+    )
+    loops = found.select("folder", "iteration").distinct().withColumns({
+        "regenerated_video_ids": F.array(F.concat(F.lit("v"), F.col("iteration").cast("string"))), "synthesis_rerun": F.col("iteration") == 1, "stop_reason": F.lit(None).cast("string"),
+    })
+    return files.evaluation_summaries(loops, found).select("path", F.sha2("content", 256).alias("content_sha"))

@@ -89,6 +89,17 @@ def candidate_folders(folders: DataFrame, unit_date: str, canonical: str, title:
     return dated.withColumn("tier", tier).filter("tier is not null").withColumn("rank", F.row_number().over(W.orderBy("tier", F.desc(name)))).orderBy("rank")
 
 
+def resolved_folder(folders: DataFrame, unit_date: str, canonical: str, title: str, name: str = "name", modified: str = "modified") -> DataFrame:
+    """The folder of a unit: the canonical one, else of the same day's whose title holds ``title`` the one modified last; no row if there is none."""
+    found = candidate_folders(folders, unit_date, canonical, title, name).filter("tier <= 1")
+    return found.orderBy("tier", F.desc(modified), F.desc(name)).limit(1).drop("day", "tier", "rank")
+
+
+def collected_bodies(files: DataFrame, folder: str, videos: DataFrame) -> DataFrame:
+    """Bodies of the notes in ``folder`` for ``videos``, as :func:`existing_bodies`; ``files`` as the data source of notes reads them, to which the folder is pushed."""
+    return existing_bodies(files.filter(F.col("folder") == folder), videos)
+
+
 def playlist_videos(extracts: DataFrame) -> DataFrame:
     """Videos of extracted playlists or single videos, as rows of ``VIDEOS`` with the playlist's position; entries without an id go.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lorespark.functions import text
 from lorespark.operators.rollups import first_rows
@@ -29,20 +31,46 @@ def write_alerts(rows: DataFrame, path: str, key: str, column: str, context: str
     sanitize_alerts(rows, key, column, context).write.mode("append").json(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(path, its file system) of the JVM."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _claimed(spark: SparkSession, path: str) -> int:
+    """A snapshot number that no other writer has: files are created only if they are not there yet, and the next number is tried if one is."""
+    folder, system = _hadoop(spark, f"{path}/_claims")
+    system.mkdirs(folder)
+    number = max([int(f.getPath().getName()) for f in system.listStatus(folder)], default=0) + 1
+    while not system.createNewFile(_hadoop(spark, f"{path}/_claims/{number:08d}")[0]):
+        number += 1
+    return number
+
+
+def read_cache(spark: SparkSession, path: str, schema: str | StructType, key: str = "key") -> DataFrame:
+    """The entries of a cache, one a key: that of the first snapshot which has it. An absent cache is empty; a path that cannot be read is an error."""
+    target, system = _hadoop(spark, path)
+    empty = spark.createDataFrame([], schema)
+    if not system.exists(target) or not any(f.getPath().getName().startswith("snapshot=") for f in system.listStatus(target)):
+        return empty
+    rows = spark.read.schema(StructType([*empty.schema.fields, StructField("snapshot", LongType())])).parquet(path)
+    return first_rows(rows, [key], ["snapshot"]).select(empty.columns)
+
+
 def write_cache(entries: DataFrame, path: str, order: str, key: str = "key") -> None:
-    """Cache entries by content key, in a folder for each first two characters of it; of equal keys the first by ``order``.
+    """Adds entries to a cache by content key; of equal keys the first by ``order``.
 
-    Keys that the cache has already are left as they are, so a second run adds nothing.
+    Keys that the cache has already are left as they are, so a second run adds nothing. Each write is a snapshot: its files are
+    written out of sight, then it takes the next free number and is moved to it, so any number of writers may run at
+    once and none loses a key. A key that two of them add at the same time is in both snapshots; :func:`read_cache` has the first.
     """
-    new = first_rows(entries.filter(F.col(key).isNotNull()), [key], [order]).withColumn("shard", F.left(key, F.lit(2)))
     spark = entries.sparkSession
-    try:
-        held = spark.read.schema(new.schema).parquet(path).select(key)
-    except AnalysisException:  # no cache yet
-        held = None
-    if held is not None:
-        new = new.join(held, key, "left_anti")
-    new.write.mode("append").partitionBy("shard").parquet(path)
+    new = first_rows(entries.filter(F.col(key).isNotNull()), [key], [order])
+    staged = f"{path}/_staged/{uuid.uuid4().hex}"
+    new.join(read_cache(spark, path, entries.schema, key).select(key), key, "left_anti").select(entries.columns).write.parquet(staged)
+    source, system = _hadoop(spark, staged)
+    if not system.rename(source, _hadoop(spark, f"{path}/snapshot={_claimed(spark, path):08d}")[0]):
+        raise OSError(f"could not move {staged} into the cache")
 
 
 def write_notes(notes: DataFrame, path: str) -> None:

@@ -131,9 +131,24 @@ def test_nearest_of_many_rows_of_one_key(spark):
 def test_write_cache_twice(spark, tmp_path):
     path = f"{tmp_path}/cache"
     entries = spark.createDataFrame([("aa", 2, "late"), ("aa", 1, "early"), ("bb", 1, "b"), (None, 1, "x")], "key string, pos int, value string")
+    assert writers.read_cache(spark, path, entries.schema).count() == 0
     writers.write_cache(entries, path, "pos")
     writers.write_cache(entries.unionByName(spark.createDataFrame([("cc", 1, "c"), ("aa", 0, "newer")], entries.schema)), path, "pos")
-    assert sorted((r["key"], r["value"]) for r in spark.read.parquet(path).collect()) == [("aa", "early"), ("bb", "b"), ("cc", "c")]
+    assert sorted((r["key"], r["value"]) for r in writers.read_cache(spark, path, entries.schema).collect()) == [("aa", "early"), ("bb", "b"), ("cc", "c")]
+    assert spark.read.parquet(path).count() == 3
+
+
+def test_caches_of_parallel_writers_lose_and_repeat_nothing(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = f"{tmp_path}/cache"
+    sets = [spark.createDataFrame([(f"k{k}", 1, f"w{w}") for k in range(w * 10, w * 10 + 30)], "key string, pos int, value string") for w in range(4)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda s: writers.write_cache(s, path, "pos"), sets))
+    got = [r["key"] for r in writers.read_cache(spark, path, sets[0].schema).collect()]
+    assert sorted(got) == sorted(f"k{k}" for k in range(60))
+    writers.write_cache(sets[0], path, "pos")
+    assert [r["value"] for r in writers.read_cache(spark, path, sets[0].schema).filter("key = 'k0'").collect()] == ["w0"]
 
 
 def test_fidelity_refuses_a_spelling_of_two_terms(spark):
