@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.text import SPACE
 
-from .common import small_batches, store
+from .common import drop, small_batches, store
 from .graph import connected_components
 from .words import GOLDEN, jaccard, mix, unpack, windows, word_hashes
 
@@ -270,6 +270,7 @@ def _classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ban
     more = _blockwise(split, sets, threshold, block)
     both = store(links.unionByName(more), "all-links")
     final = connected_components(both).withColumnRenamed("node", "doc_id")
+    drop(members, wanted, sets, pairs, links, found, placed, both)
     # Texts with copies, or with a component, name the class of their rows; every other row is its own.
     named = first.join(final, "doc_id", "left").filter("copies > 1 or component is not null").select("words", F.coalesce("component", "doc_id").alias("class_id"))
     out = usable.select("doc_id", "hash", "words").withColumn("salt", _salt()).join(_salted(named), ["words", "salt"], "left")

@@ -39,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, small_batches, store
+from .common import bounded_sample, drop, small_batches, store
 from .graph import connected_components
 
 THRESHOLD, SAMPLE, PER_CELL, MOST_CELLS, BLOCK, ROUNDS, PROBE = 0.93, 20_000, 100, 4_096, 1_024, 8, 1_024
@@ -76,10 +76,13 @@ class Cells:
 
     def homes(self, x: np.ndarray) -> np.ndarray:
         """The shell (cell times ``SHELLS`` plus its number in the cell) of each row."""
-        near = x @ self.centroids.T
-        home = near.argmax(1)
-        angle = np.degrees(np.arccos(np.clip(near[np.arange(len(x)), home], -1, 1)))
-        return home * SHELLS + (angle / self.thickness).astype(np.int64)
+        out = np.zeros(len(x), np.int64)
+        for at in range(0, len(x), 1_024):  # products of so many rows with all centroids at once
+            near = x[at : at + 1_024] @ self.centroids.T
+            home = near.argmax(1)
+            angle = np.degrees(np.arccos(np.clip(near[np.arange(len(near)), home], -1, 1)))
+            out[at : at + len(near)] = home * SHELLS + (angle / self.thickness).astype(np.int64)
+        return out
 
     def guests(self, x: np.ndarray, shells: np.ndarray, threshold: float) -> list[np.ndarray]:
         """The smaller-numbered ones of ``shells`` (those that hold a row) that a partner of each row may lie in."""
@@ -188,6 +191,7 @@ def link_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
     visits = at_home.mapInPandas(visit, at_home.schema)
     placed = at_home.withColumn("guest", F.lit(False)).unionByName(visits.withColumn("guest", F.lit(True)))
     placed = store(placed, "cells")
+    drop(at_home)
     loads = placed.groupBy("part", "cell").agg(F.count_if(~F.col("guest")).alias("homes"), F.count_if("guest").alias("guests"))
     loads = loads.select("part", "cell", F.ceil(F.col("homes") / block).cast("int").alias("hb"), F.ceil(F.col("guests") / block).cast("int").alias("gb")).filter("hb > 0")
     spot = lambda n: F.pmod(F.xxhash64("node", "cell"), F.greatest(n, F.lit(1))).cast("int")
@@ -225,11 +229,13 @@ def link_vectors(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str =
 
     dealt = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys)
     found = store(dealt.mapInPandas(compare, "node long, n long, a long, b long"), "links")
+    drop(placed)
     counts = found.filter("node is not null").groupBy("node").agg(F.sum("n").alias("links"))
     components = connected_components(found.filter("a is not null").select("a", "b"))
     facts = nodes.select(*key, "vec_id", "shared", "node", "n").join(counts, "node", "left").join(components, "node", "left")
     facts = facts.filter("n > 1 or links is not null or shared").withColumn("component", F.coalesce("component", "node"))
     facts = store(facts.select(*key, "vec_id", "shared", "component", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "facts")
+    drop(named, nodes, shared, found)
     # Components with a node that is named by a hash take their smallest id; all others are named by it.
     hashed = store(facts.filter("shared").select("component").distinct(), "hashed")
     least = facts.join(hashed, "component", "left_semi").groupBy("component").agg(F.min("vec_id").alias("least"))
