@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,6 +39,22 @@ def cost_breakdown(runs: DataFrame, stages: Sequence[tuple[str, str, str]], posi
     return out.filter("cost is not null").select(F.when(every, "total").otherwise(F.col("stage")).alias("stage"), "cost", F.when(~every, F.col("model")).alias("model"))
 
 
+def run_totals(runs: DataFrame, keys: Sequence[str], ok: Column, kinds: Mapping[str, Column], seconds: Column) -> DataFrame:
+    """Of each key: runs that succeeded and that failed, how many are of each kind (name: condition), and whole minutes; unknown durations count as 0.
+
+    A run that is not known to have succeeded has failed.
+    """
+    fine = F.coalesce(ok, F.lit(False))
+    counts = [F.count_if(fine).alias("succeeded"), F.count_if(~fine).alias("failed"), *[F.count_if(c).alias(name) for name, c in kinds.items()]]
+    return runs.groupBy(*keys).agg(*counts, F.floor(F.sum(F.coalesce(seconds, F.lit(0))) / 60).alias("minutes"))
+
+
+def first_of_each_text(rows: DataFrame, text: Column, order: Column | str, columns: Sequence[str]) -> DataFrame:
+    """``columns`` of the first row, in ``order``, of each different ``text``; what is shuffled is the digest of a text, never the text, and tasks reduce their rows first."""
+    keyed = rows.select(F.sha2(text, 256).alias("_digest"), F.struct(order).alias("_at"), F.struct(*columns).alias("_row"))
+    return keyed.groupBy("_digest").agg(F.min_by("_row", "_at").alias("_row")).select("_row.*")
+
+
 def call_totals(calls: DataFrame, keys: Sequence[str], counters: Sequence[str], order: str, text: str) -> DataFrame:
     """Retries of a call as one: null where all are null, else the sum of the others; the text of the last."""
     sums = [F.sum(c).alias(c) for c in counters]

@@ -95,7 +95,7 @@ def checkpoint_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY lower(trim(text)) ORDER BY doc_id) AS n FROM documents) WHERE n = 1""")
 def ordered_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text without case and outer space is new, the first of each."""
-    return ops.first_rows(table(spark, sf_dir, "documents"), [F.lower(F.trim("text"))], ["doc_id"]).select("doc_id", "source")
+    return ops.first_of_each_text(table(spark, sf_dir, "documents"), F.lower(F.trim("text")), "doc_id", ["doc_id", "source"])
 
 
 @query("""
@@ -152,9 +152,9 @@ SELECT CAST(user_id AS BIGINT) AS user_id, count(*) FILTER (event_type <> 'error
        count(*) FILTER (event_type = 'view') AS lecture, count(*) FILTER (event_type = 'click') AS qa, CAST(sum(coalesce(CASE WHEN event_id % 4 > 0 THEN event_id % 600 END, 0)) // 60 AS BIGINT) AS minutes FROM events GROUP BY user_id""")
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Successes, failures, labels and minutes of each user's events; unknown durations count as 0."""
-    duration = F.coalesce(F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 600), F.lit(0))
-    of = lambda kind: F.count_if(F.col("event_type") == kind)
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count_if(F.col("event_type") != "error").alias("succeeded"), of("error").alias("failed"), of("view").alias("lecture"), of("click").alias("qa"), F.floor(F.sum(duration) / 60).alias("minutes"))
+    duration = F.when(F.col("event_id") % 4 > 0, F.col("event_id") % 600)
+    kinds = {"lecture": F.col("event_type") == "view", "qa": F.col("event_type") == "click"}
+    return ops.run_totals(table(spark, sf_dir, "events"), ["user_id"], F.col("event_type") != "error", kinds, duration)
 
 
 @query("""

@@ -169,6 +169,17 @@ def test_topic_merge(spark):
     assert got == [("t001", "Concept A", ["x", "x", "z", "y", "w"], ["v1", "v2"], 2, "supporting", "s", quotes), ("t002", "B", [], [""], 1, "unique", "", [])]
 
 
+def test_run_totals(spark):
+    runs = spark.createDataFrame([("a", True, "qa", 50), ("a", None, "tips", None), ("a", False, "qa", 80), (None, True, None, 1)], "k string, ok boolean, label string, s int")
+    got = {r["k"]: tuple(r)[1:] for r in rollups.run_totals(runs, ["k"], F.col("ok"), {"qa": F.col("label") == "qa"}, F.col("s")).collect()}
+    assert got == {"a": (1, 2, 2, 2), None: (1, 0, 0, 0)}
+
+
+def test_first_of_each_text(spark):
+    rows = spark.createDataFrame([(3, "x", "c"), (1, "x", "a"), (2, None, "n"), (5, None, "m"), (4, "", "e")], "id int, t string, v string")
+    assert sorted(map(tuple, rollups.first_of_each_text(rows, F.col("t"), "id", ["id", "v"]).collect())) == [(1, "a"), (2, "n"), (4, "e")]
+
+
 def test_cost_breakdown(spark):
     rows = [(0, Decimal(".01"), None, None), (1, Decimal(".01"), "m", Decimal(".05")), (2, None, "m", Decimal(".05"))]
     runs = spark.createDataFrame(rows, "pos int, c2 decimal(18,6), m string, c4 decimal(18,6)")
