@@ -61,6 +61,27 @@ def owners(spans, duration):
     return out
 
 
+def test_interval_repair_of_deeply_nested_segments():
+    import time
+
+    def seconds(n):
+        began, sweep = time.process_time(), intervals._Open(4 * n)
+        for k in range(n):
+            sweep.add(k, k, 4 * n - k if k % 3 else 2 * n + k // 7, k % 5 == 0, {"pos": k})
+        sweep.tell()
+        return time.process_time() - began, sweep.told
+
+    (small, told), (large, _) = seconds(2_000), seconds(100_000)
+    assert large < 200 * small + 2
+    segments = [(k, 8_000 - k if k % 3 else 4_000 + k // 7, k % 5 == 0) for k in range(2_000)]
+    for at, own in told[:: 97]:
+        covering = [(k, end, lecture) for k, (start, end, lecture) in enumerate(segments) if start <= at < end]
+        had = covering[0] if covering else None
+        for new in covering[1:]:
+            had = new if new[1] <= had[1] and not new[2] else had
+        assert (own and own["pos"]) == (had and had[0])
+
+
 def test_interval_repair_by_owners_of_seconds(spark):
     import random
     from itertools import groupby
