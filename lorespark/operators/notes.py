@@ -20,12 +20,14 @@ def placeholder_notes(videos: DataFrame, ran_at: Column, base: str, units: Mappi
 
     Names that meet in a folder are numbered.
     """
-    spread = videos.withColumn("unit", F.explode(F.array(*[F.lit(u) for u in units])))
+    # Names are the same in every unit, so they are numbered once; few and short rows of videos are dealt to all cores before they grow.
+    dealt = videos.repartition(4 * videos.sparkSession.sparkContext.defaultParallelism, "video_id")
+    named = unique_paths(dealt.withColumns({"_folder": times.folder_name(ran_at, F.col("playlist_title")), "_base": times.note_base(ran_at, F.col("title"))}), "_folder", "_base", ["pos", "video_id"], "md")
+    spread = named.withColumn("unit", F.explode(F.array(*[F.lit(u) for u in units])))
     extra = {"playlist": F.coalesce("playlist_title", F.lit("")), "video_id": F.col("video_id"), "reviewed": F.when(F.col("unit") == "summary", "false")}
     head = notes.note_head(ran_at, F.col("title"), times.watch_url(F.col("video_id")), extra=extra)
-    folder = F.concat_ws("/", F.lit(base), F.element_at(F.create_map(*[F.lit(x) for pair in units.items() for x in pair]), F.col("unit")), times.folder_name(ran_at, F.col("playlist_title")))
-    named = spread.withColumns({"_folder": folder, "_base": times.note_base(ran_at, F.col("title")), "content": head})
-    return unique_paths(named, "_folder", "_base", ["pos", "video_id"], "md").select("video_id", "unit", "path", "content")
+    place = F.concat_ws("/", F.lit(base), F.element_at(F.create_map(*[F.lit(x) for pair in units.items() for x in pair]), F.col("unit")), "path")
+    return spread.select("video_id", "unit", place.alias("path"), head.alias("content"))
 
 
 def materials(videos: DataFrame, bodies: DataFrame, group: str = "playlist", budget: int = blocks.MATERIALS) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import blocks
 from lorespark.operators import notes as ops
+from lorespark.shared import store
 from lorespark.sources import files, readers
 
 
@@ -82,6 +83,35 @@ def test_filters_of_queries_hold(spark, tmp_path):
     assert sorted(r["content"] for r in got.collect()) == ["1", "3"]
 
 
+def test_writing_is_dealt_to_tasks_and_moves_may_run_again(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(files, "store", lambda df, name: kept.append(store(df, name)) or kept[-1])
+    monkeypatch.setattr(files, "drop", lambda *_: None)
+    notes = spark.range(400).groupBy(F.concat(F.lit("f/n"), F.col("id").cast("string"), F.lit(".md")).alias("path")).agg(F.first(F.col("id").cast("string")).alias("content"))
+    files.write_note_files(notes, str(tmp_path))
+    staged = [tuple(r) for r in kept[0].collect()]
+    assert len(staged) == 400 and len({at.rpartition("/")[0] for at, _ in staged}) > 4
+    assert tree(tmp_path) == {f"f/n{k}.md": str(k) for k in range(400)}
+    writer = files.NotesWriter({"path": str(tmp_path)}, ["path", "content"])
+    again = [*writer.staged(iter([("f/n1.md", "new"), ("g/x.md", "x")]))]
+    writer.place(again)
+    writer.place(again)
+    assert tree(tmp_path)["f/n1.md"] == "new" and tree(tmp_path)["g/x.md"] == "x"
+    with pytest.raises(FileNotFoundError):
+        writer.place([(f"{tmp_path}/none", "g/none.md")])
+
+
+def test_only_contents_that_are_asked_for_are_read(spark, tmp_path):
+    files.write_note_files(spark.createDataFrame([(f"u{k % 2}/n{k}.md", str(k)) for k in range(10)], "path string, content string"), str(tmp_path))
+    found = files.read_note_files(spark, str(tmp_path))
+    for k in range(0, 10, 2):
+        (tmp_path / "u0" / f"n{k}.md").unlink()
+    assert sorted(r["content"] for r in found.filter("folder = 'u1'").collect()) == ["1", "3", "5", "7", "9"]
+    assert found.count() == 10 and {r["size"] for r in found.select("size").collect()} == {1}
+    with pytest.raises(PySparkException):
+        found.collect()
+
+
 def test_folders_resolve_to_the_one_modified_last(spark, tmp_path):
     rows = [("2024-05-06-0700 Big talk", 1), ("2024-05-06-0900 Big talk again", 3), ("2024-05-06 The Big talk", 5), ("2024-05-05 Big talk", 9), ("2024-05-06-1000 other", 7)]
     folders = spark.createDataFrame(rows, "name string, modified int")
